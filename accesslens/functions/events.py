@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from accesslens.fixed import UNKNOWN
 from accesslens.functions.json import json_fields
 from accesslens.functions.text import not_blank, regexp_or_null
+from accesslens.functions.time import from_iso, iso
 
 
 def failed() -> Column:
@@ -28,6 +29,24 @@ def event_minute(time: Column) -> Column:
     return F.substring(time, 1, 16)
 
 
+def event_date() -> Column:
+    return event_day().try_cast("date")
+
+
+def earliest(time: Column | None = None) -> Column:
+    """ISO text of the first event time.
+
+    Stored times sort alike as text and as timestamps; a minimum over text
+    would sort all rows, one over timestamps aggregates by hash.
+    """
+    return iso(F.min(from_iso(F.col("event_time")) if time is None else time))
+
+
+def latest(time: Column | None = None) -> Column:
+    """ISO text of the last event time."""
+    return iso(F.max(from_iso(F.col("event_time")) if time is None else time))
+
+
 def event_hour() -> Column:
     return F.substring("event_time", 12, 2).try_cast("int")
 

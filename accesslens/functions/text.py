@@ -23,7 +23,7 @@ def last_chars_or_empty(value: Column, n: int) -> Column:
     return F.when(F.length(value) >= n, F.right(value, F.lit(n))).when(value.isNotNull(), F.lit(""))
 
 
-def fill(template: str, **values: Column) -> Column:
+def fill(template: str, /, **values: Column) -> Column:
     """``template`` with its ``{name}`` slots filled; a NULL prints as None."""
     pieces = re.split(r"\{(\w+)\}", template)
     columns = [

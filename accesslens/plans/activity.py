@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accesslens.functions.events import event_day, event_hour, failed, percentage, since_days
+from accesslens.functions.events import earliest, event_day, event_hour, failed, latest, percentage, since_days
 from accesslens.plans.rollup import rollup, total
 
 
@@ -75,8 +75,8 @@ def table_statistics(df: DataFrame, as_of: dt.date | None = None) -> DataFrame:
         total().alias("total_events"),
         F.countDistinct("user_name").alias("unique_users"),
         F.countDistinct("event_name").alias("unique_actions"),
-        F.min("first_time").alias("earliest_event"),
-        F.max("last_time").alias("latest_event"),
+        earliest(F.col("first_time")).alias("earliest_event"),
+        latest(F.col("last_time")).alias("latest_event"),
         total("n_failed").alias("error_events"),
         F.countDistinct("event_date").alias("days_with_data"),
     )

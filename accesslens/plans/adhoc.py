@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.fixed import ADHOC_PERMISSION_EVENTS
-from accesslens.functions.events import event_day, failed, since_days
+from accesslens.functions.events import event_date, failed, since_days
 from accesslens.plans.auth import failed_auth_sql
 from accesslens.plans.permissions import _assumptions
 
@@ -24,8 +24,8 @@ def permission_changes_by_user(df: DataFrame, as_of: dt.date | None = None, days
         .groupBy("user_name", "event_name")
         .agg(
             F.count("*").alias("change_count"),
-            F.min(event_day()).alias("first_change"),
-            F.max(event_day()).alias("last_change"),
+            F.min(event_date()).cast("string").alias("first_change"),
+            F.max(event_date()).cast("string").alias("last_change"),
         )
         .orderBy(F.desc("change_count"), F.asc_nulls_last("user_name"), F.asc_nulls_last("event_name"))
     )

@@ -8,7 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.fixed import ROOT, SERVICE_DOMAIN, SIGN_IN_EVENTS
-from accesslens.functions.events import event_day, event_hour, failed, known_user, most_recent, since_days, with_identity
+from accesslens.functions.events import (
+    earliest,
+    event_day,
+    event_hour,
+    failed,
+    known_user,
+    latest,
+    most_recent,
+    since_days,
+    with_identity,
+)
 from accesslens.functions.text import not_blank
 
 
@@ -71,11 +81,11 @@ def _off_hours(
         .where((event_hour() < day_starts) | (event_hour() > day_ends))
         .where(known_user() & ~F.col("source_ip").endswith(SERVICE_DOMAIN))
     )
-    first = [F.min("event_time").alias("first_occurrence")] if full else []
+    first = [earliest().alias("first_occurrence")] if full else []
     return (
         with_identity(rows)
         .groupBy("user_identity", "event_name")
-        .agg(F.count("*").alias("event_count"), *first, F.max("event_time").alias("last_occurrence"))
+        .agg(F.count("*").alias("event_count"), *first, latest().alias("last_occurrence"))
         .orderBy(F.asc_nulls_last("user_identity"), F.desc("event_count"), F.asc_nulls_last("event_name"))
         .limit(limit)
     )

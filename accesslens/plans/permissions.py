@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.fixed import PERMISSION_EVENTS, SERVICE_DOMAIN, TARGET_FIELDS, TARGET_SEPARATOR, UNKNOWN
-from accesslens.functions.events import event_day, event_minute, failed, most_recent, since_days, with_identity
+from accesslens.functions.events import (
+    earliest,
+    event_day,
+    event_minute,
+    failed,
+    latest,
+    most_recent,
+    since_days,
+    with_identity,
+)
 from accesslens.functions.json import json_fields
 from accesslens.functions.text import regexp_or_null
 from accesslens.plans.rollup import rollup, total
@@ -67,8 +76,8 @@ def role_assumptions_sql(df: DataFrame, as_of: dt.date | None = None, days: int
         .agg(
             total().alias("total_assumptions"),
             F.count("*").alias("unique_days"),
-            event_minute(F.min("first_time")).alias("first_assumption"),
-            event_minute(F.max("last_time")).alias("last_assumption"),
+            event_minute(earliest(F.col("first_time"))).alias("first_assumption"),
+            event_minute(latest(F.col("last_time"))).alias("last_assumption"),
             total("n_failed").alias("failed_assumptions"),
         )
         .orderBy(F.desc("total_assumptions"), F.asc_nulls_last("role_arn"), F.asc_nulls_last("assumed_by"))

@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.functions.events import failed
+from accesslens.functions.time import from_iso
 
 
 def rollup(df: DataFrame, *keys: Column | str) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.count_if(failed()).alias("n_failed"),
-        F.min("event_time").alias("first_time"),
-        F.max("event_time").alias("last_time"),
+        F.min(from_iso(F.col("event_time"))).alias("first_time"),
+        F.max(from_iso(F.col("event_time"))).alias("last_time"),
     )
 
 

@@ -17,7 +17,7 @@ from accesslens.fixed import (
     POLICY_ATTACH_EVENT,
     SSO_ADMIN_EVENTS,
 )
-from accesslens.functions.events import failed, most_recent, percentage, since_days
+from accesslens.functions.events import earliest, failed, latest, most_recent, percentage, since_days
 from accesslens.functions.json import json_fields
 from accesslens.functions.text import last_chars_or_empty, regexp_or_null
 
@@ -159,8 +159,8 @@ def admin_users_full(df: DataFrame, as_of: dt.date | None = None, days: int = 90
             F.count_if(name == "CreateAccountAssignment").alias("assignments_created"),
             F.count_if(name.endswith("ManagedApplicationInstance")).alias("app_changes"),
             F.count_if(failed()).alias("error_count"),
-            F.min("event_time").alias("first_admin_action"),
-            F.max("event_time").alias("last_admin_action"),
+            earliest().alias("first_admin_action"),
+            latest().alias("last_admin_action"),
         )
         .orderBy(F.desc("total_admin_actions"), F.asc_nulls_last("user_name"))
         .limit(limit)

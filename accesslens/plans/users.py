@@ -4,10 +4,19 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accesslens.functions.events import event_day, event_minute, failed, known_user, since_days, with_identity
+from accesslens.functions.events import (
+    earliest,
+    event_day,
+    event_minute,
+    failed,
+    known_user,
+    latest,
+    since_days,
+    with_identity,
+)
 from accesslens.plans.rollup import rollup, total
 
 
@@ -15,10 +24,10 @@ def _acting_users(df: DataFrame, as_of: dt.date | None, days: int) -> DataFrame:
     return with_identity(since_days(df, as_of, days).where(known_user()))
 
 
-def _span(first: str, last: str) -> list:
+def _span(first: str | None = None, last: str | None = None) -> list[Column]:
     return [
-        event_minute(F.min(first)).alias("first_activity"),
-        event_minute(F.max(last)).alias("last_activity"),
+        event_minute(earliest(first and F.col(first))).alias("first_activity"),
+        event_minute(latest(last and F.col(last))).alias("last_activity"),
     ]
 
 
@@ -26,7 +35,7 @@ def user_lookup(df: DataFrame, as_of: dt.date | None = None, days: int = 30, lim
     return (
         _acting_users(df, as_of, days)
         .groupBy("user_identity")
-        .agg(*_span("event_time", "event_time"), F.count("*").alias("total_events"))
+        .agg(*_span(), F.count("*").alias("total_events"))
         .orderBy(F.desc("total_events"), F.asc_nulls_last("user_identity"))
         .limit(limit)
     )
@@ -53,7 +62,7 @@ def active_users(df: DataFrame, as_of: dt.date | None = None, days: int = 30, li
         .groupBy("user_identity")
         .agg(
             F.count("*").alias("total_actions"),
-            *_span("event_time", "event_time"),
+            *_span(),
             F.count_if(failed()).alias("error_count"),
         )
         .orderBy(F.desc("total_actions"), F.asc_nulls_last("user_identity"))
