@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.fixed import SERVICE_DOMAIN, SERVICE_ROLE_PATH
+from accesslens.functions.json import once
 from accesslens.functions.text import not_blank
 
 SERVICE = "service"
@@ -59,4 +60,4 @@ def flag_noise(df: DataFrame, drop_services: bool = True, roles: str | list[str]
 def filter_events(df: DataFrame, roles: str | list[str] | None) -> DataFrame:
     """Apply the role filter to rows of the event table."""
     arn = F.when(F.col("event_name") == "AssumeRole", F.get_json_object("request_parameters", "$.roleArn"))
-    return df.withColumn("role_arn", arn).where(~filtered_role(roles)).drop("role_arn")
+    return df.drop("role_arn").select("*", once(arn).alias("role_arn")).where(~filtered_role(roles)).select(df.columns)

@@ -18,7 +18,7 @@ from accesslens.operators.filters import ROLE, SERVICE, flag_noise
 from accesslens.operators.normalize import UNPARSABLE, parse_records, to_events
 from accesslens.operators.upsert import write_upsert
 from accesslens.schema import CONTROL, EVENT_COLUMNS, SENT_ALERTS
-from accesslens.session import shared_folder
+from accesslens.session import staging
 from accesslens.sources.routes import Routes, checkpoint_key, is_collected, route_table
 from accesslens.sources.store import read_table
 
@@ -173,22 +173,22 @@ def run_batch(
         parsed = parsed.where(is_collected(options.routes) | F.col("drop_reason").eqNullSafe(UNPARSABLE))
     if options.from_checkpoint:
         parsed = since_checkpoint(parsed, tables.read_control(spark), as_of, options.settle)
-    staged_path = shared_folder(spark, "records")
-    to_events(parsed, "drop_reason").select(
-        *[F.when(F.col("drop_reason").isNull(), F.col(name)).alias(name) for name in EVENT_COLUMNS], "drop_reason"
-    ).write.parquet(staged_path)
-
-    staged = spark.read.parquet(staged_path)
-    dropped = {row["drop_reason"]: row["count"] for row in staged.groupBy("drop_reason").count().collect()}
-    events = staged.where(F.col("drop_reason").isNull()).select(EVENT_COLUMNS)
-    outcomes = write_upsert(spark, events, tables.events)
-    errors = []
-    if options.alerts:
-        try:
-            send_alerts(spark, events, tables, as_of, options.own_account)
-        except Exception as error:  # alerts must not hold back the checkpoint
-            errors.append(f"alerts: {error}")
-    _advance(spark, events, tables, as_of, options.routes)
+    with staging(spark, "records") as staged_path:
+        to_events(parsed, "drop_reason").select(
+            *[F.when(F.col("drop_reason").isNull(), F.col(name)).alias(name) for name in EVENT_COLUMNS], "drop_reason"
+        ).write.parquet(staged_path)
+
+        staged = spark.read.parquet(staged_path)
+        dropped = {row["drop_reason"]: row["count"] for row in staged.groupBy("drop_reason").count().collect()}
+        events = staged.where(F.col("drop_reason").isNull()).select(EVENT_COLUMNS)
+        outcomes = write_upsert(spark, events, tables.events)
+        errors = []
+        if options.alerts:
+            try:
+                send_alerts(spark, events, tables, as_of, options.own_account)
+            except Exception as error:  # alerts must not hold back the checkpoint
+                errors.append(f"alerts: {error}")
+        _advance(spark, events, tables, as_of, options.routes)
     return run_summary(spark, dropped, outcomes, time.monotonic() - started, errors)
 
 

@@ -12,6 +12,7 @@ from accesslens.functions.events import failed
 from accesslens.functions.json import is_object, key_present, once
 from accesslens.functions.keys import restrict_to
 from accesslens.functions.text import regexp_or_null
+from accesslens.operators.upsert import LOOK_UP_OPTIONS
 from accesslens.schema import EVENT_COLUMNS, EVENT_KEY, LAKE_PARTITIONS
 from accesslens.sources.lake import lake_dates, read_lake
 
@@ -84,6 +85,7 @@ def write_lake(rows: DataFrame, path: str, by_region: bool = True, replace_dates
         .sortWithinPartitions(*partitions, "event_name", "event_time")
         .write.partitionBy(*partitions)
         .option("compression", "snappy")
+        .options(**LOOK_UP_OPTIONS)
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite" if replace_dates else "append")
         .parquet(path)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from accesslens.fixed import EVENT_TYPES, UNKNOWN
 from accesslens.functions.json import is_object, is_text, key_present
+from accesslens.functions.text import not_blank
 from accesslens.functions.time import instant_to_utc, iso, literal, parse_time
 from accesslens.schema import EVENT_COLUMNS
 
@@ -87,6 +88,8 @@ def parse_records(df: DataFrame, as_of: dt.datetime, role_marker: str = "/role/"
         event_id = F.coalesce("EventId", event_id)
         event_name = F.coalesce("EventName", event_name)
         event_ts = F.coalesce(sent, event_ts)
+    # Without an id a record has no key and cannot be stored.
+    usable &= not_blank(event_id)
     return df.select(
         event_id.alias("event_id"),
         event_ts.alias("event_ts"),

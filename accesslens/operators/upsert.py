@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 
 from accesslens.functions.keys import restrict_to
 from accesslens.schema import EVENT_COLUMNS, EVENT_KEY
-from accesslens.session import shared_folder
+from accesslens.session import staging
 from accesslens.sources.store import read_events
 
 PAYLOAD = [name for name in EVENT_COLUMNS if name not in EVENT_KEY]
 
+#: Look-ups by user skip row groups by Bloom filter, those by action by the
+#: sort order's statistics.
+LOOK_UP_OPTIONS = {
+    "parquet.bloom.filter.enabled#user_name": "true",
+    "parquet.bloom.filter.expected.ndv#user_name": "100000",
+}
+
 
 def _one_per_key(rows: DataFrame, *order: Column) -> DataFrame:
     """One row per event key; copies beyond the first go before the shuffle.
@@ -44,8 +51,14 @@ def insert_new_events(store: DataFrame, batch: DataFrame, load_order: str = "eve
     return first.join(store.select(EVENT_KEY), EVENT_KEY, "left_anti").select(EVENT_COLUMNS)
 
 
+def sized_by_date(rows: DataFrame) -> DataFrame:
+    """Rows spread for a write by date: adaptive execution merges small dates
+    and splits a date that is far above the rest."""
+    return rows.hint("rebalance", "event_date").sortWithinPartitions("event_date", "event_name", "event_time")
+
+
 def _append(rows: DataFrame, path: str) -> None:
-    rows.hint("rebalance", "event_date").write.partitionBy("event_date").mode("append").parquet(path)
+    sized_by_date(rows).write.partitionBy("event_date").options(**LOOK_UP_OPTIONS).mode("append").parquet(path)
 
 
 def write_new_events(spark: SparkSession, batch: DataFrame, path: str) -> None:
@@ -63,7 +76,11 @@ def write_upsert(spark: SparkSession, batch: DataFrame, path: str) -> dict[str,
     half-way is completed by running it again.  A rewrite replaces whole date
     partitions from a staged copy, never from the partitions it reads.
     """
-    staged_path = shared_folder(spark, "upsert")
+    with staging(spark, "upsert") as staged_path, staging(spark, "merged") as merged_path:
+        return _write_upsert(spark, batch, path, staged_path, merged_path)
+
+
+def _write_upsert(spark: SparkSession, batch: DataFrame, path: str, staged_path: str, merged_path: str) -> dict[str, int]:
     new = latest(batch)
     store = read_events(spark, path)
     old = restrict_to(store, "event_date", batch).select(*EVENT_KEY, F.struct(PAYLOAD).alias("_old"))
@@ -79,14 +96,12 @@ def write_upsert(spark: SparkSession, batch: DataFrame, path: str) -> dict[str,
     counts = {row["outcome"]: row["count"] for row in staged.groupBy("outcome").count().collect()}
     changed = staged.where("outcome = 'changed'").select("event_date").distinct()
     if counts.get("changed"):
-        merged_path = shared_folder(spark, "merged")
         touched = restrict_to(store, "event_date", changed)
-        upsert_events(touched, restrict_to(staged, "event_date", changed)).hint("rebalance", "event_date").write.parquet(
-            merged_path
-        )
+        upsert_events(touched, restrict_to(staged, "event_date", changed)).write.parquet(merged_path)
         (
-            spark.read.parquet(merged_path)
+            sized_by_date(spark.read.parquet(merged_path))
             .write.partitionBy("event_date")
+            .options(**LOOK_UP_OPTIONS)
             .option("partitionOverwriteMode", "dynamic")
             .mode("overwrite")
             .parquet(path)

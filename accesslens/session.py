@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -33,3 +35,16 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="accesslens-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def staging(spark: SparkSession, purpose: str) -> Iterator[str]:
+    """A shared folder for a staged table, removed once the work succeeded.
+
+    After a failure the folder stays: nothing reads it again, and what was
+    staged can be looked at.
+    """
+    folder = shared_folder(spark, purpose)
+    yield folder
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -30,11 +30,16 @@ def read_records(spark: SparkSession, path: str, modified_after: dt.datetime | N
     return reader.json(path).select(F.explode("Records").alias("rec"))
 
 
-def stream_records(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """The same records as a stream of newly delivered files."""
+def stream_records(
+    spark: SparkSession, path: str, files_per_trigger: int = 1000, multi_line: bool = True
+) -> DataFrame:
+    """The same records as a stream of newly delivered files.
+
+    With ``multi_line=False`` a file may hold one such document per line.
+    """
     return (
         spark.readStream.schema(RAW_FILE)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_trigger)
         .json(path)

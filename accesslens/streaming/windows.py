@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.functions.events import failed
-from accesslens.functions.time import from_iso
+from accesslens.functions.time import instant_to_utc
 from accesslens.operators.filters import flag_noise
 from accesslens.operators.normalize import kept, parse_records, to_events
 
@@ -16,32 +16,35 @@ LATENESS = "5 minutes"
 
 
 def event_stream(records: DataFrame, as_of: dt.datetime, roles: str | None = None) -> DataFrame:
-    """Event rows of a raw record stream, noise removed, with ``event_ts``."""
-    return to_events(kept(flag_noise(parse_records(records, as_of), roles=roles)), "event_ts")
+    """Event rows of a raw record stream, noise removed, timed for watermarks."""
+    return timed(to_events(kept(flag_noise(parse_records(records, as_of), roles=roles))))
 
 
-def with_event_ts(events: DataFrame) -> DataFrame:
-    """Event rows with their time as a timestamp, for a stream of the store."""
-    return events.withColumn("event_ts", from_iso(F.col("event_time")))
+def timed(events: DataFrame) -> DataFrame:
+    """Event rows with the instant ``event_instant``: watermarks need one."""
+    return events.withColumn("event_instant", F.col("event_time").try_cast("timestamp"))
 
 
 def deduplicated(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """First arrival per event key; keys are forgotten ``lateness`` after the
     newest event, which bounds the state."""
-    return events.withWatermark("event_ts", lateness).dropDuplicatesWithinWatermark(["event_date", "event_id"])
+    return events.withWatermark("event_instant", lateness).dropDuplicatesWithinWatermark(["event_date", "event_id"])
 
 
 def _windowed(events: DataFrame, width: str, lateness: str) -> DataFrame:
     return (
-        events.withWatermark("event_ts", lateness)
-        .groupBy(F.window("event_ts", width))
+        events.withWatermark("event_instant", lateness)
+        .groupBy(F.window("event_instant", width))
         .agg(
             F.count("*").alias("total_events"),
             F.approx_count_distinct("user_name").alias("approx_users"),
             F.approx_count_distinct("event_name").alias("approx_actions"),
             F.count_if(failed()).alias("failed_events"),
         )
-        .select(F.col("window.start").alias("window_start"), "total_events", "approx_users", "approx_actions", "failed_events")
+        .select(
+            instant_to_utc(F.col("window.start")).alias("window_start"),
+            "total_events", "approx_users", "approx_actions", "failed_events",
+        )
     )
 
 
