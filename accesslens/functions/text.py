@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def not_blank(value: Column) -> Column:
     """True for a value that is neither NULL nor ''; never NULL itself."""
-    return F.coalesce(value != "", F.lit(False))
+    return value.isNotNull() & (value != "")
 
 
 def regexp_or_null(value: Column, pattern: str, group: int = 1) -> Column:

@@ -37,11 +37,11 @@ class Routes:
 
 
 def is_collected(routes: Routes) -> Column:
-    """True for rows of a collected pair; never NULL."""
+    """True for rows of a collected pair."""
     keep = F.lit(False)
     for source, regions in routes.pairs().items():
         keep = keep | ((F.col("event_source") == source) & F.col("aws_region").isin(regions))
-    return F.coalesce(keep, F.lit(False))
+    return keep
 
 
 def select_sources(df: DataFrame, routes: Routes) -> DataFrame:
