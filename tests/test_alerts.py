@@ -22,6 +22,27 @@ def titles(*args, **kwargs):
     return [row[2] for row in found(*args, **kwargs)]
 
 
+def found_for_all(make_events, cases, own=OWN):
+    """Alerts of many (event name, parameters) cases from one pass, in order."""
+    rows = [
+        {
+            "event_id": str(i),
+            "event_name": name,
+            "request_parameters": p if isinstance(p, str) or p is None else json.dumps(p),
+            **(event[0] if event else {}),
+        }
+        for i, (name, p, *event) in enumerate(cases)
+    ]
+    result = [[] for _ in cases]
+    for row in find_alerts(make_events(*rows), own).collect():
+        result[int(row["event_id"])].append((row["rule_id"], row["alert_type"], row["alert_title"], row["alert_message"]))
+    return result
+
+
+def titles_for_all(make_events, cases):
+    return [[alert[2] for alert in alerts] for alerts in found_for_all(make_events, cases)]
+
+
 ADMIN_ARN = "arn:aws:iam::aws:policy/AdministratorAccess"
 SET = "arn:aws:sso:::permissionSet/ssoins-1/ps-9"
 CASES = [
@@ -60,24 +81,20 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("name, params, rule, severity, title, message", CASES)
-def test_rule_fires(make_events, name, params, rule, severity, title, message):
-    assert found(make_events, name, params) == [(rule, severity, title, message)]
+def test_rules_fire(make_events):
+    assert found_for_all(make_events, [case[:2] for case in CASES]) == [[case[2:]] for case in CASES]
 
 
-@pytest.mark.parametrize(
-    "name, params",
-    [(case[0], empty) for case in CASES if case[0] != "CreateAccessKey" for empty in ("{}", "null", "broken", "[1]", None)]
-    + [
+def test_rules_stay_silent(make_events):
+    cases = [(case[0], empty) for case in CASES if case[0] != "CreateAccessKey" for empty in ("{}", "null", "broken", "[1]", None)]
+    cases += [
         ("ListUsers", {"userName": "eve"}),
         ("AttachUserPolicy", {"policyArn": "x/ReadOnlyAccess"}),
         ("AttachUserPolicy", {"policyArn": None}),
         ("AttachRolePolicy", {"policyArn": ADMIN_ARN}),
         ("AttachManagedPolicyToPermissionSet", {"managedPolicyArn": "x/ReadOnlyAccess"}),
-    ],
-)
-def test_rule_stays_silent(make_events, name, params):
-    assert found(make_events, name, params) == []
+    ]
+    assert found_for_all(make_events, cases) == [[]] * len(cases)
 
 
 def test_first_listed_policy_is_reported(make_events):
@@ -85,64 +102,65 @@ def test_first_listed_policy_is_reported(make_events):
     assert "Admin policy IAMFullAccess " in found(make_events, "AttachUserPolicy", both)[0][3]
 
 
-@pytest.mark.parametrize(
-    "user, message, expected",
-    [("root", None, ["Root Account Login"]), ("root", "", ["Root Account Login"]), ("root", "no", ["Failed Root Login"]),
-     ("bob", "no", []), ("Root", None, [])],
-)
-def test_root_login(make_events, user, message, expected):
-    assert titles(make_events, "ConsoleLogin", "null", user_name=user, error_message=message) == expected
+LOGINS = [("root", None, ["Root Account Login"]), ("root", "", ["Root Account Login"]), ("root", "no", ["Failed Root Login"]),
+          ("bob", "no", []), ("Root", None, [])]
+
+
+def test_root_login(make_events):
+    cases = [("ConsoleLogin", "null", {"user_name": user, "error_message": message}) for user, message, _ in LOGINS]
+    assert titles_for_all(make_events, cases) == [expected for _, _, expected in LOGINS]
 
 
 def allow(*actions, **statement):
     return [{"Effect": "Allow", "Action": action, **statement} for action in actions]
 
 
-@pytest.mark.parametrize(
-    "statements, expected",
-    [
-        (allow("*"), "Full Admin Policy Attached"),
-        (allow(["s3:Get*", "iam:*"]), "Full IAM Permissions Attached"),
-        (allow(["s3:x"], ["sts:*", "*"]), "Full STS Permissions Attached"),
-        ([{"Effect": "Deny", "Action": "*"}, {"Effect": "Allow", "Action": "iam:*"}], "Full IAM Permissions Attached"),
-        ([{"Action": "*"}], None),
-        ([{"Effect": "Allow"}], None),
-        ([{"Effect": "Allow"}, *allow("*")], "Full Admin Policy Attached"),
-        ([{"Effect": "Allow", "Action": None}, *allow("*")], None),
-        (["text", *allow("*")], None),
-        ([*allow("*"), "text"], "Full Admin Policy Attached"),
-        (allow("*")[0], None),
-        (allow("s3:*"), None),
-    ],
-)
-def test_inline_policy(make_events, statements, expected):
-    params = {"policyName": "p", "userName": "eve", "policyDocument": json.dumps({"Statement": statements})}
-    assert titles(make_events, "PutUserPolicy", params) == ([expected] if expected else [])
+INLINE = [
+    (allow("*"), "Full Admin Policy Attached"),
+    (allow(["s3:Get*", "iam:*"]), "Full IAM Permissions Attached"),
+    (allow(["s3:x"], ["sts:*", "*"]), "Full STS Permissions Attached"),
+    ([{"Effect": "Deny", "Action": "*"}, {"Effect": "Allow", "Action": "iam:*"}], "Full IAM Permissions Attached"),
+    ([{"Action": "*"}], None),
+    ([{"Effect": "Allow"}], None),
+    ([{"Effect": "Allow"}, *allow("*")], "Full Admin Policy Attached"),
+    ([{"Effect": "Allow", "Action": None}, *allow("*")], None),
+    (["text", *allow("*")], None),
+    ([*allow("*"), "text"], "Full Admin Policy Attached"),
+    (allow("*")[0], None),
+    (allow("s3:*"), None),
+]
+
+
+def test_inline_policy(make_events):
+    documents = [json.dumps({"Statement": statements}) for statements, _ in INLINE]
+    cases = [("PutUserPolicy", {"policyName": "p", "userName": "e", "policyDocument": d}) for d in documents]
+    assert titles_for_all(make_events, cases) == [[title] if title else [] for _, title in INLINE]
 
 
-@pytest.mark.parametrize("document", ["", "broken", "[]", '"x"', {"Statement": allow("*")}, None, 5])
-def test_unreadable_policy_document(make_events, document):
-    assert titles(make_events, "PutUserPolicy", {"userName": "e", "policyDocument": document}) == []
+def test_unreadable_policy_documents(make_events):
+    documents = ["", "broken", "[]", '"x"', {"Statement": allow("*")}, None, 5]
+    cases = [("PutUserPolicy", {"userName": "e", "policyDocument": document}) for document in documents]
+    assert titles_for_all(make_events, cases) == [[]] * len(cases)
 
 
 ROOT, OTHER = f"arn:aws:iam::{OWN}:root", "arn:aws:iam::999999999999:root"
 WILD, FOREIGN = "Role Trust Policy with Wildcard Principal", "Role Trust Policy with External Account"
 
 
-@pytest.mark.parametrize(
-    "principal, expected",
-    [
+PRINCIPALS = [
         ("*", WILD), ({"AWS": "*"}, WILD), ({"AWS": ["*"]}, None), ({"AWS": OTHER}, FOREIGN), ({"AWS": [ROOT, OTHER]}, FOREIGN),
         ({"AWS": ROOT}, None), ({"Service": "ec2.amazonaws.com"}, None), ({"AWS": "arn:aws:iam::9:user/x"}, None),
         ({"AWS": ["x:root", OTHER]}, None), ({"AWS": None}, None), ("text", None),
-    ],
-)
+]
+
+
 @pytest.mark.parametrize(
     "name, key", [("CreateRole", "assumeRolePolicyDocument"), ("UpdateAssumeRolePolicy", "policyDocument")]
 )
-def test_trust_policy(make_events, name, key, principal, expected):
-    document = json.dumps({"Statement": [{"Effect": "Allow", "Principal": principal}]})
-    assert titles(make_events, name, {"roleName": "r", key: document}) == ([expected] if expected else [])
+def test_trust_policy(make_events, name, key):
+    documents = [json.dumps({"Statement": [{"Effect": "Allow", "Principal": p}]}) for p, _ in PRINCIPALS]
+    cases = [(name, {"roleName": "r", key: document}) for document in documents]
+    assert titles_for_all(make_events, cases) == [[title] if title else [] for _, title in PRINCIPALS]
 
 
 def test_trust_policy_order_and_options(make_events):

@@ -25,9 +25,7 @@ def parse(spark, *records, **options):
     return parse_records(from_text(spark.createDataFrame(rows, "raw string")), NOW, **options)
 
 
-@pytest.mark.parametrize(
-    "parts, expected",
-    [
+USER_NAMES = [
         ({"eventName": "AssumeRole", "requestParameters": {"roleArn": "arn:aws:iam::1/role/team/X"}}, "team/X"),
         ({"eventName": "AssumeRole", "requestParameters": {"roleArn": "a/role/b/role/X"}}, "X"),
         ({"eventName": "AssumeRole", "requestParameters": {"roleArn": "arn:aws:iam::1:role/X"}}, "bob"),
@@ -45,11 +43,12 @@ def parse(spark, *records, **options):
         ({"userIdentity": {"principalId": "P"}}, "P"),
         ({"userIdentity": {}}, "unknown"),
         ({"userIdentity": "ABSENT"}, "unknown"),
-    ],
-)
-def test_user_name(spark, parts, expected):
-    row = parse(spark, record(**parts)).first()
-    assert (row["user_name"], row["drop_reason"]) == (expected, None)
+]
+
+
+def test_user_name(spark):
+    rows = parse(spark, *[record(**parts) for parts, _ in USER_NAMES]).collect()
+    assert [(row["user_name"], row["drop_reason"]) for row in rows] == [(name, None) for _, name in USER_NAMES]
 
 
 def test_role_marker_option(spark):
