@@ -82,7 +82,8 @@ def with_identity(df: DataFrame, name: str = "user_identity") -> DataFrame:
     """
     if "user_identity" in df.columns:
         return df if name == "user_identity" else df.withColumn(name, F.col("user_identity"))
-    session_in_name = regexp_or_null(F.col("user_name"), ":(.+)$")
+    user = F.col("user_name")
+    session_in_name = F.when(user.contains(":"), regexp_or_null(user, ":(.+)$"))
     params = F.col("request_parameters")
     may_hold_key = params.contains("roleSessionName") | params.contains("\\u")
     return (

@@ -17,6 +17,12 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def open_once(value: Column, *names: str) -> Column:
+    """The fields of a struct as columns ``names``, worked out once per row;
+    a NULL struct gives NULL fields."""
+    return F.inline(F.array(value)).alias(*names)
+
+
 def key_present(variant: Column, path: str) -> Column:
     """True when the key exists, also with a JSON null as its value."""
     return F.try_variant_get(variant, path, "variant").isNotNull()
@@ -41,19 +47,23 @@ def json_fields(
     missing keys give NULL.  ``guard`` skips the parse for rows it rejects.
     """
     keys = list(dict.fromkeys(fields.values()))
-    shape = T.StructType([T.StructField(key, T.StringType()) for key in keys])
-    parsed = F.from_json(F.col(source), shape)
+    held = {key: f"_json_{key}" for key in keys}
+    if len(keys) == 1:  # stops reading at the key
+        parsed = F.get_json_object(source, f"$.{keys[0]}")
+    else:
+        shape = T.StructType([T.StructField(key, T.StringType()) for key in keys])
+        parsed = F.from_json(F.col(source), shape)
     if guard is not None:
         parsed = F.when(guard, parsed)
+    generated = once(parsed).alias(*held.values()) if len(keys) == 1 else open_once(parsed, *held.values())
     return (
-        df.select("*", once(parsed).alias("_json"))
-        .withColumns({name: _scalar(source, key) for name, key in fields.items()})
-        .drop("_json")
+        df.select("*", generated)
+        .withColumns({name: _scalar(F.col(held[key]), source, key) for name, key in fields.items()})
+        .drop(*held.values())
     )
 
 
-def _scalar(source: str, key: str) -> Column:
-    value = F.col(f"_json.{key}")
+def _scalar(value: Column, source: str, key: str) -> Column:
     # The parse returns nested values as text.  A text that merely starts
     # like one is rare; only then look at the value's real type.
     starts_nested = F.substring(value, 1, 1).isin("{", "[")

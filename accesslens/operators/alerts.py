@@ -261,13 +261,12 @@ def find_alerts(
     context = [
         "event_id", "event_date", "event_time", "event_name", "user_name", "source_ip", "aws_region",
     ]
-    found = F.explode(F.array_compact(F.array(*rules())))
+    found = F.inline(F.array_compact(F.array(*rules())))
     return (
         events.where(gate)
         .select(*context, "error_message", once(params).alias("_params"))
         .select("*", once(_finding(own_account, strict_wildcards)).alias("_finding"))
-        .select(*context, found.alias("_alert"))
-        .select(*context, "_alert.*")
+        .select(*context, found)
     )
 
 

@@ -13,100 +13,124 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.fixed import EVENT_TYPES, UNKNOWN
-from accesslens.functions.json import is_object, is_text, key_present
+from accesslens.functions.json import is_object, is_text, key_present, open_once
 from accesslens.functions.text import not_blank
 from accesslens.functions.time import instant_to_utc, iso, literal, parse_time
 from accesslens.schema import EVENT_COLUMNS
 
 UNPARSABLE = "unparsable"
 
+# Fields read from a record.  VARIANT keeps the difference between a missing
+# key (NULL) and a JSON null (a value).
+RECORD_FIELDS = {
+    "eventID": "string", "eventTime": "variant", "eventName": "string", "eventSource": "string", "awsRegion": "string",
+    "sourceIPAddress": "string", "userAgent": "string", "errorCode": "string", "errorMessage": "string",
+    "requestParameters": "variant", "responseElements": "variant", "userIdentity": "variant",
+}
+RECORD = f"struct<{', '.join(f'{name}: {kind}' for name, kind in RECORD_FIELDS.items())}>"
 
-def _text(path: str) -> Column:
-    return F.try_variant_get("rec", path, "string")
+
+def _text(part: str, path: str = "$") -> Column:
+    return F.try_variant_get(part, path, "string")
+
+
+def _identity(path: str) -> Column:
+    return _text("userIdentity", path)
 
 
 def _has(path: str) -> Column:
-    return key_present(F.col("rec"), path)
+    return key_present(F.col("userIdentity"), path)
 
 
 def _object_if_present(path: str) -> Column:
-    return ~_has(path) | is_object(F.col("rec"), path)
+    return ~_has(path) | is_object(F.col("userIdentity"), path)
 
 
 def user_name(role_marker: str = "/role/") -> Column:
-    """Who acted, by the first rule that applies.
+    """Who acted, by the first rule that applies to a record's fields.
 
     A key that exists with a null value still decides its rule and gives
     NULL.  ``role_marker`` is taken literally; standard role ARNs contain
     ``:role/``, which the default does not match.
     """
-    identity = "$.userIdentity"
-    role_arn = _text("$.requestParameters.roleArn")
-    arn = _text(f"{identity}.arn")
-    assumed_role = (_text("$.eventName") == "AssumeRole") & role_arn.contains(role_marker)
-    console = _text("$.eventName") == "ConsoleLogin"
-    kind = _text(f"{identity}.type")
-    own_name = _text(f"{identity}.userName")
-    issuer = f"{identity}.sessionContext.sessionIssuer.userName"
+    role_arn, arn = _text("requestParameters", "$.roleArn"), _identity("$.arn")
+    assumed_role = (F.col("eventName") == "AssumeRole") & role_arn.contains(role_marker)
+    issuer = "$.sessionContext.sessionIssuer.userName"
     return (
         F.when(assumed_role, F.substring_index(role_arn, role_marker, -1))
-        .when(console & (kind == "Root"), "root")
-        .when(_has(f"{identity}.userName"), own_name)
-        .when(_has(f"{identity}.sessionContext"), F.when(_has(issuer), _text(issuer)).otherwise(UNKNOWN))
-        .when(
-            _has(f"{identity}.arn"),
-            F.when(arn.contains("/"), F.substring_index(arn, "/", -1)).otherwise(UNKNOWN),
-        )
-        .when(_has(f"{identity}.principalId"), _text(f"{identity}.principalId"))
+        .when((F.col("eventName") == "ConsoleLogin") & (_identity("$.type") == "Root"), "root")
+        .when(_has("$.userName"), _identity("$.userName"))
+        .when(_has("$.sessionContext"), F.when(_has(issuer), _identity(issuer)).otherwise(UNKNOWN))
+        .when(_has("$.arn"), F.when(arn.contains("/"), F.substring_index(arn, "/", -1)).otherwise(UNKNOWN))
+        .when(_has("$.principalId"), _identity("$.principalId"))
         .otherwise(UNKNOWN)
     )
 
 
-def _json_text(path: str) -> Column:
+def _json_text(part: str) -> Column:
     """JSON text of a part: ``null`` for a JSON null, ``{}`` when missing."""
-    return F.coalesce(F.to_json(F.try_variant_get("rec", path, "variant")), F.lit("{}"))
+    return F.coalesce(F.to_json(part), F.lit("{}"))
 
 
 def parse_records(df: DataFrame, as_of: dt.datetime, role_marker: str = "/role/") -> DataFrame:
-    """Parsed records from ``rec``; a time in no known format becomes ``as_of``."""
-    usable = (
-        is_text(F.col("rec"), "$.eventTime")
-        & _object_if_present("$.userIdentity")
-        & _object_if_present("$.userIdentity.sessionContext")
-        & _object_if_present("$.userIdentity.sessionContext.sessionIssuer")
-        & (
-            ~F.coalesce(_text("$.eventName") == "AssumeRole", F.lit(False))
-            | ~_has("$.requestParameters.roleArn")
-            | is_text(F.col("rec"), "$.requestParameters.roleArn")
-        )
-    )
-    event_id, event_name = _text("$.eventID"), _text("$.eventName")
-    event_ts = F.coalesce(parse_time(_text("$.eventTime")), literal(as_of))
-    if "EventId" in df.columns:
-        sent = F.col("EventTime")
+    """Parsed records from ``rec``; a time in no known format becomes ``as_of``.
+
+    Without an id a record has no key; a record without time, with an identity
+    that is no object or with an unreadable role cannot be used.  The record
+    is opened in one step, and what later filters use is worked out once.
+    """
+    enveloped = "EventId" in df.columns
+    event_id, event_name = F.col("eventID"), F.col("eventName")
+    event_ts = F.coalesce(parse_time(_text("eventTime")), literal(as_of))
+    if enveloped:
+        sent = F.col("_sent_time")
         sent = instant_to_utc(sent) if df.schema["EventTime"].dataType.typeName() == "timestamp" else sent
-        event_id = F.coalesce("EventId", event_id)
-        event_name = F.coalesce("EventName", event_name)
+        df = df.withColumnsRenamed({"EventId": "_sent_id", "EventTime": "_sent_time", "EventName": "_sent_name"})
+        event_id = F.coalesce("_sent_id", event_id)
+        event_name = F.coalesce("_sent_name", event_name)
         event_ts = F.coalesce(sent, event_ts)
-    # Without an id a record has no key and cannot be stored.
-    usable &= not_blank(event_id)
-    return df.select(
-        event_id.alias("event_id"),
-        event_ts.alias("event_ts"),
-        event_name.alias("event_name"),
-        _text("$.eventSource").alias("event_source"),
-        _text("$.awsRegion").alias("aws_region"),
-        user_name(role_marker).alias("user_name"),
-        _text("$.sourceIPAddress").alias("source_ip"),
-        _text("$.userAgent").alias("user_agent"),
-        _json_text("$.requestParameters").alias("request_parameters"),
-        _json_text("$.responseElements").alias("response_elements"),
-        _text("$.errorCode").alias("error_code"),
-        _text("$.errorMessage").alias("error_message"),
-        _text("$.userIdentity.type").alias("identity_type"),
-        _text("$.userIdentity.sessionContext.sessionIssuer.arn").alias("issuer_arn"),
-        _text("$.requestParameters.roleArn").alias("role_arn"),
-        F.when(usable, None).otherwise(UNPARSABLE).alias("drop_reason"),
+    role_unreadable = (
+        (F.col("eventName") == "AssumeRole")
+        & key_present(F.col("requestParameters"), "$.roleArn")
+        & ~is_text(F.col("requestParameters"), "$.roleArn")
+    )
+    usable = (
+        is_text(F.col("eventTime"))
+        & (F.col("userIdentity").isNull() | is_object(F.col("userIdentity")))
+        & _object_if_present("$.sessionContext")
+        & _object_if_present("$.sessionContext.sessionIssuer")
+        & ~F.coalesce(role_unreadable, F.lit(False))
+        & not_blank(event_id)
+    )
+    derived = {
+        "event_ts": event_ts,
+        "user_name": user_name(role_marker),
+        "identity_type": _identity("$.type"),
+        "issuer_arn": _identity("$.sessionContext.sessionIssuer.arn"),
+        "role_arn": _text("requestParameters", "$.roleArn"),
+        "drop_reason": F.when(usable, None).otherwise(UNPARSABLE),
+    }
+    return (
+        df.select("*", open_once(F.try_variant_get("rec", "$", RECORD), *RECORD_FIELDS))
+        .select("*", open_once(F.struct(*[value.alias(name) for name, value in derived.items()]), *derived))
+        .select(
+            event_id.alias("event_id"),
+            "event_ts",
+            event_name.alias("event_name"),
+            F.col("eventSource").alias("event_source"),
+            F.col("awsRegion").alias("aws_region"),
+            "user_name",
+            F.col("sourceIPAddress").alias("source_ip"),
+            F.col("userAgent").alias("user_agent"),
+            _json_text("requestParameters").alias("request_parameters"),
+            _json_text("responseElements").alias("response_elements"),
+            F.col("errorCode").alias("error_code"),
+            F.col("errorMessage").alias("error_message"),
+            "identity_type",
+            "issuer_arn",
+            "role_arn",
+            "drop_reason",
+        )
     )
 
 
