@@ -82,7 +82,14 @@ FROM (SELECT *, substr(event_time, 1, 10) AS event_date_x FROM named) t
 """
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than there are
+    cores, as one small file has; a large table is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def events_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The central event table over the whole supplied ``events`` table."""
-    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
+    spread(spark.read.parquet(f"{sf_dir}/events.parquet")).createOrReplaceTempView("events")
     return spark.sql(EVENTS_SQL)
