@@ -28,7 +28,7 @@ from accesslens.fixed import (
 )
 from accesslens.functions.json import is_object, is_text, key_present, once
 from accesslens.functions.text import fill, not_blank
-from accesslens.functions.time import epoch_seconds, literal
+from accesslens.functions.time import as_utc, epoch_seconds, literal
 
 ALERT_EVENTS = [
     "ConsoleLogin", "CreateUser", "AttachUserPolicy", "PutUserPolicy", "CreateAccessKey", "CreateRole",
@@ -283,8 +283,13 @@ def unsent(alerts: DataFrame, sent: DataFrame, now: dt.datetime) -> DataFrame:
 
 
 def active_sent(sent: DataFrame, now: dt.datetime) -> DataFrame:
-    """Sent alerts whose retention has not run out."""
-    return sent.where(F.col("ttl") > epoch_seconds(now))
+    """Sent alerts whose retention has not run out.
+
+    The alert table is partitioned by the day of sending, so older days are
+    not read.
+    """
+    oldest = (as_utc(now) - dt.timedelta(days=ALERT_RETENTION_DAYS)).date().isoformat()
+    return sent.where((F.col("sent_date") >= oldest) & (F.col("ttl") > epoch_seconds(now)))
 
 
 def notices(alerts: DataFrame) -> DataFrame:
@@ -312,6 +317,7 @@ def notices(alerts: DataFrame) -> DataFrame:
 def sent_records(due: DataFrame, now: dt.datetime) -> DataFrame:
     """Notices stamped as sent, with the end of their retention."""
     return due.withColumns({
+        "sent_date": F.lit(as_utc(now).date().isoformat()),
         "sent_timestamp": literal(now),
         "ttl": F.lit(epoch_seconds(now + dt.timedelta(days=ALERT_RETENTION_DAYS))).cast("bigint"),
     })

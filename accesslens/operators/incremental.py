@@ -121,7 +121,7 @@ class Tables:
         return latest_control(read_table(spark, self.control, CONTROL))
 
     def read_alerts(self, spark: SparkSession) -> DataFrame:
-        return read_table(spark, self.alerts, ALERT_TABLE)
+        return read_table(spark, self.alerts, ALERT_TABLE).select(ALERT_TABLE.fieldNames())
 
 
 @dataclass(frozen=True)
@@ -146,7 +146,7 @@ def send_alerts(spark: SparkSession, events: DataFrame, tables: Tables, as_of: d
     """
     due = unsent(find_alerts(events, own_account), tables.read_alerts(spark), as_of)
     rows = sent_records(notices(due), as_of).select(ALERT_TABLE.fieldNames())
-    rows.write.mode("append").parquet(tables.alerts)
+    rows.write.partitionBy("sent_date").mode("append").parquet(tables.alerts)
 
 
 def _advance(spark: SparkSession, events: DataFrame, tables: Tables, as_of: dt.datetime, routes: Routes | None) -> None:

@@ -122,19 +122,32 @@ def recent_dates(spark: SparkSession, as_of: dt.date, days_back: int = 1) -> Dat
 
 
 def export(
-    spark: SparkSession, events: DataFrame, path: str, mode: str = "dates", by_region: bool = True
+    spark: SparkSession,
+    events: DataFrame,
+    path: str,
+    mode: str = "dates",
+    by_region: bool = True,
+    dates: DataFrame | None = None,
 ) -> DataFrame:
     """Export what the lake misses and return a one-row summary.
 
-    ``mode='dates'`` exports dates without any file, in one write.
+    ``mode='dates'`` exports dates without any file, in one write; ``dates``
+    names others to export again, for example ``recent_dates``.
     ``mode='events'`` also adds events that arrived after their date was
     exported, and completes a date that a failed write left partial.
     """
     if mode == "dates":
-        dates = missing_dates(events, lake_dates(spark, path))
+        if dates is None:
+            dates = missing_dates(events, lake_dates(spark, path))
         rows = restrict_to(events, "event_date", dates)
     elif mode == "events":
-        rows = missing_events(events, read_lake(spark, path))
+        lake = read_lake(spark, path)
+        # Keys alone show which dates are incomplete; only the events of
+        # those dates are shuffled whole.
+        incomplete = missing_events(events.select(EVENT_KEY), lake)
+        rows = missing_events(
+            restrict_to(events, "event_date", incomplete), restrict_to(lake, "event_date", incomplete)
+        )
     else:
         raise ValueError(f"Unknown export mode: {mode}. Available modes: dates, events")
     # Counted from the stored keys: exact also when tasks are repeated.

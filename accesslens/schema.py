@@ -40,7 +40,7 @@ CONTROL = T.StructType([
 ])
 
 SENT_ALERTS = T.StructType(
-    _strings("event_id alert_type rule_id alert_title message_id")
+    _strings("event_id alert_type rule_id alert_title message_id sent_date")
     + [T.StructField("sent_timestamp", T.TimestampNTZType()), T.StructField("ttl", T.LongType())]
 )
 

@@ -146,3 +146,11 @@ def test_a_region_day_holding_most_rows_is_written_by_several_tasks(spark, make_
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert len(glob.glob(f"{tmp_path}/year=2024/month=1/day=30/region=us-east-1/*.parquet")) > 2
     assert spark.read.parquet(str(tmp_path)).count() == 60001
+
+
+def test_recent_dates_are_exported_again(spark, events, tmp_path):
+    path = str(tmp_path)
+    lake.export(spark, events, path)
+    again = lake.export(spark, events, path, dates=lake.recent_dates(spark, AS_OF, 2)).first()
+    assert again["total_events_exported"] == events.where("event_date >= '2024-01-29'").count()
+    assert read_lake(spark, path).count() == events.count()

@@ -59,7 +59,8 @@ def test_parameters(events, limit):
 
 def test_latest_rows_are_found_without_a_shuffle(events):
     text = plan(run("permission_changes", events, AS_OF))
-    assert "TakeOrderedAndProject" in text and "Exchange" not in text
+    assert "TakeOrderedAndProject" in text
+    assert "hashpartitioning" not in text and "rangepartitioning" not in text
     assert text.index("from_json") < text.index("TakeOrderedAndProject")  # parsed after the limit
 
 
