@@ -120,6 +120,16 @@ class Tables:
     def read_control(self, spark: SparkSession) -> DataFrame:
         return latest_control(read_table(spark, self.control, CONTROL))
 
+    def delivered_since(self, spark: SparkSession, settle: dt.timedelta = SETTLE) -> dt.datetime | None:
+        """Files modified before this time hold nothing for the next run.
+
+        The last run read every file there was, and left out events younger
+        than the settle time; their files are not older than they are.  None
+        before the first run, and to be ignored when a source is added.
+        """
+        last = self.read_control(spark).agg(F.max("last_execution_time")).first()[0]
+        return last - settle if last else None
+
     def read_alerts(self, spark: SparkSession) -> DataFrame:
         return read_table(spark, self.alerts, ALERT_TABLE).select(ALERT_TABLE.fieldNames())
 

@@ -24,6 +24,11 @@ def rollup(df: DataFrame, *keys: Column | str) -> DataFrame:
     )
 
 
+def distinct(column: str, approximate: bool = False) -> Column:
+    """Exact count of distinct values, or a HyperLogLog estimate."""
+    return F.approx_count_distinct(column) if approximate else F.countDistinct(column)
+
+
 def total(column: str = "n", where: Column | None = None) -> Column:
     """Sum of a roll-up count, 0 when nothing qualifies."""
     value = F.col(column) if where is None else F.when(where, F.col(column))

@@ -17,7 +17,7 @@ from accesslens.functions.events import (
     since_days,
     with_identity,
 )
-from accesslens.plans.rollup import rollup, total
+from accesslens.plans.rollup import distinct, rollup, total
 
 
 def _acting_users(df: DataFrame, as_of: dt.date | None, days: int) -> DataFrame:
@@ -41,15 +41,17 @@ def user_lookup(df: DataFrame, as_of: dt.date | None = None, days: int = 30, lim
     )
 
 
-def user_lookup_full(df: DataFrame, as_of: dt.date | None = None, days: int = 30, limit: int = 25) -> DataFrame:
+def user_lookup_full(
+    df: DataFrame, as_of: dt.date | None = None, days: int = 30, limit: int = 25, approximate: bool = False
+) -> DataFrame:
     return (
         rollup(_acting_users(df, as_of, days), "user_identity", "event_name", event_day().alias("day"))
         .groupBy("user_identity")
         .agg(
             *_span("first_time", "last_time"),
             total().alias("total_events"),
-            F.countDistinct("event_name").alias("unique_actions"),
-            F.countDistinct("day").alias("days_active"),
+            distinct("event_name", approximate).alias("unique_actions"),
+            distinct("day", approximate).alias("days_active"),
         )
         .orderBy(F.desc("total_events"), F.asc_nulls_last("user_identity"))
         .limit(limit)
@@ -70,14 +72,16 @@ def active_users(df: DataFrame, as_of: dt.date | None = None, days: int = 30, li
     )
 
 
-def active_users_full(df: DataFrame, as_of: dt.date | None = None, days: int = 30, limit: int = 30) -> DataFrame:
+def active_users_full(
+    df: DataFrame, as_of: dt.date | None = None, days: int = 30, limit: int = 30, approximate: bool = False
+) -> DataFrame:
     return (
         rollup(_acting_users(df, as_of, days), "user_identity", "event_name", event_day().alias("day"))
         .groupBy("user_identity")
         .agg(
             total().alias("total_actions"),
-            F.countDistinct("event_name").alias("unique_actions"),
-            F.countDistinct("day").alias("active_days"),
+            distinct("event_name", approximate).alias("unique_actions"),
+            distinct("day", approximate).alias("active_days"),
             *_span("first_time", "last_time"),
             total("n_failed").alias("error_count"),
         )

@@ -44,8 +44,8 @@ SENT_ALERTS = T.StructType(
     + [T.StructField("sent_timestamp", T.TimestampNTZType()), T.StructField("ttl", T.LongType())]
 )
 
-#: Raw delivery files hold one top-level array of records.
-RAW_FILE = T.StructType([T.StructField("Records", T.ArrayType(T.VariantType()))])
+#: Raw delivery files hold one top-level array of records, kept as JSON text.
+RAW_FILE = T.StructType([T.StructField("Records", T.ArrayType(T.StringType()))])
 ENVELOPE = T.StructType([
     T.StructField("EventId", T.StringType()),
     T.StructField("EventTime", T.TimestampType()),

@@ -1,7 +1,10 @@
 """Raw audit records from files: one ``rec`` VARIANT per record.
 
-The reader parses each record once.  Delivery files are small (a few MB), so
-one array per file is a bounded row; ``explode`` spreads it into records.
+Delivery files are small (a few MB), so one array per file is a bounded row;
+``explode`` spreads it into records.  The reader splits a file into the texts of
+its records, and each text is parsed on its own: a record that cannot be parsed
+gives a NULL ``rec`` and leaves its neighbours alone.  So does, as one NULL, a
+file that holds no records array at all; both are counted as unparsable.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ def read_records(spark: SparkSession, path: str, modified_after: dt.datetime | N
         reader = reader.option("modifiedAfter", as_utc(modified_after).strftime("%Y-%m-%dT%H:%M:%S")).option(
             "timeZone", "UTC"
         )
-    return reader.json(path).select(F.explode("Records").alias("rec"))
+    return _split(reader.json(path))
 
 
 def stream_records(
@@ -37,16 +40,20 @@ def stream_records(
 
     With ``multi_line=False`` a file may hold one such document per line.
     """
-    return (
+    return _split(
         spark.readStream.schema(RAW_FILE)
         .option("multiLine", multi_line)
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_trigger)
         .json(path)
-        .select(F.explode("Records").alias("rec"))
     )
 
 
+def _split(files: DataFrame) -> DataFrame:
+    unreadable = F.array(F.lit(None).cast("string"))
+    return from_text(files.select(F.explode(F.coalesce("Records", unreadable)).alias("raw")))
+
+
 def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     """Look-up results, one JSON envelope per line around the record text."""
     return unwrap(spark.read.schema(ENVELOPE).json(path))

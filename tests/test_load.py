@@ -155,6 +155,13 @@ def test_run_and_repeat(spark, tmp_path):
     assert tables.read_alerts(spark).count() == 2
 
 
+def test_files_before_the_last_run_can_be_skipped(spark, tmp_path):
+    tables = Tables.under(str(tmp_path))
+    assert tables.delivered_since(spark) is None
+    run_batch(spark, text_records(spark, record(1)), tables, NOW, Options())
+    assert tables.delivered_since(spark) == NOW - dt.timedelta(minutes=5)
+
+
 def test_run_without_events_changes_nothing(spark, tmp_path):
     tables = Tables.under(str(tmp_path))
     run_batch(spark, text_records(spark, record(1)), tables, NOW, Options())

@@ -115,6 +115,15 @@ def test_record_files(spark, tmp_path):
     assert future.count() == 0
 
 
+def test_one_broken_record_or_file_leaves_the_rest_alone(spark, tmp_path):
+    good, twice = json.dumps(record()), '{"eventID":"e2","eventID":"e2","eventTime":"2024-01-30T10:00:00Z"}'
+    (tmp_path / "a.json").write_text(f'{{"Records": [{good}, {twice}]}}')
+    (tmp_path / "b.json").write_text('{"Records": [{"eventID": ')
+    (tmp_path / "c.json").write_text('{"Records": []}')
+    parsed = parse_records(read_records(spark, str(tmp_path)), NOW)
+    assert sorted(str(row["drop_reason"]) for row in parsed.collect()) == ["None", "unparsable", "unparsable"]
+
+
 def test_envelope_values_win(spark, tmp_path):
     line = {
         "EventId": "env", "EventTime": "2024-01-29T08:00:00.000+02:00", "EventName": "Renamed",

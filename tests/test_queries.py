@@ -107,6 +107,18 @@ def test_assumption_of_a_service_without_user(make_events):
     assert run("role_assumptions", rows, AS_OF, more_than=6).count() == 0
 
 
+@pytest.mark.parametrize("name", ["user_lookup", "active_users", "daily_summary", "hourly_activity", "table_statistics"])
+def test_approximate_counts_are_close(events, name):
+    exact = run(name, events, AS_OF, "full").collect()
+    close = run(name, events, AS_OF, "full", approximate=True).collect()
+    for left, right in zip(exact, close, strict=True):
+        for column in left.asDict():
+            if isinstance(left[column], int):
+                assert right[column] == pytest.approx(left[column], rel=0.2, abs=1)
+            else:
+                assert right[column] == left[column]
+
+
 def test_empty_table(make_events):
     empty = make_events({}).where("false")
     row = run("table_statistics", empty).first()
