@@ -19,13 +19,16 @@ from accesslens.functions.time import as_utc
 from accesslens.schema import ENVELOPE, RAW_FILE
 
 
-def read_records(spark: SparkSession, path: str, modified_after: dt.datetime | None = None) -> DataFrame:
+def read_records(
+    spark: SparkSession, path: str, modified_after: dt.datetime | None = None, multi_line: bool = True
+) -> DataFrame:
     """Records of ``{"Records": [...]}`` files below ``path``.
 
     ``modified_after`` skips files that were delivered earlier, so that an
-    incremental run lists but does not open them.
+    incremental run lists but does not open them.  With ``multi_line=False`` a
+    file may hold one such document per line, and large files are split.
     """
-    reader = spark.read.schema(RAW_FILE).option("multiLine", True).option("recursiveFileLookup", True)
+    reader = spark.read.schema(RAW_FILE).option("multiLine", multi_line).option("recursiveFileLookup", True)
     if modified_after is not None:
         reader = reader.option("modifiedAfter", as_utc(modified_after).strftime("%Y-%m-%dT%H:%M:%S")).option(
             "timeZone", "UTC"

@@ -294,18 +294,38 @@ def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_date").agg(F.count("*").alias("events"))
 
 
-def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of raw records, loaded by the streaming query into the store."""
+def _deliver(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Raw records as delivered files; broken text cannot be inside one."""
+    records = raw_from(spark, sf_dir).where(F.col("shape") != 14)
+    records.select(F.array(F.parse_json("raw")).alias("Records")).write.json(folder)
+
+
+def _raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "raw")
+    _deliver(spark, sf_dir, folder)
+    parsed = flag_noise(parse_records(raw.read_records(spark, folder, multi_line=False), NOW), roles=ROLES)
+    return _event_view(to_events(kept(parsed)))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> incremental.Tables:
+    """Files of raw records, loaded by the streaming query."""
     folder = shared_folder(spark, "ingest")
-    raw_from(spark, sf_dir).where(F.col("shape") != 14).select(
-        F.array(F.parse_json("raw")).alias("Records")
-    ).write.json(f"{folder}/raw")
+    _deliver(spark, sf_dir, f"{folder}/raw")
     tables = incremental.Tables.under(f"{folder}/tables")
     options = incremental.Options(roles=ROLES, own_account=OWN_ACCOUNT)
     ingest.start_ingest(
         raw.stream_records(spark, f"{folder}/raw", multi_line=False), tables, f"{folder}/checkpoint", options, as_of=NOW
     ).awaitTermination()
-    return _event_view(store.read_events(spark, tables.events))
+    return tables
+
+
+def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _event_view(store.read_events(spark, _ingested(spark, sf_dir).events))
+
+
+def _stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _ingested(spark, sf_dir).read_alerts(spark)
+    return found.select("event_id", "alert_type", "rule_id", "alert_title", "alert_message")
 
 
 OPERATION_QUERIES: dict[str, Query] = {
@@ -317,6 +337,7 @@ OPERATION_QUERIES: dict[str, Query] = {
     ),
     "source_routing_table": _routed_counts,
     "role_filter": _on_events(lambda e: filter_events(e, ROLES).select("event_id", "user_name", "event_name")),
+    "raw_files": _raw_files,
     "raw_normalized": _raw_events,
     "raw_kept_events": _raw_kept,
     "raw_drop_reasons": _raw_reasons,
@@ -354,4 +375,5 @@ OPERATION_QUERIES: dict[str, Query] = {
     "stream_hourly_counts": _stream_hourly,
     "stream_deduplicated": _stream_dedup,
     "stream_ingest": _stream_ingest,
+    "stream_alerts": _stream_alerts,
 }

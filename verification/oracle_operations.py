@@ -50,6 +50,7 @@ read AS (
     CASE json_type(doc, '$.requestParameters') WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN
       CASE WHEN len(json_keys(doc, '$.requestParameters')) = 0 THEN '{{}}' ELSE {key('requestParameters.roleArn')} END
       ELSE '{{}}' END AS request_kind,
+    coalesce(CAST(json_extract(doc, '$.requestParameters') AS VARCHAR), '{{}}') AS request_parameters,
     {key(IDENTITY + '.type')} AS kind, {key(ISSUER + '.arn')} AS issuer_arn,
     CASE
       WHEN {key('eventName')} = 'AssumeRole' AND contains({key('requestParameters.roleArn')}, '/role/')
@@ -102,11 +103,11 @@ def param(name: str, default: str = "unknown") -> str:
 SET_ID = f"regexp_extract({param('permissionSetArn')}, '([^/]*)$', 1)"
 
 # Inline and trust documents: one row per statement, in order.
-ALERTS = f"""{EV},
-e AS (SELECT *, CASE event_name WHEN 'CreateRole' THEN json_extract_string(request_parameters, '$.assumeRolePolicyDocument')
+ALERT_STEPS = f""",
+e AS (SELECT * REPLACE (coalesce(user_name, 'None') AS user_name), CASE event_name WHEN 'CreateRole' THEN json_extract_string(request_parameters, '$.assumeRolePolicyDocument')
         WHEN 'UpdateAssumeRolePolicy' THEN json_extract_string(request_parameters, '$.policyDocument')
         WHEN 'PutUserPolicy' THEN json_extract_string(request_parameters, '$.policyDocument') END AS document
-      FROM ev WHERE user_name <> 'unknown' AND event_id <> ''),
+      FROM ev WHERE user_name IS DISTINCT FROM 'unknown' AND event_id <> ''),
 statements AS (
   SELECT event_id, s.pos AS pos, s.statement AS statement
   FROM (SELECT event_id, json_extract(document, '$.Statement[*]') AS list FROM e WHERE document IS NOT NULL) d,
@@ -142,6 +143,7 @@ ruled AS (
     WHEN event_name = 'ConsoleLogin' AND user_name = 'root' THEN CASE WHEN coalesce(error_message, '') <> ''
       THEN ['AL-01', 'CRITICAL', 'Failed Root Login', 'Failed root login attempt from IP: ' || source_ip]
       ELSE ['AL-01', 'CRITICAL', 'Root Account Login', 'Root account logged in from IP: ' || source_ip] END
+    WHEN event_name <> 'CreateAccessKey' AND request_parameters IN ('{{}}', 'null') THEN NULL
     WHEN event_name = 'CreateUser' THEN ['AL-02', 'HIGH', 'IAM User Created',
       'New IAM user ''' || {param('userName')} || ''' created by ' || user_name]
     WHEN event_name = 'AttachUserPolicy' AND policy IS NOT NULL THEN ['AL-03', 'CRITICAL', 'Admin Policy Attached',
@@ -191,6 +193,9 @@ alerts AS (
   FROM ruled WHERE rule IS NOT NULL)
 """
 
+ALERTS = EV + ALERT_STEPS
+RAW_ALERTS = RAW + ", ev AS (SELECT *, left(event_time, 10) AS event_date FROM parsed WHERE outcome = 'kept')" + ALERT_STEPS
+
 # 30 days after 1 and 20 January 2024, in epoch seconds.
 TTL_OLD, TTL_RECENT = 1704067200 + 30 * 86400, 1705708800 + 30 * 86400
 
@@ -350,5 +355,7 @@ OPERATION_ORACLES: dict[str, str] = {
     "stream_daily_counts": windows("day"),
     "stream_hourly_counts": windows("hour"),
     "stream_deduplicated": f"{EV} SELECT {PER_DATE}",
+    "raw_files": f"{RAW} SELECT {RAW_VIEW} FROM parsed WHERE outcome = 'kept'",
+    "stream_alerts": f"""{RAW_ALERTS} SELECT event_id, alert_type, rule_id, alert_title, alert_message FROM alerts""",
     "stream_ingest": f"{RAW} SELECT {RAW_VIEW} FROM parsed WHERE outcome = 'kept'",
 }
