@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 MAX_LISTED = 10_000
 
 
-def restrict_to(df: DataFrame, column: str, values: DataFrame, max_listed: int = MAX_LISTED) -> DataFrame:
+def key_values(df: DataFrame, column: str, max_listed: int = MAX_LISTED) -> list | DataFrame:
+    """The distinct values of a column: a list while they are few, else a table."""
+    distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
+    listed = [row[0] for row in distinct.limit(max_listed + 1).collect()]
+    return listed if len(listed) <= max_listed else distinct
+
+
+def restrict_to(df: DataFrame, column: str, values: DataFrame | list, max_listed: int = MAX_LISTED) -> DataFrame:
     """Rows of ``df`` whose ``column`` occurs in ``values``.
 
     A small value set (calendar dates, mostly) becomes a literal list, which
     prunes partitions while planning.  A larger one is joined and Spark picks
     the join from its statistics.
     """
-    distinct = values.select(column).where(F.col(column).isNotNull()).distinct()
-    listed = [row[0] for row in distinct.limit(max_listed + 1).collect()]
-    if len(listed) <= max_listed:
-        return df.where(F.col(column).isin(listed))
-    return df.join(distinct, column, "left_semi")
+    if not isinstance(values, list):
+        values = key_values(values, column, max_listed)
+    if isinstance(values, list):
+        return df.where(F.col(column).isin(values))
+    return df.join(values, column, "left_semi")
 
 
 def small_side(df: DataFrame, max_rows: int = MAX_LISTED) -> DataFrame:

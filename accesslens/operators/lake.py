@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from accesslens.fixed import UNKNOWN
 from accesslens.functions.events import failed
 from accesslens.functions.json import is_object, key_present, once
-from accesslens.functions.keys import restrict_to
+from accesslens.functions.keys import key_values, restrict_to
 from accesslens.functions.text import regexp_or_null
 from accesslens.operators.upsert import LOOK_UP_OPTIONS
 from accesslens.schema import EVENT_COLUMNS, EVENT_KEY, LAKE_PARTITIONS
@@ -144,7 +144,7 @@ def export(
         lake = read_lake(spark, path)
         # Keys alone show which dates are incomplete; only the events of
         # those dates are shuffled whole.
-        incomplete = missing_events(events.select(EVENT_KEY), lake)
+        incomplete = key_values(missing_events(events.select(EVENT_KEY), lake), "event_date")
         rows = missing_events(
             restrict_to(events, "event_date", incomplete), restrict_to(lake, "event_date", incomplete)
         )

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from accesslens.functions.keys import restrict_to
-from accesslens.schema import EVENT_COLUMNS, EVENT_KEY
-from accesslens.session import staging
+from accesslens.functions.keys import key_values, restrict_to
+from accesslens.schema import EVENT_COLUMNS, EVENT_KEY, EVENTS
+from accesslens.session import is_complete, remove_folder, staging
 from accesslens.sources.store import read_events
 
 PAYLOAD = [name for name in EVENT_COLUMNS if name not in EVENT_KEY]
@@ -61,8 +61,28 @@ def _append(rows: DataFrame, path: str) -> None:
     sized_by_date(rows).write.partitionBy("event_date").options(**LOOK_UP_OPTIONS).mode("append").parquet(path)
 
 
+def _rewrite_path(path: str) -> str:
+    return f"{path.rstrip('/')}.rewrite"
+
+
+def _finish_rewrite(spark: SparkSession, path: str) -> None:
+    """Replace the date partitions for which a complete copy is waiting."""
+    copy = _rewrite_path(path)
+    if is_complete(spark, copy):
+        (
+            sized_by_date(spark.read.schema(EVENTS).parquet(copy))
+            .write.partitionBy("event_date")
+            .options(**LOOK_UP_OPTIONS)
+            .option("partitionOverwriteMode", "dynamic")
+            .mode("overwrite")
+            .parquet(path)
+        )
+        remove_folder(spark, copy)
+
+
 def write_new_events(spark: SparkSession, batch: DataFrame, path: str) -> None:
     """Append the events whose key the store does not hold."""
+    _finish_rewrite(spark, path)
     store = restrict_to(read_events(spark, path), "event_date", batch)
     _append(insert_new_events(store, batch), path)
 
@@ -74,13 +94,15 @@ def write_upsert(spark: SparkSession, batch: DataFrame, path: str) -> dict[str,
     repeated ones skipped; a date is rewritten only when one of its events
     changed.  Replaying a batch therefore writes nothing, and a run that dies
     half-way is completed by running it again.  A rewrite replaces whole date
-    partitions from a staged copy, never from the partitions it reads.
+    partitions from a complete copy next to the store; a copy left by a run
+    that died while replacing is applied first.  One writer at a time.
     """
-    with staging(spark, "upsert") as staged_path, staging(spark, "merged") as merged_path:
-        return _write_upsert(spark, batch, path, staged_path, merged_path)
+    _finish_rewrite(spark, path)
+    with staging(spark, "upsert") as staged_path:
+        return _write_upsert(spark, batch, path, staged_path)
 
 
-def _write_upsert(spark: SparkSession, batch: DataFrame, path: str, staged_path: str, merged_path: str) -> dict[str, int]:
+def _write_upsert(spark: SparkSession, batch: DataFrame, path: str, staged_path: str) -> dict[str, int]:
     new = latest(batch)
     store = read_events(spark, path)
     old = restrict_to(store, "event_date", batch).select(*EVENT_KEY, F.struct(PAYLOAD).alias("_old"))
@@ -94,18 +116,13 @@ def _write_upsert(spark: SparkSession, batch: DataFrame, path: str, staged_path:
 
     staged = spark.read.parquet(staged_path)
     counts = {row["outcome"]: row["count"] for row in staged.groupBy("outcome").count().collect()}
-    changed = staged.where("outcome = 'changed'").select("event_date").distinct()
     if counts.get("changed"):
+        changed = key_values(staged.where("outcome = 'changed'"), "event_date")
         touched = restrict_to(store, "event_date", changed)
-        upsert_events(touched, restrict_to(staged, "event_date", changed)).write.parquet(merged_path)
-        (
-            sized_by_date(spark.read.parquet(merged_path))
-            .write.partitionBy("event_date")
-            .options(**LOOK_UP_OPTIONS)
-            .option("partitionOverwriteMode", "dynamic")
-            .mode("overwrite")
-            .parquet(path)
-        )
-        staged = staged.join(changed, "event_date", "left_anti")
+        merged = upsert_events(touched, restrict_to(staged, "event_date", changed))
+        merged.write.mode("overwrite").parquet(_rewrite_path(path))
+        _finish_rewrite(spark, path)
+        rewritten = restrict_to(staged, "event_date", changed)
+        staged = staged.join(rewritten.select(EVENT_KEY), EVENT_KEY, "left_anti")
     _append(staged.where("outcome = 'new'").select(EVENT_COLUMNS), path)
     return {name: counts.get(name, 0) for name in ("new", "same", "changed")}

@@ -46,5 +46,20 @@ def staging(spark: SparkSession, purpose: str) -> Iterator[str]:
     """
     folder = shared_folder(spark, purpose)
     yield folder
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove_folder(spark, folder)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    files, target = _file_system(spark, folder)
+    files.delete(target, True)
+
+
+def is_complete(spark: SparkSession, folder: str) -> bool:
+    """True when a Spark write into ``folder`` was committed."""
+    files, marker = _file_system(spark, f"{folder}/_SUCCESS")
+    return files.exists(marker)

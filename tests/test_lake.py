@@ -108,6 +108,13 @@ def test_windowed_query_prunes_partitions(spark, lake_path):
     assert scan.selectedPartitions().partitionCount() == 2 * 3  # two days, three regions
 
 
+def test_default_date_prunes_partitions_too(spark, lake_path):
+    df = run("daily_summary", read_lake(spark, lake_path))
+    scan = df._jdf.queryExecution().sparkPlan().collectLeaves().apply(0)
+    assert scan.selectedPartitions().partitionCount() == 0  # the data is years old
+    assert df.count() == 0
+
+
 @pytest.mark.parametrize("name", ["user_lookup", "active_users", "off_hours", "role_assumptions", "sso_admin_policies"])
 @pytest.mark.parametrize("variant", ["full", "sql"])
 def test_lake_and_store_give_the_same_answers(spark, events, lake_path, name, variant):

@@ -62,6 +62,30 @@ def test_written_upsert_touches_only_what_changed(spark, make_events, tmp_path):
     assert files(29) == before
 
 
+def test_an_interrupted_rewrite_is_completed(spark, make_events, tmp_path, monkeypatch):
+    """The run dies after it dropped the old partition; the next one repairs it."""
+    path = str(tmp_path / "events")
+    upsert.write_upsert(spark, make_events({"event_id": "a"}, {"event_id": "b"}), path)
+    changed = make_events({"event_id": "a", "error_code": "x"})
+
+    def die(*args):
+        for file in (tmp_path / "events" / "event_date=2024-01-30").iterdir():
+            file.unlink()
+        raise RuntimeError("killed")
+
+    finish = upsert._finish_rewrite
+    calls = []
+    monkeypatch.setattr(upsert, "_finish_rewrite", lambda *a: calls.append(1) or (finish(*a) if len(calls) < 2 else die()))
+    with pytest.raises(RuntimeError):
+        upsert.write_upsert(spark, changed, path)
+    assert read_events(spark, path).count() == 0
+    monkeypatch.setattr(upsert, "_finish_rewrite", finish)
+    assert upsert.write_upsert(spark, changed, path) == {"new": 0, "same": 1, "changed": 0}
+    rows = {row["event_id"]: row["error_code"] for row in read_events(spark, path).collect()}
+    assert rows == {"a": "x", "b": None}
+    assert not (tmp_path / "events.rewrite").exists()
+
+
 def test_copies_of_one_key_are_limited_before_the_shuffle(events):
     plan = upsert.upsert_events(events, events)._jdf.queryExecution().executedPlan().toString()
     assert "row_number(), 1, Partial" in plan
