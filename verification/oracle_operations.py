@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from accesslens.fixed import ADMIN_POLICIES
 from verification.oracle_queries import EV, QUERY_ORACLES, scalar
 from verification.raw_recipe import RAW_SQL
 
@@ -86,14 +87,8 @@ RAW_VIEW = (
 
 # Alerts
 
-ADMIN = [
-    "AdministratorAccess", "IAMFullAccess", "PowerUserAccess", "AWSSSOMasterAccountAdministrator",
-    "AWSIdentityCenterFullAccess", "AWSSSOMemberAccountAdministrator",
-]
-
-
 def admin_policy(arn: str) -> str:
-    return "CASE " + " ".join(f"WHEN contains({arn}, '{name}') THEN '{name}'" for name in ADMIN) + " END"
+    return "CASE " + " ".join(f"WHEN contains({arn}, '{name}') THEN '{name}'" for name in ADMIN_POLICIES) + " END"
 
 
 def param(name: str, default: str = "unknown") -> str:

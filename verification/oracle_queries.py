@@ -6,6 +6,7 @@ plus the expressions the queries share, written out independently.
 
 from __future__ import annotations
 
+from accesslens import fixed
 from verification.recipe import EVENTS_SQL
 
 
@@ -41,13 +42,14 @@ ev AS (
 # First day inside a window of n days before 2024-01-31.
 START = {7: "'2024-01-24'", 30: "'2024-01-01'", 90: "'2023-11-02'"}
 
-SIGN_IN = "event_name IN ('AssumeRole', 'ConsoleLogin', 'GetSessionToken')"
-SSO_ADMIN = "'CreatePermissionSet', 'UpdatePermissionSet', 'CreateAccountAssignment', 'AttachManagedPolicyToPermissionSet'"
-SSO_APPS = "'CreateManagedApplicationInstance', 'DeleteManagedApplicationInstance'"
-IAM_CHANGES = (
-    "'AttachUserPolicy', 'AttachGroupPolicy', 'AttachRolePolicy', 'DetachUserPolicy', 'DetachGroupPolicy', "
-    "'DetachRolePolicy', 'CreateUser', 'CreateRole', 'DeleteUser', 'DeleteRole', 'PutUserPolicy', 'DeleteUserPolicy'"
-)
+def listed(values: list[str]) -> str:
+    return ", ".join(f"'{value}'" for value in values)
+
+
+SIGN_IN = f"event_name IN ({listed(fixed.SIGN_IN_EVENTS)})"
+SSO_ADMIN = listed(fixed.SSO_ADMIN_EVENTS)
+SSO_APPS = listed(fixed.APPLICATION_EVENTS)
+IAM_CHANGES = listed(fixed.PERMISSION_EVENTS)
 
 
 def newest(columns: str, condition: str, days: int, source: str = "ev") -> str:
@@ -174,7 +176,7 @@ QUERY_ORACLES: dict[str, str] = {
     "q06_permission_changes": newest(
         "event_time, user_name, event_name, CASE WHEN coalesce(request_parameters, 'null') = 'null' THEN 'N/A' "
         f"ELSE concat_ws(' → ', {TARGETS}) END AS target_resource, source_ip, error_code",
-        f"event_name IN ({IAM_CHANGES}, 'PutRolePolicy', 'DeleteRolePolicy')", 90,
+        f"event_name IN ({IAM_CHANGES})", 90,
     ),
     "q07_role_assumptions": f"{ROLE_ASSUMPTIONS} SELECT * FROM r",
     "q07_role_assumptions_sql": f"""{EV} SELECT arn AS role_arn, who AS assumed_by, count(*) AS total_assumptions,
@@ -255,7 +257,7 @@ QUERY_ORACLES: dict[str, str] = {
     "q17_adhoc_failed_auth": failures("error_code", f"bad AND {SIGN_IN}", ""),
     "q18_adhoc_permission_changes_by_user": f"""{EV} SELECT user_name, event_name, count(*) AS change_count,
         min(day) AS first_change, max(day) AS last_change FROM ev
-        WHERE day >= {START[30]} AND event_name IN ({IAM_CHANGES})
+        WHERE day >= {START[30]} AND event_name IN ({listed(fixed.ADHOC_PERMISSION_EVENTS)})
         GROUP BY user_name, event_name ORDER BY change_count DESC, user_name, event_name""",
     "q19_adhoc_role_assumptions": f"""{EV} SELECT arn AS role_arn, user_name, count(*) AS assumption_count,
         count(*) FILTER (bad) AS failed_count FROM ev
