@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from accesslens.llm import warc
+from accesslens.llm import rans, warc
 from accesslens.llm.oracles import LLM_ORACLES  # noqa: F401
 
 
@@ -14,11 +16,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 1
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = rans.encode_corpus(spark, _table(spark, sf_dir, "documents"), VOCABULARY, END_ID)
+    return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_round_trip(spark, _table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
     "op6_warc": op6_warc,
 }
