@@ -20,7 +20,7 @@ from accesslens.llm.words import Text, gather, split_pieces
 
 #: Distinct pieces remembered by one Python worker: those met since the last
 #: clearing, and as many from before it.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Pieces that the library gets in one string.
 JOINED = 256
 END = "</w>"

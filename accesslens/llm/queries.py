@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.llm import rans, warc
+from accesslens.llm import rans, token_counts, warc
 from accesslens.llm.oracles import LLM_ORACLES  # noqa: F401
 
 
@@ -30,7 +30,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.prefix_counts(_table(spark, sf_dir, "documents"), VOCABULARY)
+    return counts.select("doc_id", "n_bytes", "n_tokens", token_counts.over(2048).alias("over_limit"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op6_warc": op6_warc,
+    "op8_token_counts": op8_token_counts,
 }
