@@ -40,6 +40,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.size = self.library.get_vocab_size()
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as source:

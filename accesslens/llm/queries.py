@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.llm import near_dup, rans, token_counts, warc
+from accesslens.llm import near_dup, quality, rans, token_counts, warc
 from accesslens.llm.oracles import LLM_ORACLES  # noqa: F401
 
 
@@ -20,6 +20,10 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = rans.encode_corpus(spark, _table(spark, sf_dir, "documents"), VOCABULARY, END_ID)
     return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -40,6 +44,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_warc": op6_warc,

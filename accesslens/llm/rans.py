@@ -196,16 +196,18 @@ def read_ids(source, model: Model, start: int = 0) -> Iterator[np.ndarray]:
 
 
 def token_ids(docs: DataFrame, path: str, end_id: int | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids``: the ids of every whole text (null: empty) as
-    little-endian 32-bit numbers, with ``end_id`` appended unless None."""
+    """``doc_id, n_tokens, ids``: the ids of every whole text (null: empty),
+    with ``end_id`` appended unless None, as little-endian numbers of 16 bits
+    where the vocabulary allows and else 32 (``unpacked`` reads either)."""
+    kind = "<u2" if max(encoder(path).size, end_id or 0) <= 1 << 16 else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
         for batch in slices(batches):
             ids, counts = own.encode(text_of(batch.column(1)))
-            data = memoryview(ids.astype("<u4").tobytes())
-            ends = (np.cumsum(counts) * 4).tolist()
+            data = memoryview(ids.astype(kind).tobytes())
+            ends = (np.cumsum(counts) * int(kind[-1])).tolist()
             blobs = [bytes(data[a:b]) + tail for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             sizes = pa.array(counts + (end_id is not None), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(blobs, pa.binary())], ["doc_id", "n_tokens", "ids"])
@@ -213,6 +215,11 @@ def token_ids(docs: DataFrame, path: str, end_id: int | None, *, id_col: str = "
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, IDS)
 
 
+def unpacked(blob: bytes, count: int) -> np.ndarray:
+    """The ``count`` ids of one ``ids`` value, of 16 or 32 bits each."""
+    return np.frombuffer(blob, "<u2" if len(blob) == 2 * count else "<u4").astype(np.uint32)
+
+
 def count_ids(ids: DataFrame) -> np.ndarray:
     """How often each id occurs, from one row of counts a task; the sum of
     all tasks is as long as the vocabulary, whatever the corpus."""
@@ -220,14 +227,15 @@ def count_ids(ids: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            part = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4").astype(np.int64))
+            each = (unpacked(blob, n) for blob, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            part = np.bincount(np.concatenate([np.zeros(0, np.uint32), *each]).astype(np.int64))
             if len(part) > len(total):
                 part, total = total, part.copy()
             total[: len(part)] += part
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
 
-    rows = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = ids.select("ids", "n_tokens").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 1, np.int64)
     counts[rows["id"].to_numpy()] = rows["n"].to_numpy()
     return counts
@@ -259,10 +267,10 @@ def write_ids(ids: DataFrame, folder: str | None = None, partitions: int | None
             if target is None:
                 target = Writer(files.writer(folder, path.rpartition("/")[2]), Model(shared.value.astype(np.int64)))
             counts = batch.column(1).to_numpy()
-            for blob in batch.column(2).to_pylist():
-                target.add(np.frombuffer(blob, "<u4"))
+            for blob, n in zip(batch.column(2), counts.tolist(), strict=True):
+                target.add(unpacked(blob.as_py(), n))
             firsts = at + np.cumsum(counts) - counts
-            n = batch.num_rows
+            n = len(counts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([path] * n), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n)), batch.column(0), pa.array(firsts), batch.column(1)],
                 ["path", "part", "place", "doc_id", "first", "n_tokens"],
