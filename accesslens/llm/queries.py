@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.llm import near_dup, quality, rans, token_counts, warc
+from accesslens.llm import decontaminate, near_dup, quality, rans, token_counts, warc
 from accesslens.llm.oracles import LLM_ORACLES  # noqa: F401
 
 
@@ -43,10 +43,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", token_counts.over(2048).alias("over_limit"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_warc": op6_warc,
     "op8_token_counts": op8_token_counts,
+    "op10_decontamination": op10_decontamination,
 }
