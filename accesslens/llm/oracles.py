@@ -41,23 +41,23 @@ UNITS = """'mm','cm','m','km','inch','inches','foot','feet','yard','yards','mile
 
 OP10 = r"""
 WITH t AS (SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'b', item_id, text FROM benchmark),
-r AS (SELECT side, id, row_number() OVER () AS row, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}\x20\x09-\x0D.!?]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS raw FROM t),
-c AS (SELECT side, id, row, list_filter(list_transform(range(1, len(raw) + 1), lambda i: {
+r AS (SELECT side, id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}\x20\x09-\x0D.!?]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS raw FROM t),
+c AS (SELECT side, id, rid, list_filter(list_transform(range(1, len(raw) + 1), lambda i: {
     'w': CASE WHEN regexp_matches(trim(raw[i], '.!?'), '^[0-9]') THEN '<num>'
          WHEN i > 1 AND regexp_matches(raw[i - 1], '^[.!?]*[0-9]') AND lower(trim(raw[i], '.!?')) IN (@UNITS@) AND regexp_matches(raw[i - 1], '^[0-9]') THEN '<unit>'
          WHEN i > 1 AND right(raw[i - 1], 1) NOT IN ('.', '!', '?') AND left(trim(raw[i], '.!?'), 1) <> lower(left(trim(raw[i], '.!?'), 1)) AND trim(raw[i], '.!?') <> upper(trim(raw[i], '.!?')) THEN '<name>'
          ELSE lower(trim(raw[i], '.!?')) END,
     'v': lower(trim(raw[i], '.!?'))}), lambda s: s.w <> '') AS ws FROM r),
-g AS MATERIALIZED (SELECT side, id, row, u.i AS at, len(ws) AS size, ws[u.i : u.i + 7] AS part, array_to_string(list_transform(ws[u.i : u.i + 7], lambda s: s.w), ' ') AS key
+g AS MATERIALIZED (SELECT side, id, rid, u.i AS pos, len(ws) AS size, ws[u.i : u.i + 7] AS part, array_to_string(list_transform(ws[u.i : u.i + 7], lambda s: s.w), ' ') AS key
   FROM c, unnest(range(1, greatest(len(ws) - 7, 1) + 1)) AS u(i) WHERE len(ws) > 0),
 b AS MATERIALIZED (SELECT *, len(list_filter(part, lambda s: s.w IN ('<num>', '<unit>', '<name>'))) AS slots FROM g WHERE side = 'b'),
-usable AS MATERIALIZED (SELECT *, least(3, count(*) OVER (PARTITION BY row)) AS needed FROM b WHERE len(part) - slots >= least(5, len(part))),
-m AS MATERIALIZED (SELECT d.id AS doc_id, d.at, d.part AS own, u.row, u.id AS item_id, u.at AS item_at, u.part, u.slots, u.needed
+usable AS MATERIALIZED (SELECT *, least(3, count(*) OVER (PARTITION BY rid)) AS needed FROM b WHERE len(part) - slots >= least(5, len(part))),
+m AS MATERIALIZED (SELECT d.id AS doc_id, d.pos, d.part AS own, u.rid, u.id AS item_id, u.pos AS item_pos, u.part, u.slots, u.needed
   FROM g d JOIN usable u ON d.key = u.key AND least(d.size, 8) = least(u.size, 8) WHERE d.side = 'd'),
-slot AS (SELECT doc_id, row, at - item_at AS shift, z.k AS k, part[z.k].w AS w, part[z.k].v AS b, own[z.k].v AS d FROM m, unnest(range(1, len(part) + 1)) AS z(k) WHERE slots > 0 AND part[z.k].w IN ('<num>', '<unit>', '<name>')),
-good AS (SELECT doc_id, row, shift FROM slot GROUP BY ALL HAVING count(DISTINCT (w, b)) = count(DISTINCT (w, b, d)) AND count(DISTINCT (w, d)) = count(DISTINCT (w, b, d))),
-hits AS (SELECT doc_id, row, item_id, item_at, needed FROM m WHERE slots = 0 OR EXISTS (SELECT 1 FROM good WHERE good.doc_id = m.doc_id AND good.row = m.row AND good.shift = m.at - m.item_at))
-SELECT doc_id, item_id, count(DISTINCT item_at) AS n_windows FROM hits GROUP BY doc_id, row, item_id, needed HAVING count(DISTINCT item_at) >= needed
+slot_ AS (SELECT doc_id, rid, pos - item_pos AS shift, z.k AS k, part[z.k].w AS w, part[z.k].v AS b, own[z.k].v AS d FROM m, unnest(range(1, len(part) + 1)) AS z(k) WHERE slots > 0 AND part[z.k].w IN ('<num>', '<unit>', '<name>')),
+good_ AS (SELECT doc_id, rid, shift FROM slot_ GROUP BY ALL HAVING count(DISTINCT (w, b)) = count(DISTINCT (w, b, d)) AND count(DISTINCT (w, d)) = count(DISTINCT (w, b, d))),
+hits AS (SELECT doc_id, rid, item_id, item_pos, needed FROM m WHERE slots = 0 OR EXISTS (SELECT 1 FROM good_ good WHERE good.doc_id = m.doc_id AND good.rid = m.rid AND good.shift = m.pos - m.item_pos))
+SELECT doc_id, item_id, count(DISTINCT item_pos) AS n_windows FROM hits GROUP BY doc_id, rid, item_id, needed HAVING count(DISTINCT item_pos) >= needed
 """.replace("@UNITS@", UNITS)
 
 LLM_ORACLES: dict[str, str] = {
