@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.llm import decontaminate, near_dup, quality, rans, token_counts, warc
+from accesslens.llm import decontaminate, near_dup, packing, quality, rans, token_counts, warc
 from accesslens.llm.oracles import LLM_ORACLES  # noqa: F401
 
 
@@ -18,6 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
+CAPACITY = 4096
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_digests(_table(spark, sf_dir, "documents"), VOCABULARY, CAPACITY, END_ID)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.prefix_counts(_table(spark, sf_dir, "documents"), VOCABULARY)
     return counts.select("doc_id", "n_bytes", "n_tokens", token_counts.over(2048).alias("over_limit"))
@@ -52,6 +57,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_warc": op6_warc,
+    "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op10_decontamination": op10_decontamination,
 }
