@@ -15,6 +15,16 @@ SELECT page_id, n AS payload_bytes,
 FROM b
 """
 
+OP3 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+x AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS said,
+  11 + length(replace(replace(replace(role, chr(92), '..'), '<', '..'), '[', '..')) + length(replace(replace(replace(text, chr(92), '..'), '<', '..'), '[', '..')) AS size FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(length(said)) AS BIGINT) AS loss_chars, sha256(string_agg(said, '' ORDER BY turn, role, text)) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM x GROUP BY conv_id
+"""
+
 OP4 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
@@ -61,6 +71,7 @@ SELECT doc_id, item_id, count(DISTINCT item_pos) AS n_windows FROM hits GROUP BY
 """.replace("@UNITS@", UNITS)
 
 LLM_ORACLES: dict[str, str] = {
+    "op3_chat": OP3,
     "op4_near_duplicates": OP4,
     "op6_warc": OP6,
     "op10_decontamination": OP10,

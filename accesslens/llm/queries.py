@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.llm import decontaminate, near_dup, packing, quality, rans, token_counts, warc
+from accesslens.llm import chat, decontaminate, near_dup, packing, quality, rans, token_counts, warc
 from accesslens.llm.oracles import LLM_ORACLES  # noqa: F401
 
 
@@ -30,6 +30,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.format_conversations(spark, _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +61,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
+    "op3_chat": op3_chat,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
