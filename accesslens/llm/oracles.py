@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+OP5 = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS cells FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.cells, d.cells), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.cells) = len(d.cells) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
 OP6 = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS hex, html FROM p),
@@ -73,6 +82,7 @@ SELECT doc_id, item_id, count(DISTINCT item_pos) AS n_windows FROM hits GROUP BY
 LLM_ORACLES: dict[str, str] = {
     "op3_chat": OP3,
     "op4_near_duplicates": OP4,
+    "op5_top_k": OP5,
     "op6_warc": OP6,
     "op10_decontamination": OP10,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.llm import chat, decontaminate, near_dup, packing, quality, rans, token_counts, warc
+from accesslens.llm import chat, decontaminate, near_dup, packing, quality, rans, token_counts, topk, warc
 from accesslens.llm.oracles import LLM_ORACLES  # noqa: F401
 
 
@@ -40,6 +40,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_round_trip(spark, _table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -63,6 +67,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_chat": op3_chat,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_top_k": op5_top_k,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
