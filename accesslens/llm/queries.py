@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.llm import chat, decontaminate, near_dup, packing, quality, rans, token_counts, topk, warc
+from accesslens.llm import chat, decontaminate, lm, near_dup, packing, quality, rans, token_counts, topk, warc
 from accesslens.llm.oracles import LLM_ORACLES  # noqa: F401
 
 
@@ -58,6 +58,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", token_counts.over(2048).alias("over_limit"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -71,5 +75,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_language_model": op9_language_model,
     "op10_decontamination": op10_decontamination,
 }
