@@ -120,6 +120,7 @@ class _Stream:
 
     def __init__(self, source):
         self.source, self.inflate, self.buffer, self.done = source, zlib.decompressobj(GZIP), bytearray(), False
+        self.inside = False  # whether a member has begun and not ended
 
     def _more(self) -> bool:
         if self.done:
@@ -129,9 +130,12 @@ class _Stream:
             self.inflate = zlib.decompressobj(GZIP)
         data = data or self.source.read(CHUNK)
         if not data:
+            if self.inside:
+                raise ValueError("the archive ends inside a gzip member")
             self.done = True
             return False
         self.buffer += self.inflate.decompress(data, CHUNK)
+        self.inside = not self.inflate.eof
         return True
 
     def until(self, mark: bytes) -> bytes | None:
