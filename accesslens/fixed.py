@@ -26,7 +26,14 @@ PERMISSION_EVENTS = [
     "PutUserPolicy", "DeleteUserPolicy",
     "PutRolePolicy", "DeleteRolePolicy",
 ]
-ADHOC_PERMISSION_EVENTS = PERMISSION_EVENTS[:12]
+ADHOC_PERMISSION_EVENTS = [
+    "AttachUserPolicy", "DetachUserPolicy",
+    "AttachGroupPolicy", "DetachGroupPolicy",
+    "AttachRolePolicy", "DetachRolePolicy",
+    "CreateUser", "DeleteUser",
+    "CreateRole", "DeleteRole",
+    "PutUserPolicy", "DeleteUserPolicy",
+]
 PERMISSION_SET_EVENTS = ["CreatePermissionSet", "UpdatePermissionSet"]
 ASSIGNMENT_EVENTS = ["CreateAccountAssignment", "DeleteAccountAssignment"]
 POLICY_ATTACH_EVENT = "AttachManagedPolicyToPermissionSet"

@@ -44,18 +44,14 @@ def json_fields(
     """Add top-level scalar fields of a JSON text column, from one parse.
 
     ``fields`` maps new column name to JSON key.  Objects, arrays, null and
-    missing keys give NULL.  ``guard`` skips the parse for rows it rejects.
+    missing keys give NULL, and of a repeated key the last value counts.  ``guard`` skips the parse for rows it rejects.
     """
     keys = list(dict.fromkeys(fields.values()))
     held = {key: f"_json_{key}" for key in keys}
-    if len(keys) == 1:  # stops reading at the key
-        parsed = F.get_json_object(source, f"$.{keys[0]}")
-    else:
-        shape = T.StructType([T.StructField(key, T.StringType()) for key in keys])
-        parsed = F.from_json(F.col(source), shape)
+    parsed = F.from_json(F.col(source), T.StructType([T.StructField(key, T.StringType()) for key in keys]))
     if guard is not None:
         parsed = F.when(guard, parsed)
-    generated = once(parsed).alias(*held.values()) if len(keys) == 1 else open_once(parsed, *held.values())
+    generated = open_once(parsed, *held.values())
     return (
         df.select("*", generated)
         .withColumns({name: _scalar(F.col(held[key]), source, key) for name, key in fields.items()})

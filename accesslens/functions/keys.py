@@ -27,8 +27,3 @@ def restrict_to(df: DataFrame, column: str, values: DataFrame | list, max_listed
     if isinstance(values, list):
         return df.where(F.col(column).isin(values))
     return df.join(values, column, "left_semi")
-
-
-def small_side(df: DataFrame, max_rows: int = MAX_LISTED) -> DataFrame:
-    """``df`` marked for broadcast when it has at most ``max_rows`` rows."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

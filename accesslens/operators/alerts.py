@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,13 +29,8 @@ from accesslens.fixed import (
 from accesslens.functions.json import is_object, is_text, key_present, once
 from accesslens.functions.text import fill, not_blank
 from accesslens.functions.time import as_utc, epoch_seconds, literal
+from accesslens.session import child_folders, remove_folder
 
-ALERT_EVENTS = [
-    "ConsoleLogin", "CreateUser", "AttachUserPolicy", "PutUserPolicy", "CreateAccessKey", "CreateRole",
-    "UpdateAssumeRolePolicy", "UpdateAccessKey", "DeleteVirtualMFADevice", "DeactivateMFADevice",
-    "CreatePermissionSet", "UpdatePermissionSet", "AttachManagedPolicyToPermissionSet",
-    "CreateAccountAssignment", "CreateManagedApplicationInstance", "DeleteManagedApplicationInstance",
-]
 STOP = "stop"
 
 
@@ -58,7 +53,12 @@ def _last_segment(text: Column) -> Column:
     return F.substring_index(text, "/", -1)
 
 
+#: Event names that rules ask for, gathered as rules are written out.
+_ASKED: set[str] = set()
+
+
 def _event(*names: str) -> Column:
+    _ASKED.update(names)
     return F.col("event_name").isin(list(names))
 
 
@@ -250,18 +250,18 @@ def find_alerts(
     Foreign-account trust is judged only where ``own_account`` is given.
     ``strict_wildcards`` also treats ``*`` inside a principal list as open.
     """
+    found = F.inline(F.array_compact(F.array(*rules())))
     gate = (
         F.lit(enabled)
         & ~F.col("user_name").eqNullSafe(UNKNOWN)
         & not_blank(F.col("event_id"))
-        & F.col("event_name").isin(ALERT_EVENTS)
+        & F.col("event_name").isin(sorted(_ASKED))
         & ((F.col("event_name") != "ConsoleLogin") | (F.col("user_name") == ROOT))
     )
     params = F.try_variant_get(F.try_parse_json("request_parameters"), "$", "map<string,variant>")
     context = [
         "event_id", "event_date", "event_time", "event_name", "user_name", "source_ip", "aws_region",
     ]
-    found = F.inline(F.array_compact(F.array(*rules())))
     return (
         events.where(gate)
         .select(*context, "error_message", once(params).alias("_params"))
@@ -292,6 +292,19 @@ def active_sent(sent: DataFrame, now: dt.datetime) -> DataFrame:
     return sent.where((F.col("sent_date") >= oldest) & (F.col("ttl") > epoch_seconds(now)))
 
 
+def expire_alerts(spark: SparkSession, path: str, now: dt.datetime) -> list[str]:
+    """Remove the days of sent alerts whose retention has run out.
+
+    The alert table is partitioned by the day of sending, so this drops
+    folders and reads no rows.  Returns the days removed.
+    """
+    oldest = (as_utc(now) - dt.timedelta(days=ALERT_RETENTION_DAYS)).date().isoformat()
+    gone = [name for name in child_folders(spark, path) if name.startswith("sent_date=") and name[10:] < oldest]
+    for name in gone:
+        remove_folder(spark, f"{path}/{name}")
+    return [name[10:] for name in gone]
+
+
 def notices(alerts: DataFrame) -> DataFrame:
     """Alerts with message id, subject and body of their notification."""
     return alerts.select(

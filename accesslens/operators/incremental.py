@@ -6,24 +6,26 @@ import datetime as dt
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from accesslens.functions.keys import small_side
-from accesslens.functions.time import from_iso, literal
+from accesslens.functions.time import as_utc, from_iso, literal
 from accesslens.operators.alerts import find_alerts, notices, sent_records, unsent
 from accesslens.operators.filters import ROLE, SERVICE, flag_noise
 from accesslens.operators.normalize import UNPARSABLE, parse_records, to_events
 from accesslens.operators.upsert import write_upsert
-from accesslens.schema import CONTROL, EVENT_COLUMNS, SENT_ALERTS
-from accesslens.session import staging
+from accesslens.schema import CONTROL, EVENT_COLUMNS, EVENTS, SENT_ALERTS
+from accesslens.session import remove_folder, staging
 from accesslens.sources.routes import Routes, checkpoint_key, is_collected, route_table
 from accesslens.sources.store import read_table
 
 FIRST_LOOK_BACK = dt.timedelta(days=90)
 SETTLE = dt.timedelta(minutes=5)
+NOT_ROUTED, LATE, SETTLING = "not_routed", "late", "settling"
+#: One row a finished run: when, and how long events had to settle.
+RUNS = T.StructType([T.StructField("as_of", T.TimestampNTZType()), T.StructField("settle_seconds", T.DoubleType())])
 
 #: The alert table: notification texts next to the sent-alert record.
 ALERT_TABLE = T.StructType(
@@ -60,28 +62,36 @@ def initialize_control(control: DataFrame, keys: DataFrame, as_of: dt.datetime)
     return control.unionByName(fresh)
 
 
-def since_checkpoint(
-    records: DataFrame, control: DataFrame, as_of: dt.datetime, settle: dt.timedelta = SETTLE
-) -> DataFrame:
-    """Parsed records from their source's checkpoint on, up to the settle time.
+def _reason(where: Column, reason: str) -> Column:
+    """``reason`` for the rows of a condition, except unparsable ones."""
+    return F.when(where & ~F.col("drop_reason").eqNullSafe(UNPARSABLE), reason).otherwise(F.col("drop_reason"))
+
+
+def flag_range(records: DataFrame, control: DataFrame, as_of: dt.datetime, settle: dt.timedelta = SETTLE) -> DataFrame:
+    """Parsed records, those outside their source's range with a reason:
+    ``late`` before the checkpoint, ``settling`` within the settle time.
 
-    The checkpoint itself is included: keyed writes make the repeat harmless,
-    and events of the same second are not lost.  A record without a readable
-    time carries ``as_of`` and is taken at once.  The control table has one
-    row per source and region and is broadcast while it stays small.
+    The checkpoint itself is inside: keyed writes make the repeat harmless,
+    and events of the same second are not lost.
     """
     starts = control.select("checkpoint_key", F.col("last_processed_timestamp").alias("_start"))
     start = F.coalesce("_start", literal(as_of - FIRST_LOOK_BACK))
     time = F.col("event_ts")
-    in_range = (time >= start) & ((time <= literal(as_of - settle)) | (time == literal(as_of)))
     return (
         records.withColumn("checkpoint_key", checkpoint_key())
-        .join(small_side(starts), "checkpoint_key", "left")
-        .where(in_range | F.col("drop_reason").eqNullSafe(UNPARSABLE))
+        .join(starts, "checkpoint_key", "left")
+        .withColumn("drop_reason", _reason(time < start, LATE))
+        .withColumn("drop_reason", _reason(time > literal(as_of - settle), SETTLING))
         .drop("_start", "checkpoint_key")
     )
 
 
+def since_checkpoint(records: DataFrame, control: DataFrame, as_of: dt.datetime, settle: dt.timedelta = SETTLE) -> DataFrame:
+    """Parsed records from their source's checkpoint on, up to the settle time."""
+    flagged = flag_range(records, control, as_of, settle)
+    return flagged.where(~F.coalesce(F.col("drop_reason").isin(LATE, SETTLING), F.lit(False)))
+
+
 def advance_control(control: DataFrame, events: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Control table after ``events`` were stored; sources without events keep
     their row.  A checkpoint never moves back."""
@@ -120,15 +130,26 @@ class Tables:
     def read_control(self, spark: SparkSession) -> DataFrame:
         return latest_control(read_table(spark, self.control, CONTROL))
 
-    def delivered_since(self, spark: SparkSession, settle: dt.timedelta = SETTLE) -> dt.datetime | None:
+    @property
+    def pending(self) -> str:
+        """Stored events whose alerts could not be written yet."""
+        return f"{self.alerts.rstrip('/')}-pending"
+
+    @property
+    def runs(self) -> str:
+        return f"{self.control.rstrip('/')}-runs"
+
+    def delivered_since(self, spark: SparkSession) -> dt.datetime | None:
         """Files modified before this time hold nothing for the next run.
 
         The last run read every file there was, and left out events younger
-        than the settle time; their files are not older than they are.  None
-        before the first run, and to be ignored when a source is added.
+        than the settle time it ran with; their files are not older than they
+        are.  None before the first run, and to be ignored when a source is
+        added.
         """
-        last = self.read_control(spark).agg(F.max("last_execution_time")).first()[0]
-        return last - settle if last else None
+        runs = read_table(spark, self.runs, RUNS)
+        last = runs.agg(F.max(F.struct("as_of", "settle_seconds")).alias("last")).first()["last"]
+        return last["as_of"] - dt.timedelta(seconds=last["settle_seconds"]) if last else None
 
     def read_alerts(self, spark: SparkSession) -> DataFrame:
         return read_table(spark, self.alerts, ALERT_TABLE).select(ALERT_TABLE.fieldNames())
@@ -144,17 +165,20 @@ class Options:
     role_marker: str = "/role/"
     alerts: bool = True
     own_account: str = ""
+    strict_wildcards: bool = False
     settle: dt.timedelta = SETTLE
     from_checkpoint: bool = True
 
 
-def send_alerts(spark: SparkSession, events: DataFrame, tables: Tables, as_of: dt.datetime, own_account: str) -> None:
+def send_alerts(
+    spark: SparkSession, events: DataFrame, tables: Tables, as_of: dt.datetime, own_account: str, strict_wildcards: bool = False
+) -> None:
     """Append the unsent alerts of these events to the alert table.
 
     A row is notification and sent record in one, so that a repeated run
     either finds an alert complete or not at all.
     """
-    due = unsent(find_alerts(events, own_account), tables.read_alerts(spark), as_of)
+    due = unsent(find_alerts(events, own_account, strict_wildcards), tables.read_alerts(spark), as_of)
     rows = sent_records(notices(due), as_of).select(ALERT_TABLE.fieldNames())
     rows.write.partitionBy("sent_date").mode("append").parquet(tables.alerts)
 
@@ -174,15 +198,17 @@ def run_batch(
 
     Raw records are parsed in one pass into a staged table, which feeds the
     store, the alerts and the checkpoints.  A dropped record is staged as its
-    reason only.  Checkpoints advance only after the events are stored, and
-    failing alerts do not stop the run.
+    reason only.  Checkpoints advance only after the events are stored.
+    Failing alerts do not stop the run: its events are kept aside, and the
+    next run raises their alerts too.
     """
     started = time.monotonic()
-    parsed = flag_noise(parse_records(records, as_of, options.role_marker), options.drop_services, options.roles)
-    if options.routes is not None:
-        parsed = parsed.where(is_collected(options.routes) | F.col("drop_reason").eqNullSafe(UNPARSABLE))
+    parsed = flag_noise(parse_records(records, None, options.role_marker), options.drop_services, options.roles)
     if options.from_checkpoint:
-        parsed = since_checkpoint(parsed, tables.read_control(spark), as_of, options.settle)
+        parsed = flag_range(parsed, tables.read_control(spark), as_of, options.settle)
+    if options.routes is not None:
+        outside = ~F.coalesce(is_collected(options.routes), F.lit(False))
+        parsed = parsed.withColumn("drop_reason", _reason(outside, NOT_ROUTED))
     with staging(spark, "records") as staged_path:
         to_events(parsed, "drop_reason").select(
             *[F.when(F.col("drop_reason").isNull(), F.col(name)).alias(name) for name in EVENT_COLUMNS], "drop_reason"
@@ -194,24 +220,33 @@ def run_batch(
         outcomes = write_upsert(spark, events, tables.events)
         errors = []
         if options.alerts:
+            owed = read_table(spark, tables.pending, EVENTS).select(EVENT_COLUMNS)
             try:
-                send_alerts(spark, events, tables, as_of, options.own_account)
-            except Exception as error:  # alerts must not hold back the checkpoint
+                send_alerts(spark, events.unionByName(owed), tables, as_of, options.own_account, options.strict_wildcards)
+                remove_folder(spark, tables.pending)
+            except Exception as error:  # alerts must not hold back the checkpoint: the next run owes them
                 errors.append(f"alerts: {error}")
+                events.write.mode("append").parquet(tables.pending)
         _advance(spark, events, tables, as_of, options.routes)
+        ran = spark.createDataFrame([(as_utc(as_of), options.settle.total_seconds())], RUNS)
+        ran.coalesce(1).write.mode("append").parquet(tables.runs)
     return run_summary(spark, dropped, outcomes, time.monotonic() - started, errors)
 
 
 def run_summary(
     spark: SparkSession, by_reason: dict[str | None, int], outcomes: dict[str, int], seconds: float, errors: list[str]
 ) -> DataFrame:
-    """Counts, duration and errors of a run as one row."""
+    """Counts, duration and errors of a run as one row; kept and dropped
+    records add up to the input."""
     row = (
         500 if errors else 200,
         by_reason.get(None, 0),
         by_reason.get(ROLE, 0),
         by_reason.get(SERVICE, 0),
         by_reason.get(UNPARSABLE, 0),
+        by_reason.get(NOT_ROUTED, 0),
+        by_reason.get(LATE, 0),
+        by_reason.get(SETTLING, 0),
         outcomes["new"],
         outcomes["changed"],
         seconds,
@@ -220,5 +255,5 @@ def run_summary(
     return spark.createDataFrame(
         [row],
         "status int, total_events_processed long, filtered_by_role long, filtered_by_service long, unparsable long, "
-        "events_added long, events_changed long, execution_time_seconds double, errors array<string>",
+        "not_routed long, late long, settling long, events_added long, events_changed long, execution_time_seconds double, errors array<string>",
     )

@@ -72,16 +72,21 @@ def _json_text(part: str) -> Column:
     return F.coalesce(F.to_json(part), F.lit("{}"))
 
 
-def parse_records(df: DataFrame, as_of: dt.datetime, role_marker: str = "/role/") -> DataFrame:
+def parse_records(df: DataFrame, as_of: dt.datetime | None, role_marker: str = "/role/") -> DataFrame:
     """Parsed records from ``rec``; a time in no known format becomes ``as_of``.
 
+    Without ``as_of`` such a record is unparsable, unless its envelope has a
+    time.  Loading works that way: the time is part of an event's key, and a
+    time that depends on the run would store a replayed record again.
+
     Without an id a record has no key; a record without time, with an identity
     that is no object or with an unreadable role cannot be used.  The record
     is opened in one step, and what later filters use is worked out once.
     """
     enveloped = "EventId" in df.columns
     event_id, event_name = F.col("eventID"), F.col("eventName")
-    event_ts = F.coalesce(parse_time(_text("eventTime")), literal(as_of))
+    event_ts = parse_time(_text("eventTime"))
+    event_ts = F.coalesce(event_ts, literal(as_of)) if as_of is not None else event_ts
     if enveloped:
         sent = F.col("_sent_time")
         sent = instant_to_utc(sent) if df.schema["EventTime"].dataType.typeName() == "timestamp" else sent
@@ -108,7 +113,7 @@ def parse_records(df: DataFrame, as_of: dt.datetime, role_marker: str = "/role/"
         "identity_type": _identity("$.type"),
         "issuer_arn": _identity("$.sessionContext.sessionIssuer.arn"),
         "role_arn": _text("requestParameters", "$.roleArn"),
-        "drop_reason": F.when(usable, None).otherwise(UNPARSABLE),
+        "drop_reason": F.when(usable & event_ts.isNotNull(), None).otherwise(UNPARSABLE),
     }
     return (
         df.select("*", open_once(F.try_variant_get("rec", "$", RECORD), *RECORD_FIELDS))

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows fetched and rows shown by the reporting tool.
+# Fixed value: rows the reporting tool fetches.
 FETCH_ROWS = 1000
-SHOW_ROWS = 20
 
 
-def fetched(result: DataFrame, rows: int = FETCH_ROWS) -> DataFrame:
-    """A result as a display shows it: capped, every value text, NULL as ''."""
-    return result.limit(rows).select([F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in result.columns])
+def fetched(result: DataFrame, rows: int | None = None) -> DataFrame:
+    """A result as a display shows it: every value text, NULL as '', and only
+    the first ``rows`` where that is asked for."""
+    result = result if rows is None else result.limit(rows)
+    return result.select([F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in result.columns])
 
 
 def json_rows(result: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from accesslens.functions.keys import key_values, restrict_to
 from accesslens.schema import EVENT_COLUMNS, EVENT_KEY, EVENTS
-from accesslens.session import is_complete, remove_folder, staging
+from accesslens.session import is_complete, mark_complete, remove_folder, staging
 from accesslens.sources.store import read_events
 
 PAYLOAD = [name for name in EVENT_COLUMNS if name not in EVENT_KEY]
@@ -65,9 +65,12 @@ def _rewrite_path(path: str) -> str:
     return f"{path.rstrip('/')}.rewrite"
 
 
-def _finish_rewrite(spark: SparkSession, path: str) -> None:
-    """Replace the date partitions for which a complete copy is waiting."""
+def _finish_rewrite(spark: SparkSession, path: str, expected: bool = False) -> None:
+    """Replace the date partitions for which a complete copy is waiting; where
+    one is ``expected``, its absence is an error."""
     copy = _rewrite_path(path)
+    if expected and not is_complete(spark, copy):
+        raise RuntimeError(f"the copy for a rewrite is not complete: {copy}")
     if is_complete(spark, copy):
         (
             sized_by_date(spark.read.schema(EVENTS).parquet(copy))
@@ -80,11 +83,14 @@ def _finish_rewrite(spark: SparkSession, path: str) -> None:
         remove_folder(spark, copy)
 
 
-def write_new_events(spark: SparkSession, batch: DataFrame, path: str) -> None:
+def write_new_events(spark: SparkSession, batch: DataFrame, path: str, load_order: str = "event_time") -> None:
     """Append the events whose key the store does not hold."""
     _finish_rewrite(spark, path)
-    store = restrict_to(read_events(spark, path), "event_date", batch)
-    _append(insert_new_events(store, batch), path)
+    with staging(spark, "insert") as staged_path:
+        batch.write.parquet(staged_path)
+        staged = spark.read.parquet(staged_path)
+        store = restrict_to(read_events(spark, path), "event_date", staged)
+        _append(insert_new_events(store, staged, load_order), path)
 
 
 def write_upsert(spark: SparkSession, batch: DataFrame, path: str) -> dict[str, int]:
@@ -102,16 +108,23 @@ def write_upsert(spark: SparkSession, batch: DataFrame, path: str) -> dict[str,
         return _write_upsert(spark, batch, path, staged_path)
 
 
+def _print(name: str) -> Column:
+    """256 bits that tell payloads apart, NULL and '' included."""
+    return F.sha2(F.to_json(F.struct(*PAYLOAD), {"ignoreNullFields": "false"}), 256).alias(name)
+
+
 def _write_upsert(spark: SparkSession, batch: DataFrame, path: str, staged_path: str) -> dict[str, int]:
-    new = latest(batch)
+    # The batch is worked out once.  Of the store, only the rows of its dates
+    # are read, and only key and payload print of the rows with its keys go
+    # on: the keys are the small side of that join, the payloads stay behind.
+    latest(batch).withColumn("_new", _print("_new")).write.parquet(f"{staged_path}/batch")
+    new = spark.read.parquet(f"{staged_path}/batch")
     store = read_events(spark, path)
-    old = restrict_to(store, "event_date", batch).select(*EVENT_KEY, F.struct(PAYLOAD).alias("_old"))
-    outcome = (
-        F.when(F.col("_old").isNull(), "new")
-        .when(F.struct(PAYLOAD).eqNullSafe(F.col("_old")), "same")
-        .otherwise("changed")
-    )
+    held = restrict_to(store, "event_date", new).join(new.select(EVENT_KEY), EVENT_KEY, "left_semi")
+    old = held.select(*EVENT_KEY, _print("_old"))
+    outcome = F.when(F.col("_old").isNull(), "new").when(F.col("_new") == F.col("_old"), "same").otherwise("changed")
     compared = new.join(old, EVENT_KEY, "left").withColumn("outcome", outcome)
+    staged_path = f"{staged_path}/compared"
     compared.select(*EVENT_COLUMNS, "outcome").write.parquet(staged_path)
 
     staged = spark.read.parquet(staged_path)
@@ -120,8 +133,10 @@ def _write_upsert(spark: SparkSession, batch: DataFrame, path: str, staged_path:
         changed = key_values(staged.where("outcome = 'changed'"), "event_date")
         touched = restrict_to(store, "event_date", changed)
         merged = upsert_events(touched, restrict_to(staged, "event_date", changed))
-        merged.write.mode("overwrite").parquet(_rewrite_path(path))
-        _finish_rewrite(spark, path)
+        copy = _rewrite_path(path)
+        merged.write.mode("overwrite").parquet(copy)
+        mark_complete(spark, copy)
+        _finish_rewrite(spark, path, expected=True)
         rewritten = restrict_to(staged, "event_date", changed)
         staged = staged.join(rewritten.select(EVENT_KEY), EVENT_KEY, "left_anti")
     _append(staged.where("outcome = 'new'").select(EVENT_COLUMNS), path)

@@ -52,7 +52,10 @@ def daily_summary_sql(
         total(where=name.startswith("Update") | name.startswith("Put")).alias("modify_actions"),
         total(where=name == "AssumeRole").alias("role_assumptions"),
     ]
-    return _by_day(df, as_of, days, measures, approximate)
+    return _by_day(df, as_of, days, measures, approximate).select(
+        "activity_date", "unique_users", "total_events", "error_events", "unique_actions",
+        "create_actions", "delete_actions", "modify_actions", "role_assumptions",
+    )
 
 
 def hourly_activity(

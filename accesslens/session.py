@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,11 +29,15 @@ def local_session(cores: str = "8", name: str = "accesslens") -> SparkSession:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names storage every executor can reach.  Only
-    where it is unset (tests on one machine) a local folder takes its place.
+    ``spark.checkpoint.dir``, or else the checkpoint folder set on the
+    context, names storage every executor can reach.  Where neither is set, a
+    local folder takes its place if the session runs in one process; on a
+    cluster it would not be shared, and that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to storage that all executors reach")
         base = tempfile.mkdtemp(prefix="accesslens-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
@@ -59,7 +64,25 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     files.delete(target, True)
 
 
+#: Our own marker: Spark's depends on a committer setting.
+COMPLETE = "_complete"
+
+
+def mark_complete(spark: SparkSession, folder: str) -> None:
+    """Note that the write into ``folder`` has returned without an error."""
+    files, marker = _file_system(spark, f"{folder}/{COMPLETE}")
+    files.create(marker, True).close()
+
+
 def is_complete(spark: SparkSession, folder: str) -> bool:
-    """True when a Spark write into ``folder`` was committed."""
-    files, marker = _file_system(spark, f"{folder}/_SUCCESS")
+    """True when a write into ``folder`` was marked complete."""
+    files, marker = _file_system(spark, f"{folder}/{COMPLETE}")
     return files.exists(marker)
+
+
+def child_folders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders in ``folder``; none where it does not exist."""
+    files, target = _file_system(spark, folder)
+    if not files.exists(target):
+        return []
+    return sorted(item.getPath().getName() for item in files.listStatus(target) if item.isDirectory())

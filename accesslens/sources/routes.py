@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.functions.keys import small_side
 
 # Sources, the region of global ones, and fallback regions.
 IAM, SIGN_IN, STS, SSO = "iam.amazonaws.com", "signin.amazonaws.com", "sts.amazonaws.com", "sso.amazonaws.com"
@@ -50,9 +49,9 @@ def select_sources(df: DataFrame, routes: Routes) -> DataFrame:
 
 
 def select_by_table(df: DataFrame, route_rows: DataFrame) -> DataFrame:
-    """Rows of the pairs in a routes table, broadcast while it is small."""
+    """Rows of the pairs in a routes table."""
     pair = ["event_source", "aws_region"]
-    return df.join(small_side(route_rows.select(pair)), pair, "left_semi")
+    return df.join(route_rows.select(pair), pair, "left_semi")
 
 
 def route_table(spark: SparkSession, routes: Routes) -> DataFrame:

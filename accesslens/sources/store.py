@@ -31,23 +31,26 @@ def scan_date_range(df: DataFrame, start_date: str, end_date: str, limit: int |
 
 
 def _look_up(
-    df: DataFrame, column: str, value: str, start_date: str | None, end_date: str | None, limit: int
+    df: DataFrame, column: str, value: str, start_date: str | None, end_date: str | None, limit: int | None
 ) -> DataFrame:
     rows = df.where(F.col(column) == value)
     if start_date and end_date:
         rows = rows.where(F.col("event_date").between(start_date, end_date))
-    return rows.orderBy("event_date", "event_id").limit(limit)
+    rows = rows.orderBy("event_date", "event_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def events_by_user(
-    df: DataFrame, user_name: str, start_date: str | None = None, end_date: str | None = None, limit: int = 100
+    df: DataFrame, user_name: str, start_date: str | None = None, end_date: str | None = None, limit: int | None = 100
 ) -> DataFrame:
-    """Events of one user by date; dates count only when both are given."""
+    """Events of one user by date; dates count only when both are
+    given.  ``limit=None`` gives all."""
     return _look_up(df, "user_name", user_name, start_date, end_date, limit)
 
 
 def events_by_action(
-    df: DataFrame, event_name: str, start_date: str | None = None, end_date: str | None = None, limit: int = 100
+    df: DataFrame, event_name: str, start_date: str | None = None, end_date: str | None = None, limit: int | None = 100
 ) -> DataFrame:
-    """Events of one name by date; dates count only when both are given."""
+    """Events of one name by date; dates count only when both are
+    given.  ``limit=None`` gives all."""
     return _look_up(df, "event_name", event_name, start_date, end_date, limit)

@@ -30,7 +30,9 @@ def start_ingest(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         now = as_of or dt.datetime.now(dt.timezone.utc)
-        run_batch(batch.sparkSession, batch, tables, now, stream_options)
+        summary = run_batch(batch.sparkSession, batch, tables, now, stream_options).first()
+        if summary["errors"]:  # the micro-batch is repeated, and its alerts with it
+            raise RuntimeError("; ".join(summary["errors"]))
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return (

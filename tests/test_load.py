@@ -10,7 +10,7 @@ from accesslens.functions.time import literal
 from accesslens.operators import incremental, upsert
 from accesslens.operators.incremental import Options, Tables, run_batch
 from accesslens.schema import CONTROL
-from accesslens.sources.raw import from_text
+from accesslens.sources.raw import from_text, read_records, stream_records
 from accesslens.sources.routes import Routes
 from accesslens.sources.store import events_by_action, events_by_user, read_events, scan_date_range
 
@@ -75,7 +75,7 @@ def test_an_interrupted_rewrite_is_completed(spark, make_events, tmp_path, monke
 
     finish = upsert._finish_rewrite
     calls = []
-    monkeypatch.setattr(upsert, "_finish_rewrite", lambda *a: calls.append(1) or (finish(*a) if len(calls) < 2 else die()))
+    monkeypatch.setattr(upsert, "_finish_rewrite", lambda *a, **k: calls.append(1) or (finish(*a, **k) if len(calls) < 2 else die()))
     with pytest.raises(RuntimeError):
         upsert.write_upsert(spark, changed, path)
     assert read_events(spark, path).count() == 0
@@ -124,7 +124,9 @@ def test_read_range(spark):
     control = control_rows(spark, ("iam-events", start, start, 5, "active", ""))
     second, settle = dt.timedelta(seconds=1), dt.timedelta(minutes=5)
     records = times(spark, start - second, start, NOW - settle, NOW - settle + second, NOW)
-    assert ids(incremental.since_checkpoint(records, control, NOW)) == ["1", "2", "4"]
+    assert ids(incremental.since_checkpoint(records, control, NOW)) == ["1", "2"]
+    flagged = {r["event_id"]: r["drop_reason"] for r in incremental.flag_range(records, control, NOW).collect()}
+    assert flagged == {"0": "late", "1": None, "2": None, "3": "settling", "4": "settling"}
     unseen = times(spark, NOW - dt.timedelta(days=90), NOW - dt.timedelta(days=91), source="sso.amazonaws.com")
     assert ids(incremental.since_checkpoint(unseen, control, NOW)) == ["0"]
 
@@ -166,6 +168,7 @@ def test_run_and_repeat(spark, tmp_path):
     first = run_batch(spark, records, tables, NOW, options).first()
     assert (first["status"], first["total_events_processed"], first["events_added"]) == (200, 1, 1)
     assert (first["filtered_by_role"], first["filtered_by_service"], first["unparsable"]) == (1, 1, 1)
+    assert (first["not_routed"], first["late"], first["settling"]) == (1, 0, 1)
     assert ids(read_events(spark, tables.events)) == ["1"]
     assert tables.read_alerts(spark).count() == 1
     control = {r["checkpoint_key"]: r for r in tables.read_control(spark).collect()}
@@ -184,6 +187,8 @@ def test_files_before_the_last_run_can_be_skipped(spark, tmp_path):
     assert tables.delivered_since(spark) is None
     run_batch(spark, text_records(spark, record(1)), tables, NOW, Options())
     assert tables.delivered_since(spark) == NOW - dt.timedelta(minutes=5)
+    run_batch(spark, text_records(spark, record(1)), tables, NOW + dt.timedelta(hours=2), Options(settle=dt.timedelta(hours=1)))
+    assert tables.delivered_since(spark) == NOW + dt.timedelta(hours=1)
 
 
 def test_run_without_events_changes_nothing(spark, tmp_path):
@@ -216,3 +221,103 @@ def test_checkpoint_stays_when_the_write_fails(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError):
         run_batch(spark, text_records(spark, record(1)), tables, NOW, Options())
     assert tables.read_control(spark).count() == 0
+
+
+def test_an_unreadable_time_loses_no_other_event(spark, tmp_path):
+    """It neither moves the checkpoint over settling events nor is stored anew each day."""
+    tables = Tables.under(str(tmp_path))
+    records = text_records(spark, record("A", eventTime="2024-01-31T11:00:00Z"), record("B", eventTime="2024-01-31T11:58:00Z"), record("G", eventTime="31.01.2024"))
+    first = run_batch(spark, records, tables, NOW, Options()).first()
+    assert (first["total_events_processed"], first["settling"], first["unparsable"]) == (1, 1, 1)
+    for later in (dt.timedelta(hours=1), dt.timedelta(days=1)):
+        run_batch(spark, records, tables, NOW + later, Options())
+        assert ids(read_events(spark, tables.events)) == ["A", "B"]
+
+
+def test_files_under_a_longer_settle_time_are_read_again(spark, tmp_path):
+    import os
+
+    tables, options = Tables.under(str(tmp_path / "t")), Options(settle=dt.timedelta(hours=1))
+    file = tmp_path / "raw" / "one.json"
+    file.parent.mkdir()
+    file.write_text('{"Records": [' + record("E", eventTime="2024-01-31T11:30:00Z") + "]}")
+    stamp = dt.datetime(2024, 1, 31, 11, 35, tzinfo=dt.timezone.utc).timestamp()
+    os.utime(file, (stamp, stamp))
+    for now in (NOW, NOW + dt.timedelta(hours=2)):
+        records = read_records(spark, str(file.parent), modified_after=tables.delivered_since(spark))
+        run_batch(spark, records, tables, now, options)
+    assert ids(read_events(spark, tables.events)) == ["E"]
+
+
+def test_a_rewrite_does_not_depend_on_success_markers(spark, make_events, tmp_path):
+    path, hadoop = str(tmp_path / "events"), spark._jsc.hadoopConfiguration()
+    upsert.write_upsert(spark, make_events({"event_id": "a"}), path)
+    hadoop.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        counts = upsert.write_upsert(spark, make_events({"event_id": "a", "error_code": "x"}, {"event_id": "b"}), path)
+    finally:
+        hadoop.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+    assert counts == {"new": 1, "same": 0, "changed": 1}
+    assert {r["event_id"]: r["error_code"] for r in read_events(spark, path).collect()} == {"a": "x", "b": None}
+
+
+def test_an_unmarked_copy_stops_the_run(spark, make_events, tmp_path, monkeypatch):
+    path = str(tmp_path / "events")
+    upsert.write_upsert(spark, make_events({"event_id": "a"}), path)
+    monkeypatch.setattr(upsert, "mark_complete", lambda *args: None)
+    with pytest.raises(RuntimeError, match="not complete"):
+        upsert.write_upsert(spark, make_events({"event_id": "a", "error_code": "x"}), path)
+    assert ids(read_events(spark, path)) == ["a"]
+
+
+def test_a_stream_repeats_a_batch_whose_alerts_failed(spark, tmp_path, monkeypatch):
+    from accesslens.streaming.ingest import start_ingest
+
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "one.json").write_text('{"Records": [' + record(1) + "]}")
+    tables, send = Tables.under(str(tmp_path / "t")), incremental.send_alerts
+    run = lambda: start_ingest(stream_records(spark, str(tmp_path / "raw")), tables, str(tmp_path / "c"), as_of=NOW).awaitTermination()
+
+    def fail(*args):
+        raise RuntimeError("no alerts today")
+
+    monkeypatch.setattr(incremental, "send_alerts", fail)
+    with pytest.raises(Exception, match="no alerts today"):
+        run()
+    monkeypatch.setattr(incremental, "send_alerts", send)
+    run()
+    assert tables.read_alerts(spark).count() == 1 and ids(read_events(spark, tables.events)) == ["1"]
+
+
+def test_a_small_batch_is_compared_without_shuffling_payloads(spark, make_events, tmp_path):
+    """Of the store, the join sees keys and a payload print only."""
+    path = str(tmp_path / "events")
+    upsert.write_upsert(spark, make_events(*({"event_id": str(i)} for i in range(50))), path)
+    batch = make_events({"event_id": "3"})
+    held = read_events(spark, path).join(batch.select("event_date", "event_id"), ["event_date", "event_id"], "left_semi")
+    plan = held.select("event_date", "event_id", upsert._print("_old"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan or "LeftSemi" in plan
+
+
+def test_alerts_of_a_failed_step_are_raised_by_the_next_run(spark, tmp_path, monkeypatch):
+    def fail(*args):
+        raise RuntimeError("no alerts today")
+
+    tables, send = Tables.under(str(tmp_path)), incremental.send_alerts
+    monkeypatch.setattr(incremental, "send_alerts", fail)
+    run_batch(spark, text_records(spark, record(1)), tables, NOW, Options())
+    monkeypatch.setattr(incremental, "send_alerts", send)
+    later = text_records(spark, record(2, eventTime="2024-01-31T11:30:00Z"))
+    assert run_batch(spark, later, tables, NOW + dt.timedelta(hours=1), Options()).first()["status"] == 200
+    assert ids(tables.read_alerts(spark)) == ["1", "2"] and not (tmp_path / "alerts-pending").exists()
+
+
+def test_expired_alert_days_are_removed(spark, tmp_path):
+    from accesslens.operators.alerts import expire_alerts
+
+    tables = Tables.under(str(tmp_path))
+    assert expire_alerts(spark, tables.alerts, NOW) == []
+    run_batch(spark, text_records(spark, record(1)), tables, NOW, Options())
+    run_batch(spark, text_records(spark, record(2)), tables, NOW + dt.timedelta(days=20), Options())
+    assert expire_alerts(spark, tables.alerts, NOW + dt.timedelta(days=40)) == ["2024-01-31"]
+    assert ids(tables.read_alerts(spark)) == ["2"]

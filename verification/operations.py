@@ -156,7 +156,7 @@ def _written_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, batch = _store_and_batch(spark, sf_dir)
     path = shared_folder(spark, "events")
     upsert.write_new_events(spark, stored, path)
-    upsert.write_new_events(spark, batch.where("load = 1"), path)
+    upsert.write_new_events(spark, batch, path, "load")
     return store.read_events(spark, path).select(_STORED)
 
 
@@ -241,10 +241,14 @@ def _tiers(events: DataFrame) -> DataFrame:
 
 
 def _lake_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Storage report over the files of an exported lake."""
+    """Region-days of an exported lake with the class their files are reported
+    in; the report's bytes are Parquet's and no statement can know them."""
     path = shared_folder(spark, "lake")
     lake.export(spark, events_from(spark, sf_dir), path)
-    return reports.storage_by_class(reports.with_tier(lake_source.lake_files(spark, path), dt.date(2024, 4, 15)))
+    files = lake_source.lake_files(spark, path)
+    tiers = reports.with_tier(files, dt.date(2024, 4, 15))
+    day = F.format_string("%04d-%02d-%02d", "year", "month", "day").alias("event_date")
+    return files.select("path", day, "region").join(tiers.where("size > 0"), "path").select("event_date", "region", "storage_class").distinct()
 
 
 # Streams
