@@ -13,7 +13,8 @@ from accesslens.functions.json import is_object, key_present, once
 from accesslens.functions.keys import key_values, restrict_to
 from accesslens.functions.text import regexp_or_null
 from accesslens.operators.upsert import LOOK_UP_OPTIONS
-from accesslens.schema import EVENT_COLUMNS, EVENT_KEY, LAKE_PARTITIONS
+from accesslens.schema import EVENT_COLUMNS, EVENT_KEY, EVENTS, LAKE_PARTITIONS
+from accesslens.session import staging
 from accesslens.sources.lake import lake_dates, read_lake
 
 
@@ -121,6 +122,9 @@ def recent_dates(spark: SparkSession, as_of: dt.date, days_back: int = 1) -> Dat
     return spark.createDataFrame(dates, "event_date string")
 
 
+_EXPORTED = "mode string, total_events_exported long"
+
+
 def export(
     spark: SparkSession,
     events: DataFrame,
@@ -148,9 +152,16 @@ def export(
         rows = missing_events(
             restrict_to(events, "event_date", incomplete), restrict_to(lake, "event_date", incomplete)
         )
+        # The anti-join runs once; the count and the write read its result.
+        with staging(spark, "export") as folder:
+            rows.write.parquet(folder)
+            rows = spark.read.schema(EVENTS).parquet(folder)
+            exported = rows.count()
+            write_lake(lake_rows(rows), path, by_region)
+        return spark.createDataFrame([(mode, exported)], _EXPORTED)
     else:
         raise ValueError(f"Unknown export mode: {mode}. Available modes: dates, events")
     # Counted from the stored keys: exact also when tasks are repeated.
     exported = rows.count()
-    write_lake(lake_rows(rows), path, by_region, replace_dates=mode == "dates")
-    return spark.createDataFrame([(mode, exported)], "mode string, total_events_exported long")
+    write_lake(lake_rows(rows), path, by_region, replace_dates=True)
+    return spark.createDataFrame([(mode, exported)], _EXPORTED)
