@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import time
+from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -233,6 +235,47 @@ def run_batch(
     return run_summary(spark, dropped, outcomes, time.monotonic() - started, errors)
 
 
+#: Counts, duration and errors of a run.
+SUMMARY = T.StructType(
+    [T.StructField("status", T.IntegerType())]
+    + [
+        T.StructField(name, T.LongType())
+        for name in (
+            "total_events_processed", "filtered_by_role", "filtered_by_service", "unparsable",
+            "not_routed", "late", "settling", "events_added", "events_changed",
+        )
+    ]
+    + [T.StructField("execution_time_seconds", T.DoubleType()), T.StructField("errors", T.ArrayType(T.StringType()))]
+)
+
+
+def run_sources(
+    spark: SparkSession, sources: Mapping[str, DataFrame], tables: Tables, as_of: dt.datetime, options: Options = Options()
+) -> DataFrame:
+    """Load several sources' raw records (alike columns); one summary row.
+
+    All sources load in one run.  Only if that fails, they are loaded one by
+    one, so that the broken ones leave the others loaded and their own
+    checkpoints where they were; keyed writes make the repeat harmless.
+    """
+    if not sources:
+        return run_summary(spark, {}, dict.fromkeys(("new", "changed"), 0), 0.0, [])
+    try:
+        return run_batch(spark, reduce(DataFrame.unionByName, sources.values()), tables, as_of, options)
+    except Exception:
+        if len(sources) == 1:
+            raise
+    rows, errors = [], []
+    for name, records in sources.items():
+        try:
+            rows.append(run_batch(spark, records, tables, as_of, options).first())
+        except Exception as error:
+            errors.append(f"{name}: {error}")
+    added = [sum(row[name] for row in rows) for name in SUMMARY.names[1:-1]]
+    errors += [text for row in rows for text in row["errors"]]
+    return spark.createDataFrame([(500 if errors else 200, *added, errors)], SUMMARY)
+
+
 def run_summary(
     spark: SparkSession, by_reason: dict[str | None, int], outcomes: dict[str, int], seconds: float, errors: list[str]
 ) -> DataFrame:
@@ -254,6 +297,5 @@ def run_summary(
     )
     return spark.createDataFrame(
         [row],
-        "status int, total_events_processed long, filtered_by_role long, filtered_by_service long, unparsable long, "
-        "not_routed long, late long, settling long, events_added long, events_changed long, execution_time_seconds double, errors array<string>",
+        SUMMARY,
     )

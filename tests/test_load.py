@@ -321,3 +321,15 @@ def test_expired_alert_days_are_removed(spark, tmp_path):
     run_batch(spark, text_records(spark, record(2)), tables, NOW + dt.timedelta(days=20), Options())
     assert expire_alerts(spark, tables.alerts, NOW + dt.timedelta(days=40)) == ["2024-01-31"]
     assert ids(tables.read_alerts(spark)) == ["2"]
+
+
+def test_a_broken_source_leaves_the_others_loaded(spark, tmp_path):
+    tables = Tables.under(str(tmp_path))
+    good = text_records(spark, record(1), record(2))
+    broken = text_records(spark, record(3, eventSource="sts.amazonaws.com")).select(F.when(F.rand() < 2, F.raise_error("unreadable")).otherwise(F.col("rec")).alias("rec"))
+    row = incremental.run_sources(spark, {"iam": good, "sts": broken}, tables, NOW).first()
+    assert (row["status"], row["events_added"]) == (500, 2) and "sts" in row["errors"][0]
+    assert ids(read_events(spark, tables.events)) == ["1", "2"]
+    assert [r["checkpoint_key"] for r in tables.read_control(spark).collect()] == ["iam-events"]
+    both = incremental.run_sources(spark, {"iam": good, "more": text_records(spark, record(4))}, tables, NOW).first()
+    assert (both["status"], both["events_added"]) == (200, 1)
