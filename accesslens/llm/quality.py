@@ -2,7 +2,7 @@
 
 Features are statistics of the whole text, counted by numpy over many texts at
 once.  The trees are grown on the driver from a sample of labelled documents
-of at most ``SAMPLE`` rows (those with the smallest hash of the id), on
+of at most ``SAMPLE`` rows (those in the lowest shares of a hash of the id), on
 features cut into at most ``BINS`` quantile bins; they are then flattened into
 arrays, and tasks walk all trees for all rows of a batch together.
 
@@ -28,6 +28,8 @@ from accesslens.llm.staging import staged
 from accesslens.llm.words import slices, split_words, text_of
 
 SAMPLE = 20_000
+#: Hash shares the labelled rows are dealt into, to choose the sample.
+SHARES = 1 << 14
 BINS, TREES, DEPTH, RATE, LEAST, RIDGE = 64, 60, 4, 0.15, 20, 1.0
 #: From this score on a document is predicted to be good.
 GOOD = 0.7
@@ -177,8 +179,17 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def train(stats: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
     """A model from the labelled rows of ``stats`` that are not held out."""
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
-    rows = stats.where(~held_out()).join(known, "doc_id").select("doc_id", "label", "features")
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(sample).collect()
+    rows = stats.where(~held_out()).join(known, "doc_id").select("doc_id", "label", "features", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).alias("share"))
+    rows = staged(rows, "labelled")
+    # The lowest hash shares that together hold at most ``sample`` rows: no
+    # task sends more than its part of them to the driver.
+    below, held = 0, 0
+    for row in sorted(rows.groupBy("share").count().collect()):
+        held += row["count"]
+        if held > sample:
+            break
+        below = row.share + 1
+    found = sorted(rows.where(F.col("share") < below).collect(), key=lambda row: (row.share, row.doc_id, row.features))
     x = np.array([row.features for row in found], np.float32).reshape(len(found), WIDTH)
     return fit(x, np.array([row.label for row in found], np.float64))
 
