@@ -2,11 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from accesslens.session import shared_folder
 
 
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes handed to Python at once: rows here are long, and a task holds a batch
+#: in the JVM, in the worker and on the way.
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ``BATCH_BYTES`` for what is run inside."""
+    before = spark.conf.get(BATCH_LIMIT, None)
+    spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_LIMIT)
+        else:
+            spark.conf.set(BATCH_LIMIT, before)
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
@@ -16,7 +39,8 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     folder = shared_folder(spark, purpose)
-    df.write.option("compression", "zstd").parquet(folder)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

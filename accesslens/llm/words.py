@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 IS_SPACE = np.zeros(256, bool)
@@ -19,7 +20,7 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text handled at once; a longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 @dataclass
@@ -40,7 +41,8 @@ class Text:
 def text_of(column: pa.Array) -> Text:
     """The UTF-8 bytes of a text column; a null counts as an empty text."""
     column = column.fill_null("") if column.null_count else column
-    column = column.cast(pa.large_string())
+    # A slice is copied out, so that a cast does not take its whole parent along.
+    column = pa.concat_arrays([column]).cast(pa.large_string())
     _, starts, data = column.buffers()
     offsets = np.frombuffer(starts, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
@@ -52,12 +54,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = SLIC
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends, start = text_of(batch.column(column)).offsets[1:], 0
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        ends, start = np.cumsum(sizes, dtype=np.int64), 0
         while start < batch.num_rows:
             done = int(ends[start - 1]) if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 @dataclass
