@@ -34,8 +34,10 @@ ALERT_TABLE = T.StructType(
     SENT_ALERTS.fields
     + [
         T.StructField(name, T.StringType())
-        for name in "event_date event_time event_name user_name source_ip aws_region alert_message "
-        "event_name_attribute subject body".split()
+        for name in [
+            "event_date", "event_time", "event_name", "user_name", "source_ip", "aws_region", "alert_message",
+            "event_name_attribute", "subject", "body",
+        ]
     ]
 )
 
@@ -295,7 +297,4 @@ def run_summary(
         seconds,
         errors,
     )
-    return spark.createDataFrame(
-        [row],
-        SUMMARY,
-    )
+    return spark.createDataFrame([row], SUMMARY)

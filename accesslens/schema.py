@@ -3,22 +3,24 @@
 from pyspark.sql import types as T
 
 
-def _strings(names: str) -> list[T.StructField]:
-    return [T.StructField(name, T.StringType()) for name in names.split()]
+def _strings(names: list[str]) -> list[T.StructField]:
+    return [T.StructField(name, T.StringType()) for name in names]
 
 
+# The column names of the stored and exported tables.
 #: The central event table.  Row identity is (event_date, event_id).
-EVENTS = T.StructType(_strings(
-    "event_id event_date event_time event_name event_source event_type aws_region user_name "
-    "source_ip user_agent request_parameters response_elements error_code error_message"
-))
+EVENTS = T.StructType(_strings([
+    "event_id", "event_date", "event_time", "event_name", "event_source", "event_type", "aws_region",
+    "user_name", "source_ip", "user_agent", "request_parameters", "response_elements", "error_code",
+    "error_message",
+]))
 EVENT_COLUMNS = EVENTS.fieldNames()
 EVENT_KEY = ["event_date", "event_id"]
 
-LIFTED = _strings(
-    "role_arn role_session_name policy_arn user_name_param group_name assumed_role_user "
-    "credentials_expiration user_identity"
-)
+LIFTED = _strings([
+    "role_arn", "role_session_name", "policy_arn", "user_name_param", "group_name", "assumed_role_user",
+    "credentials_expiration", "user_identity",
+])
 LAKE_PARTITIONS = ["year", "month", "day", "region"]
 #: The analytics table: events, lifted JSON fields, error flag, partitions.
 LAKE = T.StructType(
@@ -40,10 +42,11 @@ CONTROL = T.StructType([
 ])
 
 SENT_ALERTS = T.StructType(
-    _strings("event_id alert_type rule_id alert_title message_id sent_date")
+    _strings(["event_id", "alert_type", "rule_id", "alert_title", "message_id", "sent_date"])
     + [T.StructField("sent_timestamp", T.TimestampNTZType()), T.StructField("ttl", T.LongType())]
 )
 
+# The field names of delivered files and envelopes.
 #: Raw delivery files hold one top-level array of records, kept as JSON text.
 RAW_FILE = T.StructType([T.StructField("Records", T.ArrayType(T.StringType()))])
 ENVELOPE = T.StructType([
