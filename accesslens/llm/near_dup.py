@@ -5,19 +5,23 @@ Two small collections of ``GROUPS`` groups of ``DEPTH`` minhashes give
 ``GROUPS ** 2`` tables: table (i, j) is keyed by group i of the one and group
 j of the other.  So 2 * GROUPS * DEPTH minhashes serve where independent
 tables would need GROUPS ** 2 * 2 * DEPTH.  A pair at the threshold of 0.75
-misses all 144 tables with probability 2 * (1 - 0.75 ** 2) ** 12 = 1e-4; what
-tables propose is confirmed on the full sets.
+misses all 256 tables with probability 2 * (1 - 0.75 ** 3) ** 16 = 3e-4, one
+at 0.8 with 4e-5; what tables propose is confirmed on the full sets.
 
 Steps, none of which forms all pairs of a group:
 
 1. Equal sets fall into a class; from here on a class counts once.
-2. Only groups that two classes share can be part of a shared table, so all
-   others are dropped before the tables are formed.
-3. In each table bucket, every class is compared with one leader.  The
-   confirmed links are contracted to components.
-4. Only pairs of a bucket that are still in different components are compared
-   in a second pass, after a bound on sizes (exact) and on agreeing minhashes
-   (a linked pair falls below ``AGREE`` of 48 with probability 1e-7).
+2. Every class is compared with one other, its pivot: of the leaders of its
+   groups, the one it shares most groups with.  A group's leader is the class
+   that shares most groups with anybody, which is the text in the middle of a
+   family of copies.  Confirmed links are contracted to components.
+3. Groups, and then table buckets, that lie within one component are dropped.
+   In the others only pairs of different components are formed, each once (in
+   the first bucket it shares), and only if a link is possible: by their sizes
+   (exact), by the exact distances of both to a common pivot (Jaccard distance
+   obeys the triangle inequality), and by the short marks of their minhashes:
+   of 384 bits a linked pair differs in 48 on average and in more than
+   ``APART`` with probability 1e-7.
 
 Defined cases: fewer words than ``SHINGLE`` make one shingle of the whole
 sequence; a null or empty text, or one without words, has no shingles and is
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.llm.components import connected_components
@@ -41,12 +45,19 @@ from accesslens.llm.staging import staged
 from accesslens.llm.words import hashes, slices, split_words, text_of
 
 SHINGLE = 5
-GROUPS, DEPTH = 12, 2
+GROUPS, DEPTH = 16, 3
 HASHES = 2 * GROUPS * DEPTH
-AGREE = 20
+#: Bits of each minhash that are kept as marks, and numbers they fill.
+MARK_BITS = 4
+MARKS = [f"mark_{i}" for i in range(HASHES * MARK_BITS // 64)]
+APART = 100
+#: Bits up to which a class is compared with its pivot, link or not.
+NEARBY = 150
+#: Ids up to which a lookup is broadcast (about 10 MB); beyond it is shuffled.
+BROADCAST_ROWS = 400_000
 SIMILAR = 75  # per cent
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-SKETCH = "doc_id long, n_shingles long, class long, sides array<long>, marks binary"
+SKETCH = "doc_id long, n_shingles long, class long, sides array<long>, " + ", ".join(f"{m} long" for m in MARKS)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -95,7 +106,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
             sides: list = [None] * len(sets)
-            marks: list = [None] * len(sets)
+            marks = np.zeros((len(sets), len(MARKS)), np.int64)
             classes: list = [None] * len(sets)
             if len(full):
                 minima = minhashes([sets[i] for i in full])
@@ -103,25 +114,64 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for k in range(DEPTH):
                     keys = keys * PRIME + minima[:, k::DEPTH]
                 keys = _mixed(keys + np.arange(2 * GROUPS, dtype=np.uint64)).view(np.int64)
-                short = _mixed(minima).astype("<u2")
+                bits = _mixed(minima) & np.uint64((1 << MARK_BITS) - 1)
+                each = 64 // MARK_BITS
+                for k in range(each):
+                    marks[full] |= (bits[:, k::each] << np.uint64(MARK_BITS * k)).view(np.int64)
                 for row, i in enumerate(full.tolist()):
-                    classes[i], sides[i], marks[i] = class_of(sets[i]), keys[row], short[row].tobytes()
+                    classes[i], sides[i] = class_of(sets[i]), keys[row]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(classes, pa.int64()), pa.array(sides, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                ["doc_id", "n_shingles", "class", "sides", "marks"],
+                [batch.column(0), pa.array(sizes), pa.array(classes, pa.int64()), pa.array(sides, pa.list_(pa.int64())), *(pa.array(m) for m in marks.T)],
+                ["doc_id", "n_shingles", "class", "sides", *MARKS],
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sketch, SKETCH)
 
 
-def tables(reps: DataFrame) -> DataFrame:
-    """``bucket, class`` for every table bucket that several classes share."""
-    sides = reps.select("class", F.posexplode("sides").alias("side", "key"))
-    shared = sides.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    live = staged(sides.join(shared, "key", "left_semi"), "shared-groups")
-    left = live.where(F.col("side") < GROUPS).select("class", F.col("key").alias("one"))
-    right = live.where(F.col("side") >= GROUPS).select("class", F.col("key").alias("other"))
-    return left.join(right, "class").select("class", F.xxhash64("one", "other").alias("bucket"))
+def shared_groups(rows: DataFrame, by: str) -> DataFrame:
+    """The rows of ``class, side, key`` whose key has several ``by``, with the
+    number ``n`` of rows of the key."""
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(by).alias("low"), F.max(by).alias("high")).where("low < high")
+    return rows.join(keys.select("key", "n"), "key")
+
+
+def pivots(groups: DataFrame) -> DataFrame:
+    """``class, pivot``: the leader each class shares most groups with."""
+    central = groups.groupBy("class").agg(F.sum("n").alias("central"))
+    ranked = groups.join(central, "class")
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("central", "class")).alias("best")).select("key", F.col("best.class").alias("leader"), F.col("best.central").alias("central"))
+    stars = groups.join(leaders, "key").where("class != leader").groupBy("class", "leader", "central").agg(F.count(F.lit(1)).alias("n"))
+    return stars.groupBy("class").agg(F.max(F.struct("n", "central", "leader")).alias("best")).select("class", F.col("best.leader").alias("pivot"))
+
+
+def tables(groups: DataFrame) -> DataFrame:
+    """``class, label, i, j, bucket`` for the tables formed by the given groups."""
+    left = groups.where(F.col("side") < GROUPS).select("class", "label", F.col("side").alias("i"), F.col("key").alias("one"))
+    right = groups.where(F.col("side") >= GROUPS).select("class", (F.col("side") - GROUPS).alias("j"), F.col("key").alias("other"))
+    return left.join(right, "class").select("class", "label", "i", "j", F.xxhash64("one", "other").alias("bucket"))
+
+
+def apart(x: str, y: str) -> Column:
+    """In how many bits the marks of two joined rows differ."""
+    return sum((F.bit_count(F.col(f"{x}.{mark}").bitwiseXOR(F.col(f"{y}.{mark}"))) for mark in MARKS), F.lit(0))
+
+
+def possible(x: str, y: str) -> Column:
+    """Whether sizes, pivots and marks of two joined rows allow a link."""
+    n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+    sizes = 100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)
+    # Distance to a common pivot cannot differ by more than a link's distance.
+    same, differ = F.col(f"{x}.pivot") == F.col(f"{y}.pivot"), F.abs(F.col(f"{x}.alike") - F.col(f"{y}.alike"))
+    within = ~F.coalesce(same & (differ > 1 - SIMILAR / 100 + 1e-9), F.lit(False))
+    return sizes & within & (apart(x, y) <= APART)
+
+
+def first_shared(x: str, y: str) -> Column:
+    """Whether a bucket is the first that two of its rows share: no earlier
+    group of either side is equal."""
+    equal = F.zip_with(f"{x}.sides", f"{y}.sides", lambda a, b: a == b)
+    none = lambda part: ~F.exists(part, lambda e: e)
+    return none(F.slice(equal, F.lit(1), F.col(f"{x}.i"))) & none(F.slice(equal, F.lit(GROUPS + 1), F.col(f"{x}.j")))
 
 
 def shingles_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -134,39 +184,29 @@ def shingles_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) ->
             own = [i for i, c in enumerate(classes) if c == wanted[i]]
             yield pa.RecordBatch.from_arrays([pa.array([classes[i] for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["class", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(reps.select("doc_id", "class"), "doc_id")
+    wanted = reps.select("doc_id", "class")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id")
     return texts.select("doc_id", "text", "class").mapInArrow(collect, "class long, shingles binary").dropDuplicates(["class"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For pairs ``a, b``: similarity of the full sets, and whether it links them."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            linked, alike = [], []
             for one, other in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (one, other))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                union = len(x) + len(y) - both
+                linked.append(100 * both >= SIMILAR * union)
+                alike.append(both / union)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(alike, pa.float64())], ["a", "b", "linked", "alike"])
 
     one = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
-
-
-def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs that sizes allow and whose marks agree often enough."""
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, HASHES) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
-
-    one = reps.select(F.col("class").alias("a"), F.col("marks").alias("x"), F.col("n_shingles").alias("n"))
-    other = reps.select(F.col("class").alias("b"), F.col("marks").alias("y"), F.col("n_shingles").alias("m"))
-    sized = pairs.join(one, "a").join(other, "b").where(100 * F.least("n", "m") >= SIMILAR * F.greatest("n", "m"))
-    return sized.select("a", "b", "x", "y").mapInArrow(agree, "a long, b long")
+    return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long, linked boolean, alike double")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,34 +214,46 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = staged(sketches(docs, id_col, text_col), "sketches")
     named = rows.where("class IS NOT NULL AND doc_id IS NOT NULL")
     classes = staged(named.groupBy("class").agg(F.min("doc_id").alias("first_id")), "classes")
-    reps = named.join(classes.withColumnRenamed("first_id", "doc_id"), ["class", "doc_id"]).select("class", "doc_id", "n_shingles", "sides", "marks")
-    reps = staged(reps, "representatives")
-
-    members = tables(reps)
-    leaders = members.groupBy("bucket").agg(F.min("class").alias("leader"), F.max("class").alias("last")).where("leader < last")
-    members = staged(members.join(leaders.select("bucket", "leader"), "bucket"), "tables")
-    partners = members.select("class").distinct()
-    sets = staged(shingles_of(docs, reps.join(partners, "class", "left_semi"), id_col, text_col), "shingles")
-
-    stars = members.where("class != leader").groupBy("class", "leader").agg(F.count(F.lit(1)).alias("n"))
-    nearest = stars.groupBy("class").agg(F.max(F.struct("n", "leader")).alias("best"))
-    first = staged(confirmed(nearest.select(F.col("class").alias("a"), F.col("best.leader").alias("b")), sets), "links")
-    labels = connected_components(first)
-
-    labelled = members.select("bucket", "class").join(labels.withColumnRenamed("node", "class"), "class", "left")
-    labelled = labelled.select("bucket", "class", F.coalesce("label", "class").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    open_ = staged(labelled.join(mixed, "bucket", "left_semi"), "open-tables")
+    reps = named.join(classes.withColumnRenamed("first_id", "doc_id"), ["class", "doc_id"]).select("class", "doc_id", "n_shingles", "sides", *MARKS)
+    reps = staged(reps.dropDuplicates(["class"]), "representatives")
+    marked = reps.select("class", "n_shingles", *MARKS)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs, "candidates")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        sets = staged(shingles_of(docs, reps.join(ends, "class", "left_semi"), id_col, text_col), "shingles")
+        return staged(compared(pairs, sets), "links")
+
+    groups = reps.select("class", F.posexplode("sides").alias("side", "key"))
+    groups = staged(shared_groups(groups, "class"), "groups")
+    nearest = staged(pivots(groups), "pivots")
+    pairs = nearest.alias("p").join(marked.alias("x"), F.col("p.class") == F.col("x.class")).join(marked.alias("y"), F.col("p.pivot") == F.col("y.class"))
+    first = verified(pairs.where(apart("x", "y") <= NEARBY).select(F.col("p.class").alias("a"), F.col("p.pivot").alias("b")))
+    labels = connected_components(first.where("linked"))
+
+    labelled = groups.select("class", "side", "key").join(labels.withColumnRenamed("node", "class"), "class", "left")
+    labelled = labelled.select("class", "side", "key", F.coalesce("label", "class").alias("label"))
+    members = tables(staged(shared_groups(labelled, "label"), "open-groups"))
+    mixed = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    distances = first.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "alike")
+    known = reps.select("class", "n_shingles", "sides", *MARKS).join(distances, "class", "left")
+    open_ = staged(members.join(mixed, "bucket", "left_semi").join(known, "class"), "open-tables")
     one, other = open_.alias("one"), open_.alias("other")
-    across = one.join(other, (F.col("one.bucket") == F.col("other.bucket")) & (F.col("one.label") != F.col("other.label")) & (F.col("one.class") < F.col("other.class")))
-    across = across.select(F.col("one.class").alias("a"), F.col("other.class").alias("b")).distinct()
-    second = confirmed(plausible(across, reps), sets)
+    between = (F.col("one.bucket") == F.col("other.bucket")) & (F.col("one.label") != F.col("other.label")) & (F.col("one.class") < F.col("other.class"))
+    across = one.join(other, between & possible("one", "other") & first_shared("one", "other"))
+    second = verified(across.select(F.col("one.class").alias("a"), F.col("other.class").alias("b")).distinct()).where("linked").select("a", "b")
 
-    links = first.unionByName(second)
-    found = connected_components(links).withColumnRenamed("node", "class")
+    found = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(second)).withColumnRenamed("node", "class")
     smallest = found.join(classes, "class").groupBy("label").agg(F.min("first_id").alias("smallest"))
     linked = found.join(smallest, "label").select("class", "smallest")
     final = classes.join(linked, "class", "left").select("class", F.coalesce("smallest", "first_id").alias("smallest"))
     out = rows.select("doc_id", "n_shingles", "class").join(final, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that stay: those of the smallest id
+    of each component, and those without an id."""
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col("doc_id").alias("copied_id")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["copied_id"], "left_anti")
