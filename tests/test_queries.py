@@ -131,7 +131,8 @@ def test_result_output(spark, make_events, tmp_path):
     results.write_json(rows, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()[0] == '{"event_id":"e1","error_code":null}'
     assert tuple(results.fetched(rows).first()) == ("e1", "")
-    assert results.fetched(spark.range(1500)).count() == 1000
+    assert results.fetched(spark.range(1500)).count() == 1500
+    assert results.fetched(spark.range(1500), results.FETCH_ROWS).count() == 1000
 
 
 def test_storage_report(spark):
