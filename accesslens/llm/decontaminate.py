@@ -14,8 +14,8 @@ and are left out after that.
 
 A document matches an item by at least ``LEAST`` different windows of it, or
 by all if it has fewer.  Windows with fewer than ``LITERAL`` plain words are
-not used.  A text shorter than a window is one window as a whole, which an
-equally short text can match.
+not used.  An item shorter than a window is one window as a whole, looked for
+at every place of a document.
 
 Defined cases: null and empty texts match nothing; rows with a null id are not
 reported and count as clean; of rows that repeat an id, one that matches makes
@@ -76,15 +76,23 @@ def _is_slot(word: Column) -> Column:
     return word.isin(NUMBER, UNIT, NAME)
 
 
-def _hashed(df: DataFrame) -> DataFrame:
-    """``hashes``: a hash for the window starting at each template word; the
-    last ``WINDOW - 1`` run over the end and are dropped after exploding."""
-    df = df.withColumn("hashes", F.transform("template", lambda x: F.xxhash64(x)))
-    step = 1
-    while step < WINDOW:
-        df = df.withColumn("hashes", F.zip_with("hashes", F.slice("hashes", step + 1, F.greatest(F.size("hashes"), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
-        step *= 2
-    return df
+def _hashed(df: DataFrame, words: str, lengths: list[int]) -> tuple[DataFrame, list[str]]:
+    """A column for each length: a hash for the window of so many ``words``
+    that starts at each.  Windows that run over the end are dropped after
+    exploding.  A length between powers of two is two overlapping windows."""
+
+    def joined(hashes: str, by: int) -> Column:
+        return F.zip_with(hashes, F.slice(hashes, by + 1, F.greatest(F.size(hashes), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+
+    names = {length: f"{words}_{length}" for length in lengths}
+    df, step = df.withColumn("hashes", F.transform(words, lambda x: F.xxhash64(x))), 1
+    while True:
+        for length in lengths:
+            if step <= length < 2 * step:
+                df = df.withColumn(names[length], F.col("hashes") if length == step else joined("hashes", length - step))
+        if 2 * step > max(lengths):
+            return df.drop("hashes"), list(names.values())
+        df, step = df.withColumn("hashes", joined("hashes", step)), 2 * step
 
 
 def templates(df: DataFrame, text: str) -> DataFrame:
@@ -101,60 +109,92 @@ def valued_templates(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("template", F.col("both.word")).withColumn("values", F.col("both.value")).drop("both")
 
 
-def _windows(df: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns, ``size`` of the text, ``at`` and ``hash`` of every window.
+def _windows(df: DataFrame, kinds: list[tuple[bool, int]], *keep: str, wanted: Column | None = None) -> DataFrame:
+    """``keep`` columns, ``literal``, ``length``, ``at`` and ``hash`` of every
+    window of ``kinds``: whether of values or of template words, and how long.
 
     Empty texts have none: their one null row goes.  The outer form and the
     missing filter on ``size`` matter, since a filter on the array would be
     pushed below the templates and evaluate them again, once for each word.
     """
-    sized = _hashed(df.withColumn("size", F.size("template")))
-    return sized.select(*keep, "size", F.posexplode_outer("hashes").alias("at", "hash")).where(F.col("at") <= F.greatest(F.col("size") - WINDOW, F.lit(0)))
+    df, kept = df.withColumn("size", F.size("template")), []
+    for literal, words in ((False, "template"), (True, "values")):
+        lengths = sorted(length for of, length in kinds if of == literal)
+        if lengths:
+            df, names = _hashed(df, words, lengths)
+            kept += [F.struct(F.lit(literal).alias("literal"), F.lit(length).alias("length"), F.col(name).alias("hashes")) for length, name in zip(lengths, names, strict=True)]
+    if len(kept) == 1:
+        (literal, length), hashes = kinds[0], F.col(names[0])
+        sized = df.select(*keep, "size", F.lit(literal).alias("literal"), F.lit(length).alias("length"), F.posexplode_outer(hashes).alias("at", "hash"))
+    else:
+        each = df.select(*keep, "size", F.explode_outer(F.array(*kept)).alias("of"))
+        sized = each.select(*keep, "size", "of.literal", "of.length", F.posexplode_outer("of.hashes").alias("at", "hash"))
+    return sized.where(F.col("at") <= F.col("size") - F.col("length"))
+
+
+WINDOWS = "row long, item_id long, item_at int, hash long, literal boolean, length int, slots int, words array<string>, item_values array<string>, needed int, needed_any int"
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item_id, item_at, hash, short, slots, values, needed`` of every usable window.
+    """The columns ``WINDOWS`` of every window.
 
-    ``slots`` says whether it holds placeholders; ``short`` is the size of an
-    item smaller than a window, else 0.
+    ``slots`` is the number of its placeholders; ``needed`` how many template
+    windows make a match (null if the item has none), ``needed_any`` how many
+    windows of both kinds do.
     """
     items = valued_templates(benchmark.select(F.monotonically_increasing_id().alias("row"), F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")), "text")
-    found = _windows(items, "row", "item_id", "template", "values")
-    words, values = F.slice("template", F.col("at") + 1, WINDOW), F.slice("values", F.col("at") + 1, WINDOW)
-    found = found.select("row", "item_id", F.col("at").alias("item_at"), "hash", F.when(F.col("size") < WINDOW, F.col("size")).otherwise(0).alias("short"), words.alias("words"), values.alias("item_values"))
-    slots = F.size(F.filter("words", _is_slot))
-    usable = found.withColumn("slots", slots).where(F.size("words") - F.col("slots") >= F.least(F.lit(LITERAL), F.size("words")))
-    counted = usable.groupBy("row").agg(F.least(F.lit(LEAST), F.count(F.lit(1))).alias("needed"))
-    return usable.join(counted, "row")
+    size = F.size("template")
+    items = items.withColumn("exact", F.least(F.lit(WINDOW), size)).withColumn("own", F.col("exact"))
+    items = staged(items.where("exact > 0"), "benchmark-items")
+    kinds = [(False, row.own) for row in items.select("own").distinct().collect() if row.own] + [(True, row.exact) for row in items.select("exact").distinct().collect()]
+    if not kinds:
+        return benchmark.sparkSession.createDataFrame([], WINDOWS)
+    found = _windows(items, kinds, "row", "item_id", "template", "values", "own", "exact").where(F.when(F.col("literal"), F.col("length") == F.col("exact")).otherwise(F.col("length") == F.col("own")))
+    words, values = F.slice("template", F.col("at") + 1, F.col("length")), F.slice("values", F.col("at") + 1, F.col("length"))
+    found = found.select("row", "item_id", F.col("at").alias("item_at"), "hash", "literal", "length", words.alias("words"), values.alias("item_values"))
+    found = found.withColumn("slots", F.size(F.filter("words", _is_slot)))
+    enough = F.size("words") - F.col("slots") >= F.least(F.lit(LITERAL), F.size("words"))
+    usable = found.where(enough & ~F.col("literal"))
+    by_template = F.sum(F.when(~F.col("literal"), 1))
+    counted = usable.groupBy("row").agg(F.least(F.lit(LEAST), by_template).cast("int").alias("needed"), F.least(F.lit(LEAST), F.countDistinct("item_at")).cast("int").alias("needed_any"))
+    return usable.join(counted, "row").select(*[part.split()[0] for part in WINDOWS.split(", ")])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, n_windows``: the items each document leaks, with how
     many different windows of the item it holds."""
     windows = staged(benchmark_windows(benchmark, item_col, item_text_col), "benchmark-windows")
-    keys = windows.select("hash", "row", "item_id", "item_at", "short", "slots", "needed")
-    keys = F.broadcast(keys) if windows.count() <= BROADCAST_ROWS else keys
+    sizes = windows.groupBy("literal", "length").count().collect()
+    # Without any window of the benchmark, its plain form finds nothing.
+    kinds = [(row.literal, row.length) for row in sizes] or [(False, WINDOW)]
+    keys = windows.select("hash", "literal", "length", "row", "item_id", "item_at", "slots", "needed", "needed_any")
+    keys = F.broadcast(keys) if sum(row["count"] for row in sizes) <= BROADCAST_ROWS else keys
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    found = _windows(templates(named, "text"), "doc_id").withColumn("short", F.when(F.col("size") < WINDOW, F.col("size")).otherwise(0))
-    matches = staged(found.join(keys, ["hash", "short"]).select("doc_id", "at", "row", "item_id", "item_at", "slots", "needed"), "window-matches")
-    plain = matches.where("slots = 0")
-    valued = _consistent(matches.where("slots > 0"), named, windows)
-    hits = plain.select("doc_id", "row", "item_id", "item_at", "needed").unionByName(valued)
-    counts = hits.groupBy("doc_id", "row", "item_id", "needed").agg(F.countDistinct("item_at").alias("n_windows"))
-    return counts.where("n_windows >= needed").select("doc_id", "item_id", "n_windows")
+    texts = valued_templates(named, "text") if any(literal for literal, _ in kinds) else templates(named, "text")
+    found = _windows(texts, kinds, "doc_id")
+    matches = staged(found.join(keys, ["hash", "literal", "length"]).drop("hash", "size"), "window-matches")
+    plain = matches.where("literal OR slots = 0")
+    valued = _consistent(matches.where("NOT literal AND slots > 0"), named, windows.where("NOT literal"))
+    hits = plain.select(*HITS).unionByName(valued)
+    counts = hits.groupBy("doc_id", "row", "item_id", "needed", "needed_any").agg(F.countDistinct("item_at").alias("n_windows"), F.countDistinct(F.when(~F.col("literal"), F.col("item_at"))).alias("by_template"))
+    return counts.where("by_template >= needed OR n_windows >= needed_any").select("doc_id", "item_id", "n_windows")
+
+
+HITS = ["doc_id", "row", "item_id", "item_at", "literal", "needed", "needed_any"]
 
 
 def _consistent(matches: DataFrame, named: DataFrame, windows: DataFrame) -> DataFrame:
     """The matches with placeholders whose values agree along their alignment."""
     texts = valued_templates(named.join(matches.select("doc_id").distinct(), "doc_id", "left_semi"), "text")
-    both = matches.join(texts, "doc_id").select("doc_id", "row", "item_id", "item_at", "needed", (F.col("at") - F.col("item_at")).alias("shift"), F.slice("template", F.col("at") + 1, WINDOW).alias("own"), F.slice("values", F.col("at") + 1, WINDOW).alias("own_values"))
+    own = F.slice("template", F.col("at") + 1, F.col("length")), F.slice("values", F.col("at") + 1, F.col("length"))
+    both = matches.join(texts, "doc_id").select(*HITS, (F.col("at") - F.col("item_at")).alias("shift"), own[0].alias("own"), own[1].alias("own_values"))
     both = both.join(windows.select("row", "item_at", "words", "item_values"), ["row", "item_at"]).where("own = words")
     slots = both.select("doc_id", "row", "shift", F.explode(F.arrays_zip("words", "item_values", "own_values")).alias("slot")).where(_is_slot(F.col("slot.words")))
     distinct = slots.groupBy("doc_id", "row", "shift").agg(
         F.countDistinct("slot.words", "slot.item_values").alias("theirs"), F.countDistinct("slot.words", "slot.own_values").alias("ours"), F.countDistinct("slot.words", "slot.item_values", "slot.own_values").alias("pairs")
     )
     good = distinct.where("theirs = pairs AND ours = pairs").select("doc_id", "row", "shift")
-    return both.join(good, ["doc_id", "row", "shift"], "left_semi").select("doc_id", "row", "item_id", "item_at", "needed")
+    return both.join(good, ["doc_id", "row", "shift"], "left_semi").select(*HITS)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:

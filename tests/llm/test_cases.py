@@ -206,3 +206,16 @@ def test_inconsistent_values_do_not_match(spark):
     docs = spark.createDataFrame([(1, swap.split(" about")[0]), (2, name)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.contaminated(docs, bench).collect()} == {2}
+
+
+def leaks(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+
+
+def test_a_short_item_is_found_inside_a_document(spark):
+    items = ["What is the capital of France?", "Name the largest planet", "How many legs has a spider in total?"]
+    texts = [f"Some words before it. {item} And after it many more words follow here." for item in items]
+    texts += ["What is the capital of our firm? Name the largest known planet. How many legs has a spider then in total?", items[0], "What is the"]
+    assert leaks(spark, texts, items) == {(0, 0), (1, 1), (2, 2), (4, 0)}
