@@ -13,9 +13,11 @@ begin a sentence.  Marks other than ``.!?`` are left out; these end sentences
 and are left out after that.
 
 A document matches an item by at least ``LEAST`` different windows of it, or
-by all if it has fewer.  Windows with fewer than ``LITERAL`` plain words are
-not used.  An item shorter than a window is one window as a whole, looked for
-at every place of a document.
+by all if it has fewer.  A window counts by its template if it has ``LITERAL``
+plain words.  An item without such a window takes longer ones, just as long as
+needed to hold them.  Windows of ``WINDOW`` words with fewer plain words are
+compared by their values: they match only a copy.  An item shorter than a
+window is one window as a whole, looked for at every place of a document.
 
 Defined cases: null and empty texts match nothing; rows with a null id are not
 reported and count as clean; of rows that repeat an id, one that matches makes
@@ -143,9 +145,13 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     windows of both kinds do.
     """
     items = valued_templates(benchmark.select(F.monotonically_increasing_id().alias("row"), F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")), "text")
+    plain = F.filter(F.transform("template", lambda x, i: F.when(~_is_slot(x), i)), lambda i: i.isNotNull())
+    # The fewest template words that hold LITERAL plain ones; null if there are not so many.
+    span = F.array_min(F.zip_with(F.slice("plain", LITERAL, F.greatest(F.size("plain"), F.lit(1))), "plain", lambda last, first: last - first + 1))
     size = F.size("template")
-    items = items.withColumn("exact", F.least(F.lit(WINDOW), size)).withColumn("own", F.col("exact"))
-    items = staged(items.where("exact > 0"), "benchmark-items")
+    whole = F.when((size < LITERAL) & (F.size("plain") == size), size)
+    items = items.withColumn("plain", plain).withColumn("exact", F.least(F.lit(WINDOW), size)).withColumn("own", F.coalesce(whole, F.when(span.isNotNull(), F.greatest("exact", span))))
+    items = staged(items.drop("plain").where("exact > 0"), "benchmark-items")
     kinds = [(False, row.own) for row in items.select("own").distinct().collect() if row.own] + [(True, row.exact) for row in items.select("exact").distinct().collect()]
     if not kinds:
         return benchmark.sparkSession.createDataFrame([], WINDOWS)
@@ -154,7 +160,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     found = found.select("row", "item_id", F.col("at").alias("item_at"), "hash", "literal", "length", words.alias("words"), values.alias("item_values"))
     found = found.withColumn("slots", F.size(F.filter("words", _is_slot)))
     enough = F.size("words") - F.col("slots") >= F.least(F.lit(LITERAL), F.size("words"))
-    usable = found.where(enough & ~F.col("literal"))
+    usable = found.where(enough != F.col("literal"))
     by_template = F.sum(F.when(~F.col("literal"), 1))
     counted = usable.groupBy("row").agg(F.least(F.lit(LEAST), by_template).cast("int").alias("needed"), F.least(F.lit(LEAST), F.countDistinct("item_at")).cast("int").alias("needed_any"))
     return usable.join(counted, "row").select(*[part.split()[0] for part in WINDOWS.split(", ")])

@@ -219,3 +219,16 @@ def test_a_short_item_is_found_inside_a_document(spark):
     texts = [f"Some words before it. {item} And after it many more words follow here." for item in items]
     texts += ["What is the capital of our firm? Name the largest known planet. How many legs has a spider then in total?", items[0], "What is the"]
     assert leaks(spark, texts, items) == {(0, 0), (1, 1), (2, 2), (4, 0)}
+
+
+def test_an_item_dense_in_values_is_found(spark):
+    items = ["Compute 12 times 34 minus 5 times 6 plus 7", "12 34 56 78 90 11 22 33 44 55 66 77", "Add 3 km 4"]
+    other = items[0].replace("12", "80").replace("34", "91")
+    texts = [f"He said so. {item} is what the paper asks for." for item in [*items, other]]
+    texts += ["the list 12 34 56 78 90 11 22 33 45 55 66 77 ends", "Add 3 km 5 and go", "Compute 12 times 34 and be done"]
+    assert leaks(spark, texts, items) == {(0, 0), (1, 1), (2, 2), (3, 0)}
+
+
+def test_a_copied_part_dense_in_values_is_found(spark):
+    item = "Here is a long list of all the parts we need today : 12 34 56 78 90 11 22 33 44 55 66 77 88 99"
+    assert leaks(spark, ["12 34 56 78 90 11 22 33 44 55 66 77 88 99 follow", "1 34 56 78 9 11 22 33 4 55 66 77 8 99 follow"], [item]) == {(0, 0)}
