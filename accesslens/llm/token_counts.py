@@ -12,7 +12,9 @@ prefix within a budget, is then read off without encoding anything again.
 The counts are those the tokenizers library gives for the prefix as a text of
 its own: a cut word ends there, which can raise or lower the count.  Words
 whose normal form is not aligned with their characters (combining marks, a few
-letters) and pieces like ``'re`` are counted by the library, prefix by prefix.
+letters), or that hold white space beyond ASCII or a special token, are
+normalised a letter with its marks at a time; a prefix that ends inside such a
+letter is the normal form before it and a few characters of its own.
 
 Defined cases: a null or empty text has no prefixes and no tokens; repeated
 rows give repeated rows; other columns are ignored.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -48,6 +51,30 @@ COUNTS = "doc_id long, n_bytes long, n_tokens long, width int, deltas binary"
 KINDS = {1: np.int8, 2: np.dtype("<i2"), 4: np.dtype("<i4")}
 
 
+#: Pieces of which a prefix is cut differently than the whole.
+CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
+#: Characters given to the library at once where it counts prefixes.
+PREFIXES = 1 << 20
+
+
+@lru_cache(maxsize=1)
+def joining() -> frozenset[str]:
+    """Characters that normalisation may join to, or move before, those
+    before them: a text can be normalised in parts that start with others."""
+    seconds = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    every = [chr(c) for c in range(sys.maxunicode + 1)]
+    for c in every:
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            seconds.add(chr(int(parts[1], 16)))
+    first = ((c, unicodedata.normalize("NFD", c)[0]) for c in every)
+    return frozenset(c for c, start in first if start in seconds or unicodedata.combining(start))
+
+
+def _normal(text: str) -> str:
+    return "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+
+
 @lru_cache(maxsize=2)
 def counter(path: str) -> "PrefixCounter":
     return PrefixCounter(path)
@@ -187,19 +214,131 @@ class PrefixCounter:
         return [counts[end - 1] for end in ends]
 
     def _by_library(self, text: str) -> list[int]:
-        return [len(item) for item in self.library.encode_batch_fast([text[: i + 1] for i in range(len(text))], add_special_tokens=False)]
+        counts, some = [], max(1, PREFIXES // max(1, len(text)))
+        for at in range(0, len(text), some):
+            prefixes = [text[: i + 1] for i in range(at, min(at + some, len(text)))]
+            counts += [len(item) for item in self.library.encode_batch_fast(prefixes, add_special_tokens=False)]
+        return counts
+
+    def _bytes(self, text: str) -> str:
+        return "".join(self.letters[byte] for byte in text.encode())
+
+    def _whole(self, normal: str) -> int:
+        """Tokens of a short normalised text."""
+        return sum(self._run(self._bytes(piece))[-1] for piece in self.cut.findall(normal))
+
+    def _normal_counts(self, normal: str, partial: dict[int, list[str]]) -> tuple[list[int], dict[tuple[int, str], int]]:
+        """Counts after each character of a normalised text, from 0 on, and
+        for the given texts that may follow after so many characters."""
+        counts, others, alone = [0], {}, -1
+
+        def fresh(at: int) -> None:
+            others.update(((at, tail), counts[at] + self._whole(tail)) for tail in partial.get(at, ()))
+
+        fresh(0)
+        for match in self.cut.finditer(normal):
+            start, stop = match.span()
+            while len(counts) <= start:
+                counts.append(counts[-1])
+                fresh(len(counts) - 1)
+            piece, base = match[0], counts[start]
+            if piece in CONTRACTIONS:
+                counts += [base + self._whole(piece[:i]) for i in range(1, len(piece) + 1)]
+                for at in range(start + 1, stop + 1):
+                    others.update(((at, tail), base + self._whole(normal[start:at] + tail)) for tail in partial.get(at, ()))
+                continue
+            run, lasts, sums, at = self._bytes(piece), [""], [0], start
+            for char in piece:
+                for end in range(len(sums), len(sums) + len(char.encode())):
+                    closed = self._last(run, end, END, lasts, sums)[1]
+                    last, n = self._last(run, end, "", lasts, sums)
+                    lasts.append(last)
+                    sums.append(n)
+                counts.append(base + closed)
+                at += 1
+                for tail in partial.get(at, ()):
+                    if alone == start and at - start < 3:  # with the apostrophe before, a contraction may arise
+                        others[at, tail] = counts[start - 1] + self._whole(normal[start - 1 : at] + tail)
+                        continue
+                    before = normal[start if at - start < 8 else at - 1 : at]
+                    others[at, tail] = base + self._followed(before, at - start, run, lasts, sums, closed, tail)
+            if piece == "'":
+                alone = stop
+        while len(counts) <= len(normal):
+            counts.append(counts[-1])
+            fresh(len(counts) - 1)
+        return counts, others
+
+    def _followed(self, before: str, n_before: int, run: str, lasts: list[str], sums: list[int], closed: int, tail: str) -> int:
+        """Tokens of the beginning of a piece, ``lasts`` and ``sums`` being its
+        states, with ``tail`` after it; ``before`` is all of it or its end."""
+        if len(before) == n_before:
+            return self._whole(before + tail)
+        first = self.cut.match(("!" if before == "'" else before) + tail)[0]
+        longer = self._bytes(first[1:])
+        if not longer:
+            return closed + self._whole(tail)
+        # Only the states within reach, so that none is the word's start.
+        done = len(sums) - 1
+        low = max(0, done - self.longest - 1)
+        text, own, n = run[low:done] + longer, lasts[low:], sums[low:]
+        for end in range(done - low + 1, len(text) + 1):
+            closed = self._last(text, end, END, own, n)[1]
+            last, more = self._last(text, end, "", own, n)
+            own.append(last)
+            n.append(more)
+        return closed + self._whole(tail[len(first) - 1 :])
+
+    def _plain(self, text: str) -> list[int]:
+        """Counts after each character of a text without special tokens."""
+        join, parts, size = joining(), [], 0
+        places: list[tuple[int, str]] = []
+        partial: dict[int, list[str]] = {}
+        starts = [i for i, c in enumerate(text) if not i or c not in join]
+        for start, stop in zip(starts, [*starts[1:], len(text)], strict=False):
+            for end in range(start + 1, stop):
+                tail = _normal(text[start:end])
+                partial.setdefault(size, []).append(tail)
+                places.append((size, tail))
+            parts.append(_normal(text[start:stop]))
+            size += len(parts[-1])
+            places.append((size, ""))
+        counts, others = self._normal_counts("".join(parts), partial)
+        return [others[place] if place[1] else counts[place[0]] for place in places]
+
+    def _sections(self, word: str) -> list[int]:
+        """Counts after each character of any text: special tokens stand for
+        themselves once whole, and are plain text before."""
+        counts: list[int] = []
+        special = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
+        at = 0
+        for match in [*special.finditer(word), None]:
+            base = counts[-1] if counts else 0
+            own = self._plain(word[at:] if match is None else word[at : match.end() - 1])
+            counts += [base + n for n in own]
+            if match is not None:
+                before = match.start() - at
+                counts.append(base + (own[before - 1] if before else 0) + 1)
+                at = match.end()
+        return counts
 
     def _counts(self, word: str) -> list[int]:
         """Counts after each character of a word without white space."""
         lower = word.lower()
         if len(lower) != len(word) or not unicodedata.is_normalized("NFC", word) or any(s in word for s in self.special) or any(len(c.lower()) > 1 for c in word):
-            return self._by_library(word)
+            return self._checked(word)
         counts: list[int] = []
         for piece in self.cut.findall(lower):
             base = counts[-1] if counts else 0
-            own = self._by_library(piece) if piece[0] == "'" and len(piece) > 1 else self._piece(piece)
+            own = self._by_library(piece) if piece in CONTRACTIONS else self._piece(piece)
             counts += [base + n for n in own]
         if len(counts) != len(word) or (not word.isascii() and counts[-1] != len(self.library.encode(word, add_special_tokens=False))):
+            return self._checked(word)
+        return counts
+
+    def _checked(self, word: str) -> list[int]:
+        counts = self._sections(word)
+        if counts[-1] != len(self.library.encode(word, add_special_tokens=False)):
             return self._by_library(word)
         return counts
 

@@ -232,3 +232,19 @@ def test_an_item_dense_in_values_is_found(spark):
 def test_a_copied_part_dense_in_values_is_found(spark):
     item = "Here is a long list of all the parts we need today : 12 34 56 78 90 11 22 33 44 55 66 77 88 99"
     assert leaks(spark, ["12 34 56 78 90 11 22 33 44 55 66 77 88 99 follow", "1 34 56 78 9 11 22 33 4 55 66 77 8 99 follow"], [item]) == {(0, 0)}
+
+
+def test_counts_of_long_runs_that_are_not_aligned(monkeypatch):
+    """The library counts no prefixes of them, and agrees where it is asked."""
+    own = token_counts.counter(queries.VOCABULARY)
+    size = lambda text: len(own.library.encode(text, add_special_tokens=False))
+    odd = ["漢字\u3000\u304b\u3099\u306a\u00a0字", "e\u0301tude\u0301s!e\u0301", "\u1112\u1161\u11ab\u1100\u1173\u11af", "\u0049\u0307stanbul\u0049\u0307'\u0049\u0307re", "ab!<|endoftext|>'re<|endoftext|><|start", "!''s'll\u0301'r\u0301e", "\u039f\u0394\u039f\u03a3\u0301\u03a3", "x" * 70 + "e\u0301" + "y" * 70 + "e\u0301\u0323q'", "\u0301\u0301a", "\u0130x\u0130'\u0130\u0301re"]
+    for text in odd:
+        assert own._sections(text) == [size(text[: i + 1]) for i in range(len(text))], text
+    monkeypatch.setattr(own, "_by_library", lambda text: pytest.fail("prefix by prefix") if len(text) > 3 else [size(text[: i + 1]) for i in range(len(text))])
+    run = "漢字仮名" * 12_500 + "\u3000" + "\u304b\u3099\u306a" * 16_666 + "''" * 2000
+    steps = np.frombuffer(own._steps(run.encode()), np.int32)
+    assert len(steps) == len(run.encode()) and steps.sum() == size(run)
+    ends = np.cumsum(steps)
+    for i in (1, 49_999, 50_001, 50_002, 50_003, 50_300, 50_301):
+        assert ends[len(run[:i].encode()) - 1] == size(run[:i])
