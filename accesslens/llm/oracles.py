@@ -53,6 +53,27 @@ SELECT s.doc_id, len(shingles) AS n_shingles, coalesce(label, s.doc_id) AS compo
 FROM s LEFT JOIN comp ON comp.node = s.doc_id
 """
 
+#: Set sizes, components and numbers of links at 0.8.
+OP13 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))) END AS shingles
+  FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(shingles) AS n, u.x AS h FROM s, unnest(shingles) AS u(x)),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k
+  FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (SELECT a, b FROM both_ WHERE 100 * k >= 80 * (n + m - k)),
+near AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS node, a AS label FROM near UNION SELECT near.b, reach.label FROM reach JOIN near ON near.a = reach.node),
+comp AS (SELECT node, min(label) AS label FROM reach GROUP BY node),
+degree AS (SELECT a AS node, count(*) AS n FROM near GROUP BY a)
+SELECT s.doc_id, len(shingles) AS n_shingles, coalesce(label, s.doc_id) AS component_id, coalesce(degree.n, 0) AS n_links
+FROM s LEFT JOIN comp ON comp.node = s.doc_id LEFT JOIN degree ON degree.node = s.doc_id
+"""
+
 UNITS = """'mm','cm','m','km','inch','inches','foot','feet','yard','yards','mile','miles','meter','meters','metre','metres',
   'mg','g','kg','lb','lbs','pound','pounds','ounce','ounces','gram','grams','ton','tons','ml','l','liter','liters','litre','litres',
   's','sec','second','seconds','min','minute','minutes','h','hour','hours','day','days','week','weeks','month','months','year','years',
@@ -85,4 +106,5 @@ LLM_ORACLES: dict[str, str] = {
     "op5_top_k": OP5,
     "op6_warc": OP6,
     "op10_decontamination": OP10,
+    "op13_ngram_join": OP13,
 }

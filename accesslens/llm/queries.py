@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.llm import chat, decontaminate, lm, near_dup, packing, quality, rans, token_counts, topk, warc
+from accesslens.llm import chat, decontaminate, lm, near_dup, ngram_join, packing, quality, rans, token_counts, topk, warc, whitening
 from accesslens.llm.oracles import LLM_ORACLES  # noqa: F401
 
 
@@ -66,6 +66,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
@@ -77,4 +85,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_language_model": op9_language_model,
     "op10_decontamination": op10_decontamination,
+    "op12_whitening": op12_whitening,
+    "op13_ngram_join": op13_ngram_join,
 }
