@@ -53,6 +53,23 @@ SELECT s.doc_id, len(shingles) AS n_shingles, coalesce(label, s.doc_id) AS compo
 FROM s LEFT JOIN comp ON comp.node = s.doc_id
 """
 
+#: The checksum is CRC-32, bit by bit over the digits of the id.
+OP11 = r"""
+WITH o AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384::BIGINT) END), 4294967295::BIGINT) % 4 AS head FROM o),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.turns[1:head], []), h.turns[head + 1:]) AS t FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS MATERIALIZED (SELECT conv_id, u.d, t[1:u.d] AS prefix, len(t) = u.d AS is_end FROM r, unnest(range(0, len(t) + 1)) AS u(d)),
+n AS MATERIALIZED (SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CASE WHEN is_end THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ends,
+  CASE WHEN d = 0 THEN 0 ELSE len(list_filter(regexp_split_to_array(any_value(prefix)[d].text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) END AS words FROM p GROUP BY prefix, d),
+c AS MATERIALIZED (SELECT x.d, x.prefix, count(y.d) AS n_children FROM n x LEFT JOIN n y ON y.d = x.d + 1 AND y.prefix[1:x.d] = x.prefix GROUP BY x.d, x.prefix),
+s AS (SELECT x.d, x.prefix, sum((y.n_convs - 1) * y.words) AS saved_tokens, sum((c.n_children = 0)::BIGINT) AS n_leaves
+  FROM n x JOIN n y ON y.d >= x.d AND y.prefix[1:x.d] = x.prefix JOIN c ON c.d = y.d AND c.prefix = y.prefix GROUP BY x.d, x.prefix)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, c.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN c ON c.d = n.d AND c.prefix = n.prefix JOIN s ON s.d = n.d AND s.prefix = n.prefix LEFT JOIN n up ON up.d = n.d - 1 AND up.prefix = n.prefix[1:n.d - 1]
+"""
+
 #: Set sizes, components and numbers of links at 0.8.
 OP13 = r"""
 WITH RECURSIVE w AS (
@@ -106,5 +123,6 @@ LLM_ORACLES: dict[str, str] = {
     "op5_top_k": OP5,
     "op6_warc": OP6,
     "op10_decontamination": OP10,
+    "op11_prefix_trie": OP11,
     "op13_ngram_join": OP13,
 }
