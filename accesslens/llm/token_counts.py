@@ -207,7 +207,7 @@ class PrefixCounter:
 
     def _piece(self, piece: str) -> list[int]:
         """Counts after each character of a lower-case run."""
-        if piece.isascii():
+        if piece.isascii() and piece.isprintable():  # each byte stands for itself
             return self._run(piece)
         counts = self._run("".join(self.letters[byte] for byte in piece.encode()))
         ends = accumulate(len(char.encode()) for char in piece)

@@ -138,6 +138,22 @@ def test_every_prefix_count(texts):
             assert counts[len(text[:i].encode())] == len(library.encode(text[:i], add_special_tokens=False).ids), text[:i]
 
 
+def test_prefix_counts_of_all_ascii_characters():
+    """Control characters too, next to separators that are not ASCII."""
+    import random
+
+    import pyarrow as pa
+
+    own, library, rng = token_counts.counter(queries.VOCABULARY), Tokenizer.from_file(queries.VOCABULARY), random.Random(8)
+    characters = [chr(c) for c in range(128)] + list("\x85\xa0\u2028\u3000é漢İ")
+    for _ in range(400):
+        text = "".join(rng.choice(characters) for _ in range(rng.randrange(1, 14)))
+        steps, _ = own.differences(pa.array([text]))
+        counts = np.concatenate(([0], np.cumsum(steps)))
+        for i in range(len(text) + 1):
+            assert counts[len(text[:i].encode())] == len(library.encode(text[:i], add_special_tokens=False).ids), text[:i]
+
+
 def test_trees_learn_a_threshold():
     rng = np.random.default_rng(1)
     x = rng.random((2000, quality.WIDTH)).astype(np.float32)
