@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accesslens.functions.time import as_utc, from_iso, literal
+from accesslens.operators import derived
 from accesslens.operators.alerts import find_alerts, notices, sent_records, unsent
 from accesslens.operators.filters import ROLE, SERVICE, flag_noise
 from accesslens.operators.normalize import UNPARSABLE, parse_records, to_events
@@ -131,6 +132,26 @@ class Tables:
     def under(cls, folder: str) -> Tables:
         return cls(f"{folder}/events", f"{folder}/control", f"{folder}/alerts")
 
+    @property
+    def counts(self) -> derived.Aggregate:
+        """Stored events per date and region."""
+        return derived.Aggregate(f"{self.events.rstrip('/')}-counts", derived.COUNTS)
+
+    @property
+    def activity(self) -> derived.Aggregate:
+        """Counts and user sketches per date, region and action."""
+        return derived.Aggregate(f"{self.events.rstrip('/')}-activity", derived.ACTIVITY)
+
+    @property
+    def busiest(self) -> derived.Aggregate:
+        """Sketches of who acted most per date."""
+        return derived.Aggregate(f"{self.events.rstrip('/')}-busiest", derived.BUSIEST)
+
+    @property
+    def kept(self) -> list[derived.Aggregate]:
+        """The aggregates that every load keeps up to date."""
+        return [self.counts, self.activity, self.busiest]
+
     def read_control(self, spark: SparkSession) -> DataFrame:
         return latest_control(read_table(spark, self.control, CONTROL))
 
@@ -221,7 +242,7 @@ def run_batch(
         staged = spark.read.parquet(staged_path)
         dropped = {row["drop_reason"]: row["count"] for row in staged.groupBy("drop_reason").count().collect()}
         events = staged.where(F.col("drop_reason").isNull()).select(EVENT_COLUMNS)
-        outcomes = write_upsert(spark, events, tables.events)
+        outcomes = write_upsert(spark, events, tables.events, tables.kept)
         errors = []
         if options.alerts:
             owed = read_table(spark, tables.pending, EVENTS).select(EVENT_COLUMNS)

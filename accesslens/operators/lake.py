@@ -12,10 +12,11 @@ from accesslens.functions.events import failed
 from accesslens.functions.json import is_object, key_present, once
 from accesslens.functions.keys import key_values, restrict_to
 from accesslens.functions.text import regexp_or_null
-from accesslens.operators.upsert import LOOK_UP_OPTIONS
+from accesslens.operators.derived import COUNTS, Aggregate
 from accesslens.schema import EVENT_COLUMNS, EVENT_KEY, EVENTS, LAKE_PARTITIONS
 from accesslens.session import staging
 from accesslens.sources.lake import lake_dates, read_lake
+from accesslens.sources.store import LOOK_UP_OPTIONS, EventStore
 
 
 def _lifted(document: str, path: str) -> Column:
@@ -100,6 +101,32 @@ def region_counts(events: DataFrame) -> DataFrame:
     )
 
 
+def lake_counts(path: str) -> Aggregate:
+    """Exported events per date and region, kept by every export."""
+    return Aggregate(f"{path.rstrip('/')}-counts", COUNTS)
+
+
+def of_dates(lake: DataFrame, dates: list | DataFrame) -> DataFrame:
+    """Lake rows of event dates; a list of them prunes partitions."""
+    if not isinstance(dates, list):
+        return restrict_to(lake, "event_date", dates)
+    day = F.format_string("%04d-%02d-%02d", "year", "month", "day")
+    return lake.where(day.isin(dates))
+
+
+def behind(stored: DataFrame, exported: DataFrame) -> DataFrame:
+    """``event_date, stored, exported``: dates of which the lake holds fewer
+    events than the store, from the counts alone.
+
+    The lake only holds stored events, each once, so equal sums mean equal
+    sets.  Regions may differ: a changed event keeps its exported region.
+    """
+    sums = lambda counts, name: counts.groupBy("event_date").agg(F.sum("events").alias(name))
+    both = sums(stored, "stored").join(sums(exported, "exported"), "event_date", "left")
+    held = F.coalesce("exported", F.lit(0)).alias("exported")
+    return both.select("event_date", "stored", held).where("stored > exported")
+
+
 def missing_dates(events: DataFrame, exported: DataFrame) -> DataFrame:
     """Dates with stored events and no exported file, in order."""
     return (
@@ -122,12 +149,57 @@ def recent_dates(spark: SparkSession, as_of: dt.date, days_back: int = 1) -> Dat
     return spark.createDataFrame(dates, "event_date string")
 
 
+def catch_up(spark: SparkSession, events: DataFrame, counts: Aggregate, path: str, by_region: bool = True) -> DataFrame:
+    """Export what the lake misses, as the counts of store (``counts``) and
+    lake tell; returns a one-row summary.
+
+    Dates with equal sums are not opened at all.  A date the lake has nothing
+    of is exported whole, and only for the others are keys compared.  A run
+    that dies leaves its dates to be counted anew, so the next one exports
+    the rest.  A lake from before its counts is counted once.
+    """
+    exported = lake_counts(path)
+    _begin_export(spark, exported, path)
+    gaps = behind(counts.read(spark), exported.read(spark))
+    whole = key_values(gaps.where("exported = 0"), "event_date")
+    partly = key_values(gaps.where("exported > 0"), "event_date")
+    rows = missing_of(events, read_lake(spark, path), whole, partly)
+    with staging(spark, "catch-up") as folder:
+        rows.write.parquet(folder)
+        rows = spark.read.schema(EVENTS).parquet(folder)
+        total = _append_counted(spark, rows, exported, path, by_region)
+    return spark.createDataFrame([("counts", total)], _EXPORTED)
+
+
+def missing_of(events: DataFrame, lake: DataFrame, whole: list | DataFrame, partly: list | DataFrame) -> DataFrame:
+    """All events of the ``whole`` dates and the missing ones of ``partly``."""
+    rest = missing_events(restrict_to(events, "event_date", partly), of_dates(lake, partly))
+    return restrict_to(events, "event_date", whole).select(EVENT_COLUMNS).unionByName(rest.select(EVENT_COLUMNS))
+
+
+def _begin_export(spark: SparkSession, exported: Aggregate, path: str) -> None:
+    if exported.exists(spark):
+        exported.recover(spark, read_lake(spark, path))
+    else:
+        exported.rebuild(spark, read_lake(spark, path))
+
+
+def _append_counted(spark: SparkSession, rows: DataFrame, exported: Aggregate, path: str, by_region: bool) -> int:
+    """Append staged rows to the lake and enter them in its counts."""
+    total = rows.count()
+    if total:
+        note = exported.prepare(rows, rows.limit(0))
+        write_lake(lake_rows(rows), path, by_region)
+        exported.settle(spark, note, read_lake(spark, path))
+    return total
+
+
 _EXPORTED = "mode string, total_events_exported long"
 
 
 def export(
     spark: SparkSession,
-    events: DataFrame,
+    events: DataFrame | EventStore,
     path: str,
     mode: str = "dates",
     by_region: bool = True,
@@ -138,30 +210,36 @@ def export(
     ``mode='dates'`` exports dates without any file, in one write; ``dates``
     names others to export again, for example ``recent_dates``.
     ``mode='events'`` also adds events that arrived after their date was
-    exported, and completes a date that a failed write left partial.
+    exported, and completes a date that a failed write left partial.  Of an
+    ``EventStore`` the dates come from its listing.  ``catch_up`` does what
+    ``mode='events'`` does without opening dates that are complete.
     """
+    stored = events.read(spark) if isinstance(events, EventStore) else events
+    counts = lake_counts(path)
     if mode == "dates":
         if dates is None:
-            dates = missing_dates(events, lake_dates(spark, path))
-        rows = restrict_to(events, "event_date", dates)
+            there = events.dates(spark) if isinstance(events, EventStore) else events
+            dates = missing_dates(there, lake_dates(spark, path))
+        chosen = key_values(dates, "event_date")
+        rows = restrict_to(stored, "event_date", chosen)
+        _begin_export(spark, counts, path)
+        # Counted from the stored keys: exact also when tasks are repeated.
+        exported = rows.count()
+        note = counts.prepare(rows.limit(0), restrict_to(dates, "event_date", chosen))
+        write_lake(lake_rows(rows), path, by_region, replace_dates=True)
+        counts.settle(spark, note, read_lake(spark, path))
     elif mode == "events":
+        _begin_export(spark, counts, path)
         lake = read_lake(spark, path)
         # Keys alone show which dates are incomplete; only the events of
         # those dates are shuffled whole.
-        incomplete = key_values(missing_events(events.select(EVENT_KEY), lake), "event_date")
-        rows = missing_events(
-            restrict_to(events, "event_date", incomplete), restrict_to(lake, "event_date", incomplete)
-        )
+        incomplete = key_values(missing_events(stored.select(EVENT_KEY), lake), "event_date")
+        rows = missing_of(stored, lake, [], incomplete)
         # The anti-join runs once; the count and the write read its result.
         with staging(spark, "export") as folder:
             rows.write.parquet(folder)
             rows = spark.read.schema(EVENTS).parquet(folder)
-            exported = rows.count()
-            write_lake(lake_rows(rows), path, by_region)
-        return spark.createDataFrame([(mode, exported)], _EXPORTED)
+            exported = _append_counted(spark, rows, counts, path, by_region)
     else:
         raise ValueError(f"Unknown export mode: {mode}. Available modes: dates, events")
-    # Counted from the stored keys: exact also when tasks are repeated.
-    exported = rows.count()
-    write_lake(lake_rows(rows), path, by_region, replace_dates=True)
     return spark.createDataFrame([(mode, exported)], _EXPORTED)

@@ -1,24 +1,30 @@
-"""Keyed writes to the event store: last write wins, or first write wins."""
+"""Keyed writes to the event store: last write wins, or first write wins.
+
+Every writer takes the store's folder or an ``EventStore``, and aggregates of
+it (``operators.derived``) to keep.  Ids and dates of stored events are never
+NULL; rows without them equal nothing.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from accesslens.functions.keys import key_values, restrict_to
+from accesslens.operators.derived import Aggregate
 from accesslens.schema import EVENT_COLUMNS, EVENT_KEY, EVENTS
-from accesslens.session import is_complete, mark_complete, remove_folder, staging
-from accesslens.sources.store import read_events
+from accesslens.session import child_folders, is_complete, mark_complete, remove_folder, replace_folder, staging
+from accesslens.sources.store import EventStore
 
 PAYLOAD = [name for name in EVENT_COLUMNS if name not in EVENT_KEY]
 
-#: Look-ups by user skip row groups by Bloom filter, those by action by the
-#: sort order's statistics.
-LOOK_UP_OPTIONS = {
-    "parquet.bloom.filter.enabled#user_name": "true",
-    "parquet.bloom.filter.expected.ndv#user_name": "100000",
-}
+
+def _print(name: str) -> Column:
+    """256 bits that tell payloads apart, NULL and '' included."""
+    return F.sha2(F.to_json(F.struct(*PAYLOAD), {"ignoreNullFields": "false"}), 256).alias(name)
 
 
 def _one_per_key(rows: DataFrame, *order: Column) -> DataFrame:
@@ -27,10 +33,11 @@ def _one_per_key(rows: DataFrame, *order: Column) -> DataFrame:
     The filter on the row number limits every group map-side, so a key with
     very many copies does not fill one task.
     """
-    # The payload settles what the order leaves open, so that a retried task
-    # picks the same row.  Ids first: they tell rows apart sooner than dates.
-    window = W.partitionBy("event_id", "event_date").orderBy(*order, *[F.asc_nulls_last(name) for name in PAYLOAD])
-    return rows.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
+    # A print of the payload settles what the order leaves open, so that a
+    # retried task picks the same row.
+    window = W.partitionBy("event_id", "event_date").orderBy(*order, "_print")
+    ranked = rows.withColumn("_print", _print("_print")).withColumn("_n", F.row_number().over(window))
+    return ranked.where("_n = 1").drop("_n", "_print")
 
 
 def latest(batch: DataFrame, load_order: str = "event_time") -> DataFrame:
@@ -39,10 +46,15 @@ def latest(batch: DataFrame, load_order: str = "event_time") -> DataFrame:
 
 
 def upsert_events(store: DataFrame, batch: DataFrame, load_order: str = "event_time") -> DataFrame:
-    """Store contents after writing a batch; the batch replaces equal keys."""
-    new = latest(batch, load_order).withColumn("_seq", F.lit(1))
-    old = store.select(EVENT_COLUMNS).withColumn("_seq", F.lit(0))
-    return _one_per_key(old.unionByName(new), F.desc("_seq")).select(EVENT_COLUMNS)
+    """Store contents after writing a batch; the batch replaces equal keys.
+
+    What is stored is joined with the batch's keys and not sorted."""
+    return _merged(store, latest(batch, load_order))
+
+
+def _merged(store: DataFrame, new: DataFrame) -> DataFrame:
+    kept = store.join(new.select(EVENT_KEY), EVENT_KEY, "left_anti")
+    return kept.select(EVENT_COLUMNS).unionByName(new.select(EVENT_COLUMNS))
 
 
 def insert_new_events(store: DataFrame, batch: DataFrame, load_order: str = "event_time") -> DataFrame:
@@ -51,93 +63,131 @@ def insert_new_events(store: DataFrame, batch: DataFrame, load_order: str = "eve
     return first.join(store.select(EVENT_KEY), EVENT_KEY, "left_anti").select(EVENT_COLUMNS)
 
 
-def sized_by_date(rows: DataFrame) -> DataFrame:
-    """Rows spread for a write by date: adaptive execution merges small dates
-    and splits a date that is far above the rest."""
-    return rows.hint("rebalance", "event_date").sortWithinPartitions("event_date", "event_name", "event_time")
-
+def _as_store(place: str | EventStore) -> EventStore:
+    return EventStore(place) if isinstance(place, str) else place
 
-def _append(rows: DataFrame, path: str) -> None:
-    sized_by_date(rows).write.partitionBy("event_date").options(**LOOK_UP_OPTIONS).mode("append").parquet(path)
 
+def _copy_path(store: EventStore) -> str:
+    return f"{store.path.rstrip('/')}.rewrite"
 
-def _rewrite_path(path: str) -> str:
-    return f"{path.rstrip('/')}.rewrite"
 
-
-def _finish_rewrite(spark: SparkSession, path: str, expected: bool = False) -> None:
-    """Replace the date partitions for which a complete copy is waiting; where
-    one is ``expected``, its absence is an error."""
-    copy = _rewrite_path(path)
+def _finish_rewrite(spark: SparkSession, store: EventStore, expected: bool = False) -> None:
+    """Move the dates of a complete copy into the store; where one is
+    ``expected``, its absence is an error.  Dates already moved are gone from
+    the copy, so this can be interrupted and repeated."""
+    copy = _copy_path(store)
     if expected and not is_complete(spark, copy):
         raise RuntimeError(f"the copy for a rewrite is not complete: {copy}")
     if is_complete(spark, copy):
-        (
-            sized_by_date(spark.read.schema(EVENTS).parquet(copy))
-            .write.partitionBy("event_date")
-            .options(**LOOK_UP_OPTIONS)
-            .option("partitionOverwriteMode", "dynamic")
-            .mode("overwrite")
-            .parquet(path)
-        )
+        for date in child_folders(spark, copy):
+            if date.startswith("event_date="):
+                replace_folder(spark, f"{copy}/{date}", f"{store.path.rstrip('/')}/{date}")
+        store.refresh(spark)
         remove_folder(spark, copy)
 
 
-def write_new_events(spark: SparkSession, batch: DataFrame, path: str, load_order: str = "event_time") -> None:
-    """Append the events whose key the store does not hold."""
-    _finish_rewrite(spark, path)
-    with staging(spark, "insert") as staged_path:
-        batch.write.parquet(staged_path)
-        staged = spark.read.parquet(staged_path)
-        store = restrict_to(read_events(spark, path), "event_date", staged)
-        _append(insert_new_events(store, staged, load_order), path)
+def _replace_dates(spark: SparkSession, store: EventStore, rows: DataFrame) -> None:
+    """Write rows once, next to the store, and put their dates in its place."""
+    copy = _copy_path(store)
+    remove_folder(spark, copy)
+    store.write(rows, copy)
+    mark_complete(spark, copy)
+    _finish_rewrite(spark, store, expected=True)
+
 
+def _begin(spark: SparkSession, store: EventStore, kept: Sequence[Aggregate]) -> None:
+    """Complete what a writer that died has left."""
+    _finish_rewrite(spark, store)
+    for aggregate in kept:
+        aggregate.recover(spark, store.read(spark))
 
-def write_upsert(spark: SparkSession, batch: DataFrame, path: str) -> dict[str, int]:
-    """Upsert a batch into the event store at ``path``; counts by outcome.
+
+def write_new_events(
+    spark: SparkSession, batch: DataFrame, place: str | EventStore, load_order: str = "event_time", kept: Sequence[Aggregate] = ()
+) -> None:
+    """Append the events whose key the store does not hold."""
+    store = _as_store(place)
+    _begin(spark, store, kept)
+    with staging(spark, "insert") as folder, store.aligned(spark):
+        batch.write.parquet(f"{folder}/batch")
+        staged = spark.read.parquet(f"{folder}/batch")
+        held = restrict_to(store.read(spark), "event_date", staged)
+        insert_new_events(held, staged, load_order).write.parquet(f"{folder}/new")
+        new = spark.read.schema(EVENTS).parquet(f"{folder}/new")
+        notes = [aggregate.prepare(new, new.limit(0)) for aggregate in kept]
+        store.write(store.dealt(new))
+        for aggregate, note in zip(kept, notes, strict=True):
+            aggregate.settle(spark, note, store.read(spark))
+
+
+def write_upsert(spark: SparkSession, batch: DataFrame, place: str | EventStore, kept: Sequence[Aggregate] = ()) -> dict[str, int]:
+    """Upsert a batch into the event store; counts by outcome.
 
     Only the dates of the batch are read.  New events are appended and
     repeated ones skipped; a date is rewritten only when one of its events
     changed.  Replaying a batch therefore writes nothing, and a run that dies
-    half-way is completed by running it again.  A rewrite replaces whole date
-    partitions from a complete copy next to the store; a copy left by a run
-    that died while replacing is applied first.  One writer at a time.
+    half-way is completed by running it again.  A rewritten date is written
+    once, into a complete copy next to the store, whose folders then replace
+    those of the store; a copy left by a run that died while replacing is
+    moved first.  One writer at a time.
     """
-    _finish_rewrite(spark, path)
-    with staging(spark, "upsert") as staged_path:
-        return _write_upsert(spark, batch, path, staged_path)
+    store = _as_store(place)
+    _begin(spark, store, kept)
+    with staging(spark, "upsert") as folder, store.aligned(spark):
+        return _write_upsert(spark, batch, store, folder, kept)
 
 
-def _print(name: str) -> Column:
-    """256 bits that tell payloads apart, NULL and '' included."""
-    return F.sha2(F.to_json(F.struct(*PAYLOAD), {"ignoreNullFields": "false"}), 256).alias(name)
-
+def _compared(store: DataFrame, new: DataFrame) -> DataFrame:
+    """Batch rows (with their print ``_new``) and what becomes of them.
 
-def _write_upsert(spark: SparkSession, batch: DataFrame, path: str, staged_path: str) -> dict[str, int]:
-    # The batch is worked out once.  Of the store, only the rows of its dates
-    # are read, and only key and payload print of the rows with its keys go
-    # on: the keys are the small side of that join, the payloads stay behind.
-    latest(batch).withColumn("_new", _print("_new")).write.parquet(f"{staged_path}/batch")
-    new = spark.read.parquet(f"{staged_path}/batch")
-    store = read_events(spark, path)
+    Of the store, only the rows of the batch's dates are read, and only key
+    and payload print of the rows with its keys go on: the keys are the small
+    side of that join, the payloads stay behind.
+    """
     held = restrict_to(store, "event_date", new).join(new.select(EVENT_KEY), EVENT_KEY, "left_semi")
     old = held.select(*EVENT_KEY, _print("_old"))
     outcome = F.when(F.col("_old").isNull(), "new").when(F.col("_new") == F.col("_old"), "same").otherwise("changed")
-    compared = new.join(old, EVENT_KEY, "left").withColumn("outcome", outcome)
-    staged_path = f"{staged_path}/compared"
-    compared.select(*EVENT_COLUMNS, "outcome").write.parquet(staged_path)
+    return new.join(old, EVENT_KEY, "left").withColumn("outcome", outcome).select(*EVENT_COLUMNS, "outcome")
 
-    staged = spark.read.parquet(staged_path)
+
+def _write_upsert(
+    spark: SparkSession, batch: DataFrame, store: EventStore, folder: str, kept: Sequence[Aggregate]
+) -> dict[str, int]:
+    # The batch is worked out once.
+    latest(batch).withColumn("_new", _print("_new")).write.parquet(f"{folder}/batch")
+    _compared(store.read(spark), spark.read.parquet(f"{folder}/batch")).write.parquet(f"{folder}/compared")
+
+    staged = spark.read.parquet(f"{folder}/compared")
     counts = {row["outcome"]: row["count"] for row in staged.groupBy("outcome").count().collect()}
+    new, changed = staged.where("outcome = 'new'").select(EVENT_COLUMNS), staged.where("outcome = 'changed'")
+    notes = [aggregate.prepare(new, changed) for aggregate in kept]
     if counts.get("changed"):
-        changed = key_values(staged.where("outcome = 'changed'"), "event_date")
-        touched = restrict_to(store, "event_date", changed)
-        merged = upsert_events(touched, restrict_to(staged, "event_date", changed))
-        copy = _rewrite_path(path)
-        merged.write.mode("overwrite").parquet(copy)
-        mark_complete(spark, copy)
-        _finish_rewrite(spark, path, expected=True)
-        rewritten = restrict_to(staged, "event_date", changed)
-        staged = staged.join(rewritten.select(EVENT_KEY), EVENT_KEY, "left_anti")
-    _append(staged.where("outcome = 'new'").select(EVENT_COLUMNS), path)
+        dates = key_values(changed, "event_date")
+        rows = restrict_to(staged, "event_date", dates).select(EVENT_COLUMNS)
+        touched = restrict_to(store.read(spark), "event_date", dates)
+        _replace_dates(spark, store, _merged(touched, store.dealt(rows)))
+        new = new.where(~F.col("event_date").isin(dates)) if isinstance(dates, list) else new.join(dates, "event_date", "left_anti")
+    if counts.get("new"):
+        store.write(store.dealt(new))
+    for aggregate, note in zip(kept, notes, strict=True):
+        aggregate.settle(spark, note, store.read(spark))
     return {name: counts.get(name, 0) for name in ("new", "same", "changed")}
+
+
+#: Bytes that a file of the store should have at least, where a date has them.
+FILE_BYTES = 128 << 20
+
+
+def compact(spark: SparkSession, place: str | EventStore, file_bytes: int = FILE_BYTES, spare: int = 4) -> int:
+    """Write dates anew whose files are far more than their bytes need, after
+    many small loads; returns how many dates.  Only the listing is read to
+    choose them.  Like any rewrite, it can die and be completed."""
+    store = _as_store(place)
+    _finish_rewrite(spark, store)
+    files = store.files(spark).groupBy("event_date").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    crowded = files.where(F.col("files") > spare * store.least_files() * F.ceil(F.col("bytes") / file_bytes))
+    dates = key_values(crowded, "event_date")
+    chosen = len(dates) if isinstance(dates, list) else dates.count()
+    if chosen:
+        _replace_dates(spark, store, store.dealt(restrict_to(store.read(spark), "event_date", dates)))
+    return chosen

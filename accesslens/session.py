@@ -64,6 +64,33 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     files.delete(target, True)
 
 
+def replace_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder to ``target`` in place of what is there.
+
+    One that dies in between leaves the source, and is completed by calling it
+    again; a source that is gone has been moved."""
+    files, moved = _file_system(spark, source)
+    _, place = _file_system(spark, target)
+    if files.exists(moved):
+        files.delete(place, True)
+        files.mkdirs(place.getParent())
+        if not files.rename(moved, place):
+            raise RuntimeError(f"could not move {source} to {target}")
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for what is run inside."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 #: Our own marker: Spark's depends on a committer setting.
 COMPLETE = "_complete"
 

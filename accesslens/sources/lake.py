@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accesslens.schema import LAKE, LAKE_PARTITIONS
-from accesslens.sources.store import read_table
+from accesslens.sources.store import data_files, read_table
 
 
 def read_lake(spark: SparkSession, path: str) -> DataFrame:
@@ -31,22 +30,8 @@ def refresh_partitions(spark: SparkSession, table: str) -> None:
 
 def lake_files(spark: SparkSession, path: str) -> DataFrame:
     """Data files with size, time and partition values; none is opened."""
-    try:
-        files = (
-            spark.read.format("binaryFile")
-            .option("pathGlobFilter", "*.parquet")
-            .load(path)
-            .drop("content")
-        )
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        files = spark.createDataFrame([], "path string, modificationTime timestamp, length long")
-    for name in LAKE_PARTITIONS:
-        kind = LAKE[name].dataType
-        value = F.col(name) if name in files.columns else F.lit(None)
-        files = files.withColumn(name, value.cast(kind))
-    return files
+    files = data_files(spark, path, LAKE_PARTITIONS)
+    return files.withColumns({name: F.col(name).cast(LAKE[name].dataType) for name in LAKE_PARTITIONS})
 
 
 def lake_dates(spark: SparkSession, path: str) -> DataFrame:

@@ -82,6 +82,6 @@ def test_repeats_inside_the_watermark_arrive_once(spark, events, tmp_path):
 
 def test_raw_records_to_events(spark, tmp_path):
     deliver(tmp_path / "raw", "a.json", record(1), record(2))
-    stream = windows.event_stream(stream_records(spark, str(tmp_path / "raw")), NOW)
+    stream = windows.event_stream(stream_records(spark, str(tmp_path / "raw")))
     rows = collect_stream(spark, windows.deduplicated(stream), "append", tmp_path / "x")
     assert rows.count() == 2

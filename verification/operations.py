@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,15 @@ from pyspark.sql import functions as F
 from accesslens import run
 from accesslens.functions.time import from_iso
 from accesslens.operators import alerts, incremental, lake, reports, results, upsert
+from accesslens.plans import sketched
 from accesslens.operators.filters import filter_events, flag_noise
 from accesslens.operators.normalize import kept, parse_records, to_events
 from accesslens.schema import CONTROL
 from accesslens.session import shared_folder
 from accesslens.sources import lake as lake_source
 from accesslens.sources import raw, routes, store
-from accesslens.streaming import ingest, windows
+from accesslens.streaming import arrivals, ingest, windows
+from accesslens.streaming import alerts as stream_alerting
 from verification.raw_recipe import raw_from
 from verification.recipe import AS_OF, EVENTS_SQL, OWN_ACCOUNT, events_from
 
@@ -160,6 +163,69 @@ def _written_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_events(spark, path).select(_STORED)
 
 
+def _bucketed(spark: SparkSession) -> store.BucketedStore:
+    name = f"events_{uuid.uuid4().hex}"
+    return store.BucketedStore(shared_folder(spark, "bucketed"), name, buckets=8)
+
+
+def _bucketed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored, batch = _store_and_batch(spark, sf_dir)
+    place = _bucketed(spark)
+    upsert.write_upsert(spark, stored, place)
+    upsert.write_upsert(spark, upsert.latest(batch, "load"), place)
+    return place.read(spark).select(_STORED)
+
+
+def _bucketed_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored, batch = _store_and_batch(spark, sf_dir)
+    place = _bucketed(spark)
+    upsert.write_new_events(spark, stored, place)
+    upsert.write_new_events(spark, batch, place, "load")
+    return place.read(spark).select(_STORED)
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> incremental.Tables:
+    """All events, of which three days came in wrong and were corrected."""
+    events, tables = events_from(spark, sf_dir), incremental.Tables.under(shared_folder(spark, "loaded"))
+    wrong = {"user_name": F.concat(F.lit("wrong-"), "event_id"), "error_code": F.lit("wrong"), "aws_region": F.lit("nowhere")}
+    early = _before(events, "2024-01-18").unionByName(_before(_from(events, "2024-01-18"), "2024-01-21").withColumns(wrong))
+    for batch in (early, _from(events, "2024-01-17T12"), _from(events, "2024-01-29")):
+        upsert.write_upsert(spark, batch, tables.events, tables.kept)
+    return tables
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after two loads of every date, compacted."""
+    events, path = events_from(spark, sf_dir), shared_folder(spark, "events")
+    half = F.crc32(F.col("event_id").cast("binary")) % 2
+    for part in (0, 1):
+        upsert.write_upsert(spark, events.where(half == part), path)
+    upsert.compact(spark, path, spare=1)
+    files = store.EventStore(path).files(spark).groupBy("event_date").agg(F.count("*").alias("files"))
+    return store.read_events(spark, path).groupBy("event_date").agg(F.count("*").alias("events")).join(files, "event_date")
+
+
+def _ledger_catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lake exported early, caught up by the counts of store and lake."""
+    tables, path = _loaded(spark, sf_dir), shared_folder(spark, "lake")
+    events = store.read_events(spark, tables.events)
+    lake.export(spark, _before(events, "2024-01-25T12"), path)
+    lake.catch_up(spark, events, tables.counts, path)
+    held = lake_source.read_lake(spark, path).groupBy("event_date").agg(F.count("*").alias("events"))
+    counted = lake.lake_counts(path).read(spark).groupBy("event_date").agg(F.sum("events").alias("counted"))
+    return held.join(counted, "event_date")
+
+
+def _lake_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog table that finds the partitions of a later export."""
+    events, path, table = events_from(spark, sf_dir), shared_folder(spark, "lake"), f"lake_{uuid.uuid4().hex}"
+    lake.export(spark, _before(events, "2024-01-16"), path)
+    lake_source.register_lake(spark, table, path)
+    lake.export(spark, events, path)
+    lake_source.refresh_partitions(spark, table)
+    return spark.table(table).groupBy("event_date", "region").agg(F.count("*").alias("events"))
+
+
 def _control(spark: SparkSession, events: DataFrame) -> DataFrame:
     """Control table after the events to 20 January."""
     early = _before(events, "2024-01-21")
@@ -283,12 +349,66 @@ def _stream_result(spark: SparkSession, stream: DataFrame, mode: str) -> DataFra
 
 def _stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _stream_result(spark, windows.daily_counts(_event_stream(spark, sf_dir)), "complete")
-    return counts.select("window_start", "total_events", "failed_events")
+    return counts.select("window_start", "total_events", "failed_events", "approx_users", "approx_actions")
 
 
 def _stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _stream_result(spark, windows.hourly_counts(_event_stream(spark, sf_dir)), "complete")
-    return counts.select("window_start", "total_events", "failed_events")
+    return counts.select("window_start", "total_events", "failed_events", "approx_users", "approx_actions")
+
+
+def _stream_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over the sketches that a stream made."""
+    rows = _stream_result(spark, windows.activity_sketches(_event_stream(spark, sf_dir)), "complete")
+    return sketched.distinct_counts(rows, AS_OF)
+
+
+def _deliveries(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, DataFrame]:
+    """Two sources' files in the order of their arrival.
+
+    File n of ``fast`` has the days 3n+1 to 3n+3; ``slow`` is a file behind
+    after the first day.  One event in 40 comes two files later than that.
+    """
+    events = events_from(spark, sf_dir)
+    day, slow = F.day(F.col("event_date").cast("date")), F.col("event_type") == "sso"
+    block = F.floor((day - 1) / 3) + F.when(slow & (day > 1), 1).otherwise(0)
+    numbered = events.withColumn("file", block + F.when(F.col("event_id").cast("long") % 40 == 7, 2).otherwise(0))
+    numbered.write.parquet(f"{folder}/all")
+    numbered, streams = spark.read.parquet(f"{folder}/all"), {}
+    for name, own in (("fast", ~slow), ("slow", slow)):
+        for n in range(13):  # one after another: a stream reads files by their age
+            part = numbered.where(own & (F.col("file") == n)).drop("file")
+            part.coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+        streams[name] = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
+    return streams
+
+
+def _stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed hours by source, then the totals of what arrived, was kept and
+    was too late under five minutes."""
+    folder = shared_folder(spark, "late")
+    stream = arrivals.hourly_totals(arrivals.merged_sources(_deliveries(spark, sf_dir, folder)))
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    query = stream.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    hours = spark.read.schema(stream.schema).parquet(f"{folder}/out").select("window_start", "source_name", "total_events")
+    totals = arrivals.arrivals(spark, query).agg(*[F.sum(c).alias(c) for c in ("arrived", "kept", "repeated", "late")])
+    summed = totals.select(F.lit("total").alias("window_start"), F.explode(F.create_map(*[x for c in totals.columns for x in (F.lit(c), F.col(c))])).alias("source_name", "total_events"))
+    return hours.unionByName(summed)
+
+
+def _stream_alerts_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events delivered twice to an alerting stream that is restarted."""
+    folder, events = shared_folder(spark, "alerts"), events_from(spark, sf_dir)
+    for part in (_before(events, "2024-01-16"), events):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        rows = stream_alerting.alert_stream(stream, OWN_ACCOUNT)
+        stream_alerting.start_alerts(rows, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", "alert_type")
 
 
 def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,6 +478,15 @@ OPERATION_QUERIES: dict[str, Query] = {
     "upsert_events": _upsert,
     "upsert_written": _written_upsert,
     "insert_written": _written_insert,
+    "bucketed_upsert_written": _bucketed_upsert,
+    "bucketed_insert_written": _bucketed_insert,
+    "store_compacted": _compacted,
+    "ledger_counts": lambda spark, sf_dir: _loaded(spark, sf_dir).counts.read(spark),
+    "ledger_catch_up": _ledger_catch_up,
+    "lake_refreshed": _lake_refreshed,
+    "sketch_distinct_counts": lambda spark, sf_dir: sketched.distinct_counts(_loaded(spark, sf_dir).activity.read(spark), AS_OF),
+    "sketch_daily_summary": lambda spark, sf_dir: sketched.daily_summary(_loaded(spark, sf_dir).activity.read(spark), AS_OF),
+    "sketch_active_users": lambda spark, sf_dir: sketched.active_users(_loaded(spark, sf_dir).busiest.read(spark), AS_OF),
     "checkpoint_init": _checkpoint_init,
     "checkpoint_advance": _checkpoint_advance,
     "incremental_read": _incremental_read,
@@ -378,6 +507,9 @@ OPERATION_QUERIES: dict[str, Query] = {
     "stream_daily_counts": _stream_daily,
     "stream_hourly_counts": _stream_hourly,
     "stream_deduplicated": _stream_dedup,
+    "stream_sketches": _stream_sketches,
+    "stream_late_events": _stream_late,
+    "stream_alerts_once": _stream_alerts_once,
     "stream_ingest": _stream_ingest,
     "stream_alerts": _stream_alerts,
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from accesslens.fixed import ADMIN_POLICIES
-from verification.oracle_queries import EV, QUERY_ORACLES, scalar
+from verification.oracle_queries import EV, QUERY_ORACLES, START, scalar
 from verification.raw_recipe import RAW_SQL
 
 EVENT_COLUMNS = (
@@ -261,10 +261,35 @@ def tier(as_of: str) -> str:
 def windows(width: str) -> str:
     return (
         f"{EV} SELECT date_trunc('{width}', {TIME}) AS window_start, count(*) AS total_events, "
-        "count(*) FILTER (bad) AS failed_events FROM ev GROUP BY 1"
+        "count(*) FILTER (bad) AS failed_events, count(DISTINCT user_name) AS approx_users, "
+        "count(DISTINCT event_name) AS approx_actions FROM ev GROUP BY 1"
     )
 
 
+def since(days: int) -> str:
+    return (
+        f"{EV} SELECT {days} AS days, count(*) AS total_events, count(*) FILTER (bad) AS failed_events, "
+        "count(DISTINCT user_name) AS unique_users, count(DISTINCT event_name) AS unique_actions, "
+        f"count(DISTINCT day) AS active_days FROM ev WHERE day >= {START[days]}"
+    )
+
+
+#: Exact counts; sketches hold so few users exactly.
+SINCE = " UNION ALL ".join(f"SELECT * FROM ({since(days)})" for days in (7, 30, 90))
+
+#: Arrival of the two sources' files, and the watermark at which a batch drops
+#: rows: the least of the sources' newest times two batches ago, less five minutes.
+ARRIVED = f"""{EV}, delivered AS (
+  SELECT event_date, event_id, {TIME} AS t, CASE WHEN event_type = 'sso' THEN 'slow' ELSE 'fast' END AS source_name,
+    (CAST(event_date[9:10] AS INTEGER) - 1) // 3 + CASE WHEN event_type = 'sso' AND event_date[9:10] > '01' THEN 1 ELSE 0 END
+      + CASE WHEN CAST(event_id AS BIGINT) % 40 = 7 THEN 2 ELSE 0 END AS file FROM ev),
+arrived AS (SELECT * FROM delivered WHERE file < 13),
+newest AS (SELECT b.batch, source_name, max(t) AS t FROM range(13) b(batch) JOIN arrived ON file <= b.batch GROUP BY ALL),
+marks AS (SELECT batch, min(t) - INTERVAL 5 MINUTE AS mark FROM newest GROUP BY batch HAVING count(*) = 2),
+judged AS (SELECT arrived.*, coalesce(t <= mark, false) AS late FROM arrived LEFT JOIN marks ON marks.batch = file - 2)
+"""
+
+
 DAILY = QUERY_ORACLES["q08_daily_summary"]
 PER_DATE = "event_date, count(*) AS events FROM ev GROUP BY event_date"
 
@@ -355,6 +380,26 @@ OPERATION_ORACLES: dict[str, str] = {
         FROM ({QUERY_ORACLES['q07_role_assumptions']})""",
     "stream_daily_counts": windows("day"),
     "stream_hourly_counts": windows("hour"),
+    "stream_sketches": SINCE,
+    "stream_late_events": f"""{ARRIVED} SELECT strftime(date_trunc('hour', t), '%Y-%m-%d %H:%M') AS window_start, source_name,
+        count(*) AS total_events FROM judged WHERE NOT late
+          AND date_trunc('hour', t) + INTERVAL 1 HOUR <= (SELECT max(mark) FROM marks) GROUP BY ALL
+        UNION ALL SELECT 'total', 'arrived', count(*) FROM judged
+        UNION ALL SELECT 'total', 'kept', count(*) FROM judged WHERE NOT late
+        UNION ALL SELECT 'total', 'repeated', 0
+        UNION ALL SELECT 'total', 'late', count(*) FROM judged WHERE late""",
+    "stream_alerts_once": f"{ALERTS} SELECT DISTINCT event_id, alert_type FROM alerts",
+    "bucketed_upsert_written": UPSERTED,
+    "bucketed_insert_written": f"""{LOADS} SELECT {STORED} FROM stored UNION ALL SELECT {STORED} FROM loads
+        ANTI JOIN stored USING (event_date, event_id) WHERE load = 1""",
+    "store_compacted": f"{EV} SELECT {PER_DATE.replace('AS events', 'AS events, CAST(1 AS BIGINT) AS files')}",
+    "ledger_counts": f"""{EV} SELECT event_date, coalesce(aws_region, 'unknown') AS region, count(*) AS events FROM ev GROUP BY 1, 2""",
+    "ledger_catch_up": f"{EV} SELECT event_date, count(*) AS events, count(*) AS counted FROM ev GROUP BY event_date",
+    "lake_refreshed": f"""{EV} SELECT event_date, coalesce(aws_region, 'unknown') AS region, count(*) AS events FROM ev GROUP BY 1, 2""",
+    "sketch_distinct_counts": SINCE,
+    "sketch_daily_summary": DAILY,
+    "sketch_active_users": f"""{EV} SELECT who AS user_identity, count(*) AS total_actions FROM ev WHERE day >= {START[30]}
+        AND user_name <> 'unknown' GROUP BY who ORDER BY total_actions DESC, user_identity LIMIT 30""",
     "stream_deduplicated": f"{EV} SELECT {PER_DATE}",
     "raw_files": f"{RAW} SELECT {RAW_VIEW} FROM parsed WHERE outcome = 'kept'",
     "stream_alerts": f"""{LOADED_ALERTS} SELECT event_id, alert_type, rule_id, alert_title, alert_message FROM alerts""",
