@@ -9,8 +9,9 @@ the T-occurrence problem on the inverted lists of one's shingles.
    other class has too.  Of its shingles in hash order the first
    n - ceil(0.8 n) + l must then hold l shared ones, so only these, as 32-bit
    marks, are dealt out and counted; l is a tenth of the smallest partner's
-   size.  A slice of texts counts what it holds twice itself and hands on one
-   mark of it, so a shingle of every document is as cheap as a rare one.
+   size.  A slice of texts counts what several of its classes hold itself and
+   hands on one mark of it, so a shingle of every document is as cheap as a
+   rare one, and copies of a text count as one.
 2. Document frequencies, exact among the classes left, order their shingles;
    those of a single class cannot overlap and only count in n.
 3. *Blocks.*  Classes are laid out by the least hash of their shared shingles,
@@ -25,8 +26,9 @@ the T-occurrence problem on the inverted lists of one's shingles.
 A visit gives one row with its number of links, and a block one row for each
 of its classes; of the links themselves only a spanning forest is written.
 Pairs of a group never become rows: a family of f classes costs f * f / (2 *
-BLOCK_CLASSES) visits at most, and a block's visitors are dealt to several
-tasks where they are many.
+BLOCK_CLASSES) visits at most, and a block with much work is dealt to several
+tasks.  What a visit costs grows with the lists it merges, so that of a whole
+family of near copies grows with the square of f, as any exact search does.
 
 Defined cases: fewer words than ``SHINGLE`` make one shingle of the whole
 sequence; a null or empty text, or one without words, has no shingles and is
@@ -46,10 +48,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from accesslens.llm.blocks import Forest, Lists, dealt, in_stretches, searches
 from accesslens.llm.components import connected_components
 from accesslens.llm.staging import small_batches, staged
 from accesslens.llm.words import gather, hashes, slices, split_words, text_of
@@ -57,11 +59,15 @@ from accesslens.llm.words import gather, hashes, slices, split_words, text_of
 SHINGLE = 5
 SIMILAR = 80  # per cent
 #: A block's size: classes, and shingles of all of them.
-BLOCK_CLASSES, BLOCK_SHINGLES = 256, 200_000
-#: Visitors of a block that one task takes.
-VISITORS = 1024
-#: Weight of the list length in the number of lists set aside (DivideSkip).
-MU = 0.0085
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 500_000
+#: Ids up to which a lookup is broadcast (about 10 MB); beyond it is shuffled.
+BROADCAST_ROWS = 400_000
+#: Places of lists that one task may touch, about; a block with more work is
+#: dealt to several tasks.
+WORK = 1_000_000
+#: Weight of the list length in the number of lists set aside (DivideSkip);
+#: small, because a binary search here costs far less than a step of the heap.
+MU = 0.001
 PRIME = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -108,16 +114,6 @@ def _classes(flat: np.ndarray, starts: np.ndarray) -> list[int | None]:
     return [None if a == b else xxhash.xxh3_64_intdigest(flat[a:b].tobytes(), seed=b - a) - (1 << 63) for a, b in ends]
 
 
-def _own(column: pa.Array, classes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sets, their starts, and the classes of texts read again; a text that
-    does not have the class looked for (of a repeated id) has an empty set."""
-    flat, starts = shingle_sets(column)
-    wanted = np.array(classes.to_pylist(), np.int64)
-    right = np.array([c is not None and c == w for c, w in zip(_classes(flat, starts), wanted.tolist(), strict=True)], bool)
-    sizes = np.where(right, np.diff(starts), 0)
-    return flat[gather(starts[:-1], sizes)], np.concatenate(([0], np.cumsum(sizes))), wanted
-
-
 def _batch(**columns: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in columns.values()], list(columns))
 
@@ -135,31 +131,35 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def marks(texts: DataFrame, parts: int) -> DataFrame:
-    """Marks of the first shingles of the classes (``doc_id, text, class``),
-    dealt to ``parts``: rows of many marks and their classes.
+    """Marks of the first shingles of the classes of ``doc_id, text``, dealt to
+    ``parts``: rows of many marks and their classes.
 
-    What occurs twice in a slice of texts is shared: its classes go into a row
-    without marks, and one mark without a class tells the other slices.
+    What two classes of a slice of texts have is shared: such classes go into
+    a row without marks, and one mark without a class tells the other slices.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            flat, starts, classes = _own(batch.column(1), batch.column(2))
-            sizes = np.diff(starts)
+            flat, starts = shingle_sets(batch.column(1))
+            named = {c: i for i, c in reversed(list(enumerate(_classes(flat, starts)))) if c is not None}
+            if not named:
+                continue
+            classes, rows = np.array(list(named), np.int64), np.array(list(named.values()))
+            sizes = np.diff(starts)[rows]
             first = np.minimum(sizes, sizes - -(-SIMILAR * sizes // 100) + extra(sizes))
-            chosen = flat[gather(starts[:-1], first)]
+            chosen = flat[gather(starts[:-1][rows], first)]
             owners = np.repeat(classes, first)
             order = np.argsort(chosen, kind="stable")
             chosen, owners = chosen[order], owners[order]
-            begins = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1]))) if len(chosen) else np.zeros(0, np.int64)
+            begins = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
             runs = np.diff(np.append(begins, len(chosen)))
-            twice = np.repeat(runs > 1, runs)
-            hashed, owner, many = chosen[begins], np.where(runs > 1, np.int64(0), owners[begins]), runs > 1
+            hashed, many = chosen[begins], runs > 1
+            owner, twice = np.where(many, np.int64(0), owners[begins]), np.repeat(many, runs)
             part = (hashed % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             hashed, owner, many, part = hashed[order], owner[order], many[order], part[order]
-            cuts = np.flatnonzero(np.diff(part)) + 1
-            spans = [(a, b) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True) if a < b]
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            spans = list(zip(cuts[:-1], cuts[1:], strict=True))
             short = (hashed >> np.uint64(32)).astype("<u4")
             yield _batch(
                 part=([int(part[a]) for a, _ in spans] + [int(classes[0]) % parts], pa.int64()),
@@ -172,16 +172,27 @@ def marks(texts: DataFrame, parts: int) -> DataFrame:
 
 
 def shared_counts(dealt: DataFrame, parts: int) -> DataFrame:
-    """``class, shared``: how many first shingles of a class others have too."""
+    """``class, shared``: how many first shingles of a class others have too.
+
+    Of a class with copies in several slices, what a slice has found itself is
+    taken from the slice that found most: a mark that one of them has not found
+    comes from there and is counted here.  Counts may be too high, which
+    lets a class pass that cannot link; they are never too low.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, tuple[list, list, list]] = {}
+
+        def counted(owner: np.ndarray, here: bool) -> pa.RecordBatch:
+            names, times = np.unique(owner, return_counts=True)
+            none = np.zeros(len(names), np.int64)
+            return _batch(**{"class": (names, pa.int64()), "dealt": (none if here else times, pa.int64()), "here": (times if here else none, pa.int64())})
+
         for batch in batches:
             for part, short, many, owners in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 owner = np.frombuffer(owners, np.int64)
                 if short is None:
-                    names, times = np.unique(owner, return_counts=True)
-                    yield _batch(**{"class": (names, pa.int64()), "shared": (times, pa.int64())})
+                    yield counted(owner, here=True)
                 else:
                     kept = found.setdefault(part, ([], [], []))
                     kept[0].append(np.frombuffer(short, "<u4"))
@@ -189,85 +200,61 @@ def shared_counts(dealt: DataFrame, parts: int) -> DataFrame:
                     kept[2].append(np.unpackbits(np.frombuffer(many, np.uint8), count=len(owner)).astype(bool))
         for lists in found.values():
             short, owner, many = (np.concatenate(x) for x in lists)
-            order = np.argsort(short, kind="stable")
+            order = np.lexsort((owner, short))
             short, owner, many = short[order], owner[order], many[order]
+            fresh = np.concatenate(([True], (short[1:] != short[:-1]) | (owner[1:] != owner[:-1])))
+            short, owner, many = short[fresh], owner[fresh], many[fresh]
             begins = np.flatnonzero(np.concatenate(([True], short[1:] != short[:-1])))
             runs = np.diff(np.append(begins, len(short)))
-            shared = np.repeat(runs > 1, runs) & ~many
-            names, times = np.unique(owner[shared], return_counts=True)
-            yield _batch(**{"class": (names, pa.int64()), "shared": (times, pa.int64())})
+            yield counted(owner[np.repeat(runs > 1, runs) & ~many], here=False)
 
-    return dealt.repartition(parts, "part").mapInArrow(count, "class long, shared long").groupBy("class").agg(F.sum("shared").alias("shared"))
+    counts = dealt.repartition(parts, "part").mapInArrow(count, "class long, dealt long, here long")
+    return counts.groupBy("class").agg((F.sum("dealt") + F.max("here")).alias("shared"))
 
 
 def full_sets(texts: DataFrame) -> DataFrame:
-    """``class, shingle`` of the classes of ``doc_id, text, class``."""
+    """``class, shingles`` of the classes of ``doc_id, text, class``, once each."""
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            flat, starts, classes = _own(batch.column(1), batch.column(2))
-            yield _batch(**{"class": (np.repeat(classes, np.diff(starts)), pa.int64()), "shingle": (flat.view(np.int64), pa.int64())})
-
-    return texts.mapInArrow(explode, "class long, shingle long")
-
-
-def laid_out(ordered: DataFrame) -> DataFrame:
-    """The classes with the ``block`` they belong to.
-
-    Rows are sorted over all tasks by the least shared shingle, and every task
-    cuts its stretch into blocks of bounded size."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, classes, shingles = (TaskContext.get().partitionId() + 1) << 32, 0, 0
-        for batch in batches:
-            blocks = []
-            for size in batch.column(2).to_numpy().tolist():
-                if classes and (classes == BLOCK_CLASSES or shingles + size > BLOCK_SHINGLES):
-                    block, classes, shingles = block + 1, 0, 0
-                classes, shingles = classes + 1, shingles + size
-                blocks.append(block)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64())], [*batch.schema.names, "block"])
+            flat, starts = shingle_sets(batch.column(1))
+            own = [i for i, (c, w) in enumerate(zip(_classes(flat, starts), batch.column(2).to_pylist(), strict=True)) if c is not None and c == w]
+            sizes = np.diff(starts)[own]
+            cuts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat[gather(starts[:-1][own], sizes)].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(own, pa.int64())), sets], ["class", "shingles"])
 
-    rows = ordered.select("class", "n_shingles", "n_shared", "shingles", F.array_min("shingles").alias("place"))
-    rows = rows.repartitionByRange("place", "class").sortWithinPartitions("place", "class")
-    return rows.select("class", "n_shingles", "n_shared", "shingles").mapInArrow(cut, "class long, n_shingles long, n_shared long, shingles array<long>, block long")
+    return texts.mapInArrow(collect, "class long, shingles array<long>").dropDuplicates(["class"])
 
 
 def visits(members: DataFrame) -> DataFrame:
-    """``class, block``: the later blocks that hold a possible partner.
+    """``class, block, work``: the later blocks that hold a possible partner,
+    and a class's own block, with the places of lists there to be touched.
 
     A shingle at place i of a class, rarest first, leaves it ``rest`` more to
     share; as the first common one of a linked pair it leaves both enough.
     """
     places = members.select("class", "block", "n_shingles", F.col("n_shared").alias("size"), F.posexplode("shingles").alias("place", "shingle"))
     first = places.withColumn("rest", F.col("size") - F.col("place")).where(100 * F.col("rest") >= SIMILAR * F.col("n_shingles"))
-    held = first.groupBy("shingle", "block").agg(F.max("rest").alias("most"), F.min("n_shingles").alias("least"))
+    held = first.groupBy("shingle", "block").agg(F.max("rest").alias("most"), F.min("n_shingles").alias("least"), F.count(F.lit(1)).alias("held"))
     enough = lambda rest: (100 + SIMILAR) * F.col(rest) >= SIMILAR * (F.col("n_shingles") + F.col("least"))
-    asked = first.alias("q").join(held.alias("h"), (F.col("q.shingle") == F.col("h.shingle")) & (F.col("q.block") < F.col("h.block")) & enough("rest") & enough("most"))
-    return asked.select("class", F.col("h.block").alias("block")).distinct()
+    asked = first.alias("q").join(held.alias("h"), (F.col("q.shingle") == F.col("h.shingle")) & (F.col("q.block") <= F.col("h.block")) & enough("rest") & enough("most"))
+    return asked.groupBy("class", F.col("q.block").alias("home"), F.col("h.block").alias("block")).agg(F.sum("held").alias("work"))
 
 
-class Block:
-    """The inverted lists of a block's classes."""
+class Block(Lists):
+    """The inverted lists of a block's classes, and their set sizes."""
 
     def __init__(self, sets: list[np.ndarray], sizes: list[int]):
+        super().__init__(sets)
         self.sizes = np.array(sizes, np.int64)
-        flat = np.concatenate(sets)
-        members = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.argsort(flat, kind="stable")
-        flat, self.members = flat[order], members[order]
-        begins = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
-        self.shingles, self.bounds = flat[begins], np.append(begins, len(flat))
         #: The lists end to end as one rising sequence, for binary search.
-        self.keys = np.repeat(np.arange(len(begins)), np.diff(self.bounds)) * len(sets) + self.members
+        self.keys = np.repeat(np.arange(len(self.values)), np.diff(self.bounds)) * len(sets) + self.members
 
     def search(self, shingles: np.ndarray, size: int, after: int = -1) -> np.ndarray:
         """The members past ``after`` that link with a set of ``size`` that has
         the given shared shingles."""
-        if not len(self.shingles):
-            return np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
-        lists = at[self.shingles[at] == shingles]
+        lists = self.of(shingles)
         threshold = max(least_overlap(size), needed(size, int(self.sizes.min())))
         if len(lists) < threshold:
             return np.zeros(0, np.int64)
@@ -330,83 +317,43 @@ LINKS = "a long, b long, class long, n_links long"
 def searched(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """Spanning links ``a, b`` and link counts ``class, n_links`` of all visits.
 
-    ``sizes`` tells how many documents a class stands for.  A task reads a
-    block's classes, then its visitors as they come; the task that takes the
-    first of a block's visitors also joins the block with itself.
-    """
-    asked = staged(visits(members), "visits")
-    crowds = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / VISITORS).alias("tasks"))
-    rows = members.join(sizes, "class")
-    shares = members.groupBy("block").count().join(crowds, "block", "left").select("block", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1)).alias("share"))
-    own = rows.join(shares, "block").select("block", "share", F.lit(0).alias("visits"), "class", "n_shingles", "n_documents", "shingles")
-    guests = asked.join(crowds, "block").join(rows.drop("block"), "class")
-    guests = guests.select("block", F.pmod(F.xxhash64("class"), F.col("tasks")).alias("share"), F.lit(1).alias("visits"), "class", "n_shingles", "n_documents", "shingles")
-    dealt = own.unionByName(guests).repartition("block", "share").sortWithinPartitions("block", "share", "visits")
+    ``sizes`` tells how many documents a class stands for."""
+    rows = members.join(sizes, "class").select("class", "block", "n_shingles", "n_documents", "shingles")
+
+    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        names, sizes, weights = (batch.column(k).to_pylist() for k in (3, 4, 5))
+        values, cuts = batch.column(6).values.to_numpy(), batch.column(6).offsets.to_numpy()
+        for k, row in enumerate(zip(names, sizes, weights, strict=True)):
+            yield *row, np.sort(values[cuts[k] : cuts[k + 1]])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, block = None, [], None
-        links: list[tuple] = []
-        held: np.ndarray
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        def link(name: int, weight: int, others: np.ndarray) -> None:
-            total = 0
-            for k in others.tolist():
-                total += group[k][2]
-                held[k] += weight
-                one, other = root(name), root(group[k][0])
-                if one != other:
-                    parent[one] = other
-                    links.append((name, group[k][0], None, None))
-            if total:
-                links.append((None, None, name, total))
-
-        def ready() -> Block:
-            nonlocal held
-            held = np.zeros(len(group), np.int64)
-            made = Block([g[3] for g in group], [g[1] for g in group])
-            if at[1] == 0:
-                for k, (name, size, weight, shingles) in enumerate(group):
-                    link(name, weight, made.search(shingles, size, after=k))
-            return made
+        unit, forest, held, links = None, Forest(), np.zeros(0, np.int64), []
 
         def flushed() -> pa.RecordBatch:
-            nonlocal links
             columns = list(zip(*links, strict=True)) or [[]] * 4
-            links = []
+            links.clear()
             return _batch(**{name: (values, pa.int64()) for name, values in zip(["a", "b", "class", "n_links"], columns, strict=True)})
 
-        def finish() -> None:
-            nonlocal block
-            if group and block is None:
-                block = ready()
-            links.extend((None, None, g[0], int(h)) for g, h in zip(group, held if group else [], strict=True) if h)
+        def counted() -> None:
+            links.extend((None, None, member[0], int(n)) for member, n in zip(unit.members if unit else [], held, strict=True) if n)
 
-        for batch in batches:
-            blocks, shares, kinds, names, sizes_, weights = (c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns[:6])
-            values, cuts = batch.column(6).values.to_numpy(), batch.column(6).offsets.to_numpy()
-            for k, key in enumerate(zip(blocks, shares, strict=True)):
-                if key != at:
-                    finish()
-                    at, group, block, parent = key, [], None, {}
-                row = (names[k], sizes_[k], weights[k], np.sort(values[cuts[k] : cuts[k + 1]]))
-                if kinds[k] == 0:
-                    group.append(row)
-                    continue
-                if block is None:
-                    block = ready()
-                link(row[0], row[2], block.search(row[3], row[1]))
+        for now, (name, size, weight, shingles), after in searches(batches, rows_of, lambda group: Block([g[3] for g in group], [g[1] for g in group])):
+            if now is not unit:
+                counted()
+                unit, forest, held = now, Forest(), np.zeros(len(now.members), np.int64)
+            found = unit.index.search(shingles, size, after).tolist()
+            for k in found:
+                held[k] += weight
+                if forest.join(name, unit.members[k][0]):
+                    links.append((name, unit.members[k][0], None, None))
+            if found:
+                links.append((None, None, name, sum(unit.members[k][2] for k in found)))
             if len(links) > 100_000:
                 yield flushed()
-        finish()
+        counted()
         yield flushed()
 
-    return dealt.select("block", "share", "visits", "class", "n_shingles", "n_documents", "shingles").mapInArrow(search, LINKS)
+    return dealt(rows, staged(visits(members), "visits"), WORK).mapInArrow(search, LINKS)
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -421,18 +368,21 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes = staged(named.groupBy("class", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("n_documents")), "classes")
 
     with small_batches(spark):
-        firsts = texts.join(classes.select("doc_id", "class"), "doc_id").select("doc_id", "text", "class")
-        counts = shared_counts(marks(firsts, parts), parts)
+        counts = shared_counts(marks(texts.where("doc_id IS NOT NULL"), parts), parts)
         smallest = F.ceil(F.col("n_shingles") * SIMILAR / 100)
         able = classes.join(counts, "class").where(F.col("shared") >= F.greatest(F.lit(1), F.floor(smallest / 10)))
         able = staged(able.select("class", "n_shingles", "doc_id", "n_documents"), "able")
-        again = texts.join(able.select("doc_id", "class"), "doc_id").select("doc_id", "text", "class")
-        sets = staged(full_sets(again).dropDuplicates(["class", "shingle"]), "shingles")
+        wanted = able.select("doc_id", "class")
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        sets = staged(full_sets(texts.join(wanted, "doc_id").select("doc_id", "text", "class")), "shingles")
+    sets = sets.select("class", F.explode("shingles").alias("shingle"))
     frequent = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("frequency")).where("frequency > 1")
     known = sets.join(frequent, "shingle").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("frequency", "shingle"))).alias("found"))
     known = known.select("class", F.size("found").cast("long").alias("n_shared"), F.col("found.shingle").alias("shingles"))
     ordered = known.join(able.select("class", "n_shingles"), "class").where(100 * F.col("n_shared") >= SIMILAR * F.col("n_shingles"))
-    members = staged(laid_out(staged(ordered, "ordered")), "blocks")
+    room = F.greatest("n_shared", F.lit(BLOCK_SHINGLES // BLOCK_CLASSES)).cast("long").alias("room")
+    laid_out = staged(ordered.select("class", "n_shingles", "n_shared", "shingles", F.array_min("shingles").alias("place"), room), "ordered")
+    members = staged(in_stretches(laid_out, ["place", "class"], BLOCK_SHINGLES), "blocks")
 
     found = staged(searched(members, able.select("class", "n_documents")), "links")
     labels = connected_components(found.where("a IS NOT NULL").select("a", "b")).withColumnRenamed("node", "class")

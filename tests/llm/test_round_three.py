@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -79,11 +80,12 @@ def test_trie_of_nested_chains_and_stretches(spark, monkeypatch):
 
 
 def test_clashing_fingerprints_are_noticed(spark):
-    rows = [(c, t, "user", f"{c} {t}") for c in range(3) for t in range(5)]
+    """With powers of 1 the order of turns is lost."""
+    rows = [(21 + c, t, "user", text) for c, texts in enumerate(itertools.permutations("abcdef")) if c < 18 for t, text in enumerate(texts[::-1])]
     table = conversations(spark, rows)
-    assert trie_rows(trie.prefix_trie(table, bases=((0, 0), *trie.BASES))) == expected_trie(rows)
+    assert trie_rows(trie.prefix_trie(table, bases=((1, 1), *trie.BASES))) == expected_trie(rows)
     with pytest.raises(ArithmeticError):
-        trie.prefix_trie(table, bases=((0, 0),))
+        trie.prefix_trie(table, bases=((1, 1),))
 
 
 def expected_whitening(vectors):
@@ -181,11 +183,12 @@ def test_join_cases(spark):
     assert ngram_join.similar_documents(documents(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("classes,visitors", [(256, 1024), (7, 5)])
-def test_join_at_the_threshold(spark, monkeypatch, classes, visitors):
+@pytest.mark.parametrize("classes,room,work", [(1024, 500_000, 1_000_000), (7, 1400, 30)])
+def test_join_at_the_threshold(spark, monkeypatch, classes, room, work):
     """Families of copies around 0.8, and a passage that a third of all share."""
     monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", classes)
-    monkeypatch.setattr(ngram_join, "VISITORS", visitors)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", room)
+    monkeypatch.setattr(ngram_join, "WORK", work)
     rng = random.Random(5)
     passage, rows = [f"p{k}" for k in range(40)], []
     for family in range(12):
