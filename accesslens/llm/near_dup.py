@@ -15,19 +15,23 @@ Steps, none of which forms all pairs of a group:
    groups, the one it shares most groups with.  A group's leader is the class
    that shares most groups with anybody, which is the text in the middle of a
    family of copies.  Confirmed links are contracted to components.
-3. Groups, and then table buckets, that lie within one component are dropped.
-   In the others only pairs of different components are formed, each once (in
-   the first bucket it shares), and only if a link is possible: by their sizes
-   (exact), by the exact distances of both to a common pivot (Jaccard distance
-   obeys the triangle inequality), and by the short marks of their minhashes:
-   of 384 bits a linked pair differs in 48 on average and in more than
-   ``APART`` with probability 1e-7.
+3. Groups that lie within one component are dropped.  The classes of the others
+   are laid out in blocks (``blocks``), those with a common pivot side by side.
+   A class visits the blocks that hold a class of another component with an
+   equal group on either side; there the candidates are those that share a
+   table with it, and overlaps are counted on the inverted lists of the full
+   sets, all of a block's at once.  Pairs never become rows: f open classes of
+   a family cost f * f / (2 * BLOCK_CLASSES) visits at most, each a pass over
+   the lists of one set, and give at most one row for each component joined.
 
 Defined cases: fewer words than ``SHINGLE`` make one shingle of the whole
 sequence; a null or empty text, or one without words, has no shingles and is
 linked with nothing; a null id is linked with nothing, has a null component
 and is kept; rows that repeat an id each get the component of their own text.
-Other columns are ignored.
+Very long texts are handled alone; an empty table gives no rows.  Other columns
+are ignored.  ``without_copies`` decides row by row: of each component one text
+of the smallest id stays, and one row of it; rows without words or without id
+stay, repeated ones once.
 """
 
 from __future__ import annotations
@@ -37,27 +41,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accesslens.llm.blocks import Forest, Lists, dealt, in_stretches, searches
 from accesslens.llm.components import connected_components
 from accesslens.llm.staging import staged
-from accesslens.llm.words import hashes, slices, split_words, text_of
+from accesslens.llm.words import gather, hashes, slices, split_words, text_of
 
 SHINGLE = 5
 GROUPS, DEPTH = 16, 3
 HASHES = 2 * GROUPS * DEPTH
-#: Bits of each minhash that are kept as marks, and numbers they fill.
+#: Bits of each minhash that are kept as marks, and numbers they fill; a linked
+#: pair differs in 48 of the 384 on average.
 MARK_BITS = 4
 MARKS = [f"mark_{i}" for i in range(HASHES * MARK_BITS // 64)]
-APART = 100
 #: Bits up to which a class is compared with its pivot, link or not.
 NEARBY = 150
 #: Ids up to which a lookup is broadcast (about 10 MB); beyond it is shuffled.
 BROADCAST_ROWS = 400_000
 SIMILAR = 75  # per cent
+#: A block's size, in classes and in shingles, and the list places a task touches.
+BLOCK_CLASSES, BLOCK_SHINGLES, WORK = 4096, 2_000_000, 4_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-SKETCH = "doc_id long, n_shingles long, class long, sides array<long>, " + ", ".join(f"{m} long" for m in MARKS)
+SKETCH = "doc_id long, print long, n_shingles long, class long, sides array<long>, " + ", ".join(f"{m} long" for m in MARKS)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -121,11 +128,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for row, i in enumerate(full.tolist()):
                     classes[i], sides[i] = class_of(sets[i]), keys[row]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(classes, pa.int64()), pa.array(sides, pa.list_(pa.int64())), *(pa.array(m) for m in marks.T)],
-                ["doc_id", "n_shingles", "class", "sides", *MARKS],
+                [batch.column(0), batch.column(2), pa.array(sizes), pa.array(classes, pa.int64()), pa.array(sides, pa.list_(pa.int64())), *(pa.array(m) for m in marks.T)],
+                ["doc_id", "print", "n_shingles", "class", "sides", *MARKS],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sketch, SKETCH)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print")).mapInArrow(sketch, SKETCH)
 
 
 def shared_groups(rows: DataFrame, by: str) -> DataFrame:
@@ -144,36 +151,11 @@ def pivots(groups: DataFrame) -> DataFrame:
     return stars.groupBy("class").agg(F.max(F.struct("n", "central", "leader")).alias("best")).select("class", F.col("best.leader").alias("pivot"))
 
 
-def tables(groups: DataFrame) -> DataFrame:
-    """``class, label, i, j, bucket`` for the tables formed by the given groups."""
-    left = groups.where(F.col("side") < GROUPS).select("class", "label", F.col("side").alias("i"), F.col("key").alias("one"))
-    right = groups.where(F.col("side") >= GROUPS).select("class", (F.col("side") - GROUPS).alias("j"), F.col("key").alias("other"))
-    return left.join(right, "class").select("class", "label", "i", "j", F.xxhash64("one", "other").alias("bucket"))
-
-
 def apart(x: str, y: str) -> Column:
     """In how many bits the marks of two joined rows differ."""
     return sum((F.bit_count(F.col(f"{x}.{mark}").bitwiseXOR(F.col(f"{y}.{mark}"))) for mark in MARKS), F.lit(0))
 
 
-def possible(x: str, y: str) -> Column:
-    """Whether sizes, pivots and marks of two joined rows allow a link."""
-    n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    sizes = 100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)
-    # Distance to a common pivot cannot differ by more than a link's distance.
-    same, differ = F.col(f"{x}.pivot") == F.col(f"{y}.pivot"), F.abs(F.col(f"{x}.alike") - F.col(f"{y}.alike"))
-    within = ~F.coalesce(same & (differ > 1 - SIMILAR / 100 + 1e-9), F.lit(False))
-    return sizes & within & (apart(x, y) <= APART)
-
-
-def first_shared(x: str, y: str) -> Column:
-    """Whether a bucket is the first that two of its rows share: no earlier
-    group of either side is equal."""
-    equal = F.zip_with(f"{x}.sides", f"{y}.sides", lambda a, b: a == b)
-    none = lambda part: ~F.exists(part, lambda e: e)
-    return none(F.slice(equal, F.lit(1), F.col(f"{x}.i"))) & none(F.slice(equal, F.lit(GROUPS + 1), F.col(f"{x}.j")))
-
-
 def shingles_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``class, shingles`` of the representatives ``reps`` (doc_id, class)."""
 
@@ -191,69 +173,142 @@ def shingles_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) ->
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """For pairs ``a, b``: similarity of the full sets, and whether it links them."""
+    """Those of the pairs ``a, b`` whose full sets are linked."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, alike = [], []
+            linked = []
             for one, other in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (one, other))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - both
-                linked.append(100 * both >= SIMILAR * union)
-                alike.append(both / union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(alike, pa.float64())], ["a", "b", "linked", "alike"])
+                linked.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
     one = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long, linked boolean, alike double")
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
+    return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
+
+
+def visits(groups: DataFrame) -> DataFrame:
+    """``class, home, block, work``: the blocks, from its own on, that hold a
+    class of another component with an equal group on both sides."""
+    held = groups.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("held"))
+    others = (F.col("h.low") != F.col("q.label")) | (F.col("h.high") != F.col("q.label"))
+    asked = groups.alias("q").join(held.alias("h"), (F.col("q.key") == F.col("h.key")) & (F.col("q.block") <= F.col("h.block")) & others)
+    counted = asked.groupBy("class", F.col("q.block").alias("home"), F.col("h.block").alias("block")).agg(
+        F.min("side").alias("first"), F.max("side").alias("last"), F.sum("held").alias("work")
+    )
+    return counted.where((F.col("first") < GROUPS) & (F.col("last") >= GROUPS)).select("class", "home", "block", "work")
+
+
+class Block(Lists):
+    """A block's classes: groups, labels and sizes next to the inverted lists."""
+
+    def __init__(self, group: list[tuple]):
+        super().__init__([row[4] for row in group])
+        self.labels, self.sizes = (np.array([row[k] for row in group]) for k in (1, 2))
+        self.sides = np.stack([row[3] for row in group])
+
+    def search(self, label: int, size: int, sides: np.ndarray, shingles: np.ndarray, after: int) -> np.ndarray:
+        """The members past ``after`` with another label that share a table
+        with a set and are linked with it."""
+        equal = self.sides == sides
+        able = equal[:, :GROUPS].any(axis=1) & equal[:, GROUPS:].any(axis=1) & (self.labels != label)
+        able &= 100 * np.minimum(self.sizes, size) >= SIMILAR * np.maximum(self.sizes, size)
+        able[: after + 1] = False
+        if not able.any():
+            return np.zeros(0, np.int64)
+        lists = self.of(shingles)
+        touched = self.members[gather(self.bounds[lists], self.bounds[lists + 1] - self.bounds[lists])]
+        overlap = np.bincount(touched, minlength=self.size)
+        return np.flatnonzero(able & (100 * overlap >= SIMILAR * (self.sizes + size - overlap)))
+
+
+def searched(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """Links ``a, b`` that join components, as many as it takes in a task."""
+
+    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        names, labels, sizes = (batch.column(k).to_pylist() for k in (3, 4, 5))
+        sides = batch.column(6).values.to_numpy().reshape(-1, 2 * GROUPS)[batch.column(6).offset :]
+        for row in zip(names, labels, sizes, sides, batch.column(7), strict=True):
+            yield *row[:4], np.frombuffer(row[4].as_buffer(), np.uint64)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, forest, links = None, Forest(), []
+        for now, (name, label, size, sides, shingles), after in searches(batches, rows_of, Block):
+            if now is not unit:
+                unit, forest = now, Forest()
+            for k in now.index.search(label, size, sides, shingles, after).tolist():
+                if forest.join(label, now.members[k][1]):
+                    links.append((name, now.members[k][0]))
+        yield pa.RecordBatch.from_arrays([pa.array([link[k] for link in links], pa.int64()) for k in range(2)], ["a", "b"])
+
+    return dealt(members, asked, WORK).mapInArrow(search, "a long, b long")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, print, n_shingles, class, label, smallest`` of every row: the
+    component's name among classes and its smallest id."""
     rows = staged(sketches(docs, id_col, text_col), "sketches")
     named = rows.where("class IS NOT NULL AND doc_id IS NOT NULL")
     classes = staged(named.groupBy("class").agg(F.min("doc_id").alias("first_id")), "classes")
     reps = named.join(classes.withColumnRenamed("first_id", "doc_id"), ["class", "doc_id"]).select("class", "doc_id", "n_shingles", "sides", *MARKS)
     reps = staged(reps.dropDuplicates(["class"]), "representatives")
-    marked = reps.select("class", "n_shingles", *MARKS)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs, "candidates")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        sets = staged(shingles_of(docs, reps.join(ends, "class", "left_semi"), id_col, text_col), "shingles")
-        return staged(compared(pairs, sets), "links")
+    marked = reps.select("class", *MARKS)
 
     groups = reps.select("class", F.posexplode("sides").alias("side", "key"))
     groups = staged(shared_groups(groups, "class"), "groups")
     nearest = staged(pivots(groups), "pivots")
     pairs = nearest.alias("p").join(marked.alias("x"), F.col("p.class") == F.col("x.class")).join(marked.alias("y"), F.col("p.pivot") == F.col("y.class"))
-    first = verified(pairs.where(apart("x", "y") <= NEARBY).select(F.col("p.class").alias("a"), F.col("p.pivot").alias("b")))
-    labels = connected_components(first.where("linked"))
+    pairs = staged(pairs.where(apart("x", "y") <= NEARBY).select(F.col("p.class").alias("a"), F.col("p.pivot").alias("b")), "candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = staged(shingles_of(docs, reps.join(ends, "class", "left_semi"), id_col, text_col), "shingles")
+    labels = connected_components(staged(compared(pairs, sets), "links"))
 
     labelled = groups.select("class", "side", "key").join(labels.withColumnRenamed("node", "class"), "class", "left")
     labelled = labelled.select("class", "side", "key", F.coalesce("label", "class").alias("label"))
-    members = tables(staged(shared_groups(labelled, "label"), "open-groups"))
-    mixed = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    distances = first.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "alike")
-    known = reps.select("class", "n_shingles", "sides", *MARKS).join(distances, "class", "left")
-    open_ = staged(members.join(mixed, "bucket", "left_semi").join(known, "class"), "open-tables")
-    one, other = open_.alias("one"), open_.alias("other")
-    between = (F.col("one.bucket") == F.col("other.bucket")) & (F.col("one.label") != F.col("other.label")) & (F.col("one.class") < F.col("other.class"))
-    across = one.join(other, between & possible("one", "other") & first_shared("one", "other"))
-    second = verified(across.select(F.col("one.class").alias("a"), F.col("other.class").alias("b")).distinct()).where("linked").select("a", "b")
+    opened = staged(shared_groups(labelled, "label"), "open-groups")
+    able = opened.groupBy("class", "label").agg(F.min("side").alias("first"), F.max("side").alias("last")).where((F.col("first") < GROUPS) & (F.col("last") >= GROUPS))
+    sets = staged(shingles_of(docs, reps.join(able, "class", "left_semi"), id_col, text_col), "open-shingles")
+    room = F.greatest("n_shingles", F.lit(BLOCK_SHINGLES // BLOCK_CLASSES)).cast("long").alias("room")
+    members = able.select("class", "label").join(reps, "class").join(sets, "class").join(nearest, "class", "left")
+    members = staged(members.select("class", "label", "n_shingles", "sides", "shingles", F.coalesce("pivot", "class").alias("place"), room), "open-classes")
+    members = staged(in_stretches(members, ["place", "class"], BLOCK_SHINGLES).drop("place"), "blocks")
+    asked = staged(visits(opened.join(members.select("class", "block"), "class")), "visits")
+    second = staged(searched(members, asked), "links")
 
     found = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(second)).withColumnRenamed("node", "class")
     smallest = found.join(classes, "class").groupBy("label").agg(F.min("first_id").alias("smallest"))
-    linked = found.join(smallest, "label").select("class", "smallest")
-    final = classes.join(linked, "class", "left").select("class", F.coalesce("smallest", "first_id").alias("smallest"))
-    out = rows.select("doc_id", "n_shingles", "class").join(final, "class", "left")
+    linked = found.join(smallest, "label").select("class", "label", "smallest")
+    final = classes.join(linked, "class", "left").select("class", F.coalesce("label", "class").alias("label"), F.coalesce("smallest", "first_id").alias("smallest"))
+    return rows.select("doc_id", "print", "n_shingles", "class").join(final, "class", "left")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    kept = F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
+    return _labelled(docs, id_col, text_col).select("doc_id", "n_shingles", component.alias("component_id"), kept)
+
+
+#: Columns that ``without_copies`` adds for its own use.
+ID, PRINT = "_copy_of_id", "_copy_of_text"
 
 
 def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, as they are, that stay: those of the smallest id
-    of each component, and those without an id."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col("doc_id").alias("copied_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["copied_id"], "left_anti")
+    """The rows of ``docs``, as they are, that stay: of each component one row
+    of one text, and the rows without words or id, repeated ones once."""
+    rows = staged(_labelled(docs, id_col, text_col), "labelled")
+    own = rows.where("class IS NOT NULL AND doc_id = smallest").groupBy("label").agg(F.min("class").alias("class"))
+    chosen = rows.join(own.withColumn("first", F.lit(True)), ["label", "class"], "left")
+    stays = F.col("class").isNull() | F.col("doc_id").isNull() | (F.coalesce("first", F.lit(False)) & (F.col("doc_id") == F.col("smallest")))
+    told = chosen.groupBy(F.col("doc_id").alias(ID), F.col("print").alias(PRINT)).agg(F.max(stays).alias("stays"), (F.count(F.lit(1)) > 1).alias("repeated"))
+    told = staged(told.where("repeated OR NOT stays"), "decisions")
+    keyed = docs.withColumns({ID: F.col(id_col).cast("long"), PRINT: F.xxhash64(text_col)})
+    same = (keyed[ID].eqNullSafe(told[ID])) & (keyed[PRINT] == told[PRINT])
+    alone = keyed.join(told, same, "left_anti")
+    # A repeated row is chosen by the rest of its columns.
+    rest = F.xxhash64(F.to_json(F.struct(*[F.col(c).cast("string") for c in docs.columns]), {"ignoreNullFields": "false"}))
+    again = keyed.join(told.where("stays"), same, "left_semi")
+    again = again.withColumn("_n", F.row_number().over(Window.partitionBy(ID, PRINT).orderBy(rest))).where("_n = 1")
+    return alone.select(docs.columns).unionByName(again.select(docs.columns))
