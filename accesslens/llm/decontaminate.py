@@ -203,7 +203,15 @@ def _consistent(matches: DataFrame, named: DataFrame, windows: DataFrame) -> Dat
     return both.join(good, ["doc_id", "row", "shift"], "left_semi").select(*HITS)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, as they are, whose id leaks no item."""
-    leaks = contaminated(docs, benchmark, id_col=id_col).select(F.col("doc_id").alias("leaking_id")).distinct()
-    return docs.join(leaks, docs[id_col].cast("long") == leaks["leaking_id"], "left_anti")
+#: A column that ``without_leaks`` adds for its own use.
+ROW = "_leaking_row"
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that leak no item.
+
+    Rows are told apart by id and text (64 bits), so another text of the same
+    id stays, and a leak without an id goes."""
+    keyed = docs.withColumn(ROW, F.xxhash64(id_col, text_col))
+    leaks = contaminated(keyed, benchmark, id_col=ROW, text_col=text_col).select(F.col("doc_id").alias("leak")).distinct()
+    return keyed.join(leaks, F.col(ROW) == F.col("leak"), "left_anti").drop(ROW)

@@ -93,7 +93,53 @@ def test_near_duplicates(spark, docs, none):
     assert out == sorted(expected, key=str)
     assert near_dup.near_duplicates(none).count() == 0
     kept = near_dup.without_copies(docs)
-    assert kept.columns == docs.columns and kept.count() == 11
+    assert kept.columns == docs.columns and kept.count() == 10
+    assert near_dup.without_copies(none).count() == 0
+
+
+def test_copies_go_by_row(spark):
+    """A text of each component stays, also where an id has several texts."""
+    b = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, WORDS), (2, WORDS), (2, b), (3, b + " x"), (4, "four alone"), (4, "four alone"), (None, WORDS), (None, WORDS), (5, None), (5, None), (6, b), (6, b + " y")]
+    df = spark.createDataFrame([(i, t, str(n), "x") for n, (i, t) in enumerate(rows)], "doc_id long, text string, print string, label string")
+    out = near_dup.without_copies(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, WORDS), (2, b), (4, "four alone"), (5, None), (None, WORDS)], key=str)
+
+
+@pytest.mark.parametrize("room,work", [(2_000_000, 4_000_000), (3000, 50)])
+def test_recall_and_families(spark, monkeypatch, room, work):
+    """Families around the threshold: of over 1,000 links at 0.75 to 0.85 none
+    is false and at least 999 in 1,000 keep their ends in one component."""
+    import random
+
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", room)
+    monkeypatch.setattr(near_dup, "BLOCK_CLASSES", 40)
+    monkeypatch.setattr(near_dup, "WORK", work)
+    rng, texts = random.Random(4), []
+    for family in range(25):
+        base = [f"f{family}w{rng.randrange(500)}" for _ in range(150)]
+        for _ in range(40):
+            copy = list(base)
+            for place in rng.sample(range(150), rng.randrange(0, 5)):
+                copy[place] = f"x{rng.random()}"
+            texts.append(" ".join(copy))
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    links = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for f in range(25) for i in range(40 * f, 40 * f + 40) for j in range(i + 1, 40 * f + 40)]
+    links = [(i, j, s) for i, j, s in links if s >= 0.75]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j, _ in links:
+        parent[max(root(i), root(j))] = min(root(i), root(j))
+    close = [(i, j) for i, j, s in links if s < 0.85]
+    assert len(close) > 1000 and sum(got[i] == got[j] for i, j in close) >= 0.999 * len(close)
+    assert all(root(got[i]) == root(i) for i in got)
 
 
 def test_links_at_the_threshold(spark):
@@ -193,7 +239,9 @@ def test_decontamination(spark, docs, none):
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table, bench).collect()}
     assert {(20, 1), (21, 1), (23, 1), (25, 4)} <= found and not {d for d, _ in found} & {24, 26, None}
     clean = decontaminate.without_leaks(table, bench)
-    assert clean.columns == table.columns and {r.doc_id for r in clean.collect()} >= {24, 26, None}
+    left = [(r.doc_id, r.text) for r in clean.collect()]
+    assert clean.columns == table.columns and {24, 26} <= {i for i, _ in left}
+    assert (20, "clean") in left and (None, item) not in left and texts[0] not in left
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     plan = decontaminate.contaminated(table, bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -248,3 +296,31 @@ def test_counts_of_long_runs_that_are_not_aligned(monkeypatch):
     ends = np.cumsum(steps)
     for i in (1, 49_999, 50_001, 50_002, 50_003, 50_300, 50_301):
         assert ends[len(run[:i].encode()) - 1] == size(run[:i])
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """Nulls, repeated ids with other texts, other columns, and empty tables."""
+    import corpus_pipeline
+
+    kinds = {"documents": DOCS, "labels": "doc_id long, quality int, features string", "benchmark": "item_id long, text string, doc_id string"}
+    item = "A train from Paris travels 60 km in 2 hours . How far does the train from Paris go in 5 hours at that speed ?"
+    b = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, WORDS), (2, WORDS), (2, b), (3, f"{item} {b}"), (3, "clean words of the same id as a leak"), (4, None), (4, ""), (None, LONG), (5, "5"), (5, "5")]
+    tables = {"documents": [(i, t, "en", "c", "i", "k", "n") for i, t in rows], "labels": [], "benchmark": [(1, item, "x"), (None, None, None)]}
+
+    def folder(name, tables):
+        for table, kind in kinds.items():
+            spark.createDataFrame(tables[table], kind).write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        return f"{tmp_path}/{name}"
+
+    sf_dir = folder("some", tables)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.staged(stage(spark, docs, sf_dir), name)
+        assert docs.columns == [c.split()[0] for c in DOCS.split(", ")]
+    left = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(left, key=str) == sorted([(1, WORDS), (2, b), (3, "clean words of the same id as a leak"), (4, None), (4, ""), (None, LONG), (5, "5")], key=str)
+    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r.doc_id for r in packed} == {1, 2, 3, 4, 5, None}
+    none = folder("none", dict.fromkeys(kinds, []))
+    assert corpus_pipeline.run(spark, none).count() == 0
