@@ -189,5 +189,6 @@ def compact(spark: SparkSession, place: str | EventStore, file_bytes: int = FILE
     dates = key_values(crowded, "event_date")
     chosen = len(dates) if isinstance(dates, list) else dates.count()
     if chosen:
-        _replace_dates(spark, store, store.dealt(restrict_to(store.read(spark), "event_date", dates)))
+        with store.aligned(spark):
+            _replace_dates(spark, store, store.dealt(restrict_to(store.read(spark), "event_date", dates)))
     return chosen

@@ -144,8 +144,10 @@ class BucketedStore(EventStore):
         spark.catalog.refreshTable(self.table)
 
     def aligned(self, spark: SparkSession) -> AbstractContextManager:
-        # The key is id and date; rows that agree on both agree on the id.
-        return settings(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"})
+        # The key is id and date; rows that agree on both agree on the id.  And
+        # buckets are read as such also where only the write wants them.
+        names = ["spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.sources.bucketing.autoBucketedScan.enabled"]
+        return settings(spark, dict.fromkeys(names, "false"))
 
 
 def scan_date_range(df: DataFrame, start_date: str, end_date: str, limit: int | None = None) -> DataFrame:

@@ -1,8 +1,9 @@
 """Alerts of a stream, each once in thirty days, remembered in its state.
 
-The state holds (event, severity) until the watermark, thirty days behind the
-newest event, passes: it neither grows without end nor needs the alert table.
-The query's checkpoint keeps it over restarts.
+The state holds (event, severity) for thirty days of the watermark, which is
+itself thirty days behind the newest event: it neither grows without end nor
+needs the alert table, and what the table's retention would hold back is held
+back here too.  The query's checkpoint keeps it over restarts.
 """
 
 from __future__ import annotations
