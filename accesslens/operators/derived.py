@@ -28,7 +28,8 @@ from accesslens.fixed import UNKNOWN
 from accesslens.functions.events import failed, known_user, with_identity
 from accesslens.functions.keys import restrict_to
 from accesslens.session import child_folders, is_complete, mark_complete, remove_folder
-from accesslens.sources.store import read_table
+from accesslens.schema import EVENTS
+from accesslens.sources.store import BucketedStore, read_table
 
 #: Registers of a distinct-count sketch, as a power of two.  Its estimate has a
 #: relative standard error of 1.04 / sqrt(2 ** 12), 1.6 %; up to an eighth of
@@ -175,3 +176,29 @@ class Aggregate:
             .mode(mode)
             .parquet(self.path)
         )
+
+
+#: Events as they are: the kind of a second copy in another layout.
+WHOLE = Kind(EVENTS, lambda rows: rows.select(EVENTS.fieldNames()), lambda rows: rows)
+
+
+@dataclass(frozen=True)
+class Copy(Aggregate):
+    """A second copy of the events, bucketed and sorted by another column.
+
+    Kept like an aggregate: noted, written, and dates in doubt copied anew.
+    A look-up by ``layout.key`` opens one bucket of each date it asks for.
+    """
+
+    layout: BucketedStore
+
+    @classmethod
+    def by(cls, key: str, path: str, table: str, buckets: int = 64) -> Copy:
+        return cls(path, WHOLE, BucketedStore(path, table, buckets, key))
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return self.layout.read(spark)
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        rows = self.layout.dealt(rows.select(self.kind.schema.fieldNames()))
+        self.layout.overwrite(rows) if mode == "overwrite" else self.layout.write(rows)

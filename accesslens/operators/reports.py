@@ -61,3 +61,18 @@ def scan_cost(sizes: DataFrame, *keys: str) -> DataFrame:
         .agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_scanned"))
         .withColumn("scan_cost_usd", F.col("bytes_scanned") / F.lit(TB) * F.lit(SCAN_PRICE_PER_TB))
     )
+
+
+def scanned_files(query: DataFrame, files: DataFrame) -> DataFrame:
+    """The data files that a query opens, ``path, size``, after Spark has
+    pruned partitions; sizes come from a listing (``sources.lake.lake_files``).
+
+    Nothing is run.  Partitions are pruned where the query reads a catalog
+    table (``sources.lake.register_lake``); of a plain folder all files count.
+    """
+    spark = query.sparkSession
+    opened = spark.createDataFrame([(path,) for path in query.inputFiles()], "path string")
+    # Listings and plans spell a local file's scheme differently.
+    plain = lambda column: F.regexp_replace(F.url_decode(column), "^file:/+", "/")
+    listed = files.select("path", F.col("length").alias("size"), plain(F.col("path")).alias("_plain"))
+    return listed.join(opened.select(plain(F.col("path")).alias("_plain")).distinct(), "_plain", "left_semi").select("path", "size")

@@ -92,16 +92,19 @@ class EventStore:
 
 @dataclass(frozen=True)
 class BucketedStore(EventStore):
-    """Events in a catalog table whose dates are bucketed by event id.
+    """Events in a catalog table whose dates are bucketed, by event id unless
+    another ``key`` is given.
 
     All rows of an id are in one bucket, so a join or a de-duplication on the
-    event key deals out the batch alone and reads the store where it is.  There
-    should be no fewer buckets than shuffle partitions; Spark deals out both
-    sides otherwise.  The number cannot change while the table has data.
+    event key deals out the batch alone and reads the store where it is; a
+    look-up by the key opens one bucket a date.  There should be no fewer
+    buckets than shuffle partitions; Spark deals out both sides of a join
+    otherwise.  The number cannot change while the table has data.
     """
 
     table: str
     buckets: int = 200
+    key: str = "event_id"
 
     def _declare(self, spark: SparkSession, table: str, folder: str) -> None:
         # The partition column comes last; NULL dates have no place in it.
@@ -112,7 +115,7 @@ class BucketedStore(EventStore):
         if not known:
             spark.sql(
                 f"CREATE TABLE {table} ({', '.join(f'{c} string' for c in names)}) USING parquet PARTITIONED BY (event_date) "
-                f"CLUSTERED BY (event_id) SORTED BY (event_id) INTO {self.buckets} BUCKETS LOCATION '{folder}'"
+                f"CLUSTERED BY ({self.key}) SORTED BY ({self.key}) INTO {self.buckets} BUCKETS LOCATION '{folder}'"
             )
             if child_folders(spark, folder):
                 spark.catalog.recoverPartitions(table)
@@ -133,7 +136,17 @@ class BucketedStore(EventStore):
 
     def dealt(self, rows: DataFrame) -> DataFrame:
         # A task writes a file a date then, not one for each of its buckets.
-        return rows.repartition(self.buckets, "event_id")
+        if self.key == "event_id":
+            return rows.repartition(self.buckets, "event_id")
+        # Other keys can be hot: a bucket far above the rest is split.
+        bucketed = rows.withColumn("_bucket", F.pmod(F.hash(self.key), F.lit(self.buckets)))
+        return bucketed.hint("rebalance", "event_date", "_bucket").drop("_bucket")
+
+    def overwrite(self, rows: DataFrame) -> None:
+        """Replace the dates of ``rows`` by them."""
+        self._declare(rows.sparkSession, self.table, self.path)
+        with settings(rows.sparkSession, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
+            rows.select(rows.sparkSession.table(self.table).columns).write.insertInto(self.table, overwrite=True)
 
     def least_files(self) -> int:
         return self.buckets

@@ -1,6 +1,7 @@
 """Aggregates kept by loads and exports, and what is answered from them."""
 
 import datetime as dt
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from accesslens.operators.derived import ACTIVITY, BUSIEST, COUNTS, Aggregate
 from accesslens.operators.incremental import Tables
 from accesslens.plans import sketched
 from accesslens.sources.lake import read_lake
-from accesslens.sources.store import EventStore, read_events
+from accesslens.session import settings
+from accesslens.sources.store import EventStore, events_by_user, read_events
 from accesslens.streaming import windows
 
 AS_OF = dt.date(2024, 1, 31)
@@ -230,3 +232,49 @@ def test_store_dates_come_from_the_listing(spark, tables, make_events, tmp_path)
     assert "content" not in plan(store.dates(spark))
     assert lake.export(spark, store, str(tmp_path / "lake")).first().total_events_exported == 2
     assert EventStore(str(tmp_path / "none")).dates(spark).count() == 0
+
+
+# A second copy of the events
+
+
+@pytest.fixture
+def by_user(tmp_path):
+    return derived.Copy.by("user_name", str(tmp_path / "by-user"), f"by_user_{uuid.uuid4().hex}", 8)
+
+
+def test_a_look_up_opens_one_bucket(spark, events, tables, by_user):
+    upsert.write_upsert(spark, events, tables.events, [by_user])
+    found = events_by_user(by_user.read(spark), "user5", limit=None)
+    with by_user.layout.aligned(spark):  # else the plan prunes the files and does not say so
+        assert "SelectedBucketsCount: 1 out of 8" in plan(events_by_user(by_user.read(spark), "user5", limit=None))
+    assert found.count() == events.where("user_name = 'user5'").count() > 0
+
+
+@pytest.mark.parametrize("where", ["write", "settle", "copied"])
+def test_the_copy_stays_equal_after_a_killed_load(spark, tables, batches, by_user, monkeypatch, where):
+    upsert.write_upsert(spark, batches[0], tables.events, [by_user])
+
+    def die(*args, **named):
+        raise Killed
+
+    with monkeypatch.context() as patch:
+        if where == "write":
+            patch.setattr(EventStore, "write", die)
+        elif where == "settle":
+            patch.setattr(derived.Copy, "settle", die)
+        else:
+            write = derived.Copy._write
+            patch.setattr(derived.Copy, "_write", lambda *args: (write(*args), die()))
+        with pytest.raises(Killed):
+            upsert.write_upsert(spark, batches[1], tables.events, [by_user])
+    upsert.write_upsert(spark, batches[1], tables.events, [by_user])
+    rows = lambda df: sorted(map(tuple, df.select("event_date", "event_id", "user_name", "aws_region").collect()), key=str)
+    assert rows(by_user.read(spark)) == rows(read_events(spark, tables.events))
+
+
+def test_a_hot_user_is_spread_over_files(spark, make_events, by_user):
+    rows = make_events(day(20, 0)).drop("event_id", "request_parameters").crossJoin(spark.range(40_000)).withColumn("event_id", F.col("id").cast("string"))
+    rows = rows.withColumn("request_parameters", F.sha2("event_id", 512)).drop("id")
+    with settings(spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"}):
+        by_user.settle(spark, by_user.prepare(rows, rows.limit(0)), rows)
+    assert by_user.layout.files(spark).count() > 1 and by_user.read(spark).count() == 40_000

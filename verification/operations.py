@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from accesslens import run
 from accesslens.functions.time import from_iso
-from accesslens.operators import alerts, incremental, lake, reports, results, upsert
+from accesslens.operators import alerts, derived, incremental, lake, reports, results, upsert
 from accesslens.plans import sketched
 from accesslens.operators.filters import filter_events, flag_noise
 from accesslens.operators.normalize import kept, parse_records, to_events
@@ -216,6 +216,30 @@ def _ledger_catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.join(counted, "event_date")
 
 
+def _by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A look-up in the copy by user that three loads have kept."""
+    events, folder = events_from(spark, sf_dir), shared_folder(spark, "copies")
+    copy = derived.Copy.by("user_name", f"{folder}/by-user", f"by_user_{uuid.uuid4().hex}", 8)
+    wrong = _before(_from(events, "2024-01-12"), "2024-01-14").withColumn("user_name", F.lit("user5"))
+    for batch in (_before(events, "2024-01-12").unionByName(wrong), _from(events, "2024-01-11"), _from(events, "2024-01-25")):
+        upsert.write_upsert(spark, batch, f"{folder}/events", [copy])
+    return store.events_by_user(copy.read(spark), "user5", "2024-01-10", "2024-01-20")
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region-days that a query over a week opens, with its cost: the bytes
+    are those of the listing, and only their agreement can be stated."""
+    path, table = shared_folder(spark, "lake"), f"lake_{uuid.uuid4().hex}"
+    lake.export(spark, events_from(spark, sf_dir), path)
+    lake_source.register_lake(spark, table, path)
+    files = lake_source.lake_files(spark, path)
+    opened = reports.scanned_files(run("hourly_activity", spark.table(table), AS_OF), files)
+    week = files.where("make_date(year, month, day) >= DATE '2024-01-24'").agg(F.sum("length").alias("week"))
+    cost = reports.scan_cost(opened).join(week).select((F.col("bytes_scanned") == F.col("week")).alias("all_bytes"))
+    day = F.format_string("%04d-%02d-%02d", "year", "month", "day").alias("event_date")
+    return files.join(opened.select("path"), "path").select(day, "region").distinct().join(cost)
+
+
 def _lake_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog table that finds the partitions of a later export."""
     events, path, table = events_from(spark, sf_dir), shared_folder(spark, "lake"), f"lake_{uuid.uuid4().hex}"
@@ -484,6 +508,8 @@ OPERATION_QUERIES: dict[str, Query] = {
     "ledger_counts": lambda spark, sf_dir: _loaded(spark, sf_dir).counts.read(spark),
     "ledger_catch_up": _ledger_catch_up,
     "lake_refreshed": _lake_refreshed,
+    "lookup_in_user_copy": _by_user,
+    "scanned_files": _scanned,
     "sketch_distinct_counts": lambda spark, sf_dir: sketched.distinct_counts(_loaded(spark, sf_dir).activity.read(spark), AS_OF),
     "sketch_daily_summary": lambda spark, sf_dir: sketched.daily_summary(_loaded(spark, sf_dir).activity.read(spark), AS_OF),
     "sketch_active_users": lambda spark, sf_dir: sketched.active_users(_loaded(spark, sf_dir).busiest.read(spark), AS_OF),

@@ -6,7 +6,7 @@ plus the expressions the queries share, written out independently.
 
 from __future__ import annotations
 
-from accesslens import fixed
+from verification import names
 from verification.recipe import EVENTS_SQL
 
 
@@ -42,14 +42,8 @@ ev AS (
 # First day inside a window of n days before 2024-01-31.
 START = {7: "'2024-01-24'", 30: "'2024-01-01'", 90: "'2023-11-02'"}
 
-def listed(values: list[str]) -> str:
-    return ", ".join(f"'{value}'" for value in values)
-
-
-SIGN_IN = f"event_name IN ({listed(fixed.SIGN_IN_EVENTS)})"
-SSO_ADMIN = listed(fixed.SSO_ADMIN_EVENTS)
-SSO_APPS = listed(fixed.APPLICATION_EVENTS)
-IAM_CHANGES = listed(fixed.PERMISSION_EVENTS)
+SIGN_IN = f"event_name IN ({names.SIGN_IN})"
+SSO_ADMIN, SSO_APPS, IAM_CHANGES = names.SSO_ADMIN, names.SSO_APPS, names.IAM_CHANGES
 
 
 def newest(columns: str, condition: str, days: int, source: str = "ev") -> str:
@@ -257,7 +251,7 @@ QUERY_ORACLES: dict[str, str] = {
     "q17_adhoc_failed_auth": failures("error_code", f"bad AND {SIGN_IN}", ""),
     "q18_adhoc_permission_changes_by_user": f"""{EV} SELECT user_name, event_name, count(*) AS change_count,
         min(day) AS first_change, max(day) AS last_change FROM ev
-        WHERE day >= {START[30]} AND event_name IN ({listed(fixed.ADHOC_PERMISSION_EVENTS)})
+        WHERE day >= {START[30]} AND event_name IN ({names.IAM_CHANGES_BY_USER})
         GROUP BY user_name, event_name ORDER BY change_count DESC, user_name, event_name""",
     "q19_adhoc_role_assumptions": f"""{EV} SELECT arn AS role_arn, user_name, count(*) AS assumption_count,
         count(*) FILTER (bad) AS failed_count FROM ev
