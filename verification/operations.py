@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from accesslens import run
 from accesslens.functions.time import from_iso
 from accesslens.operators import alerts, derived, incremental, lake, reports, results, upsert
-from accesslens.plans import sketched
+from accesslens.plans import sketched, sql
 from accesslens.operators.filters import filter_events, flag_noise
 from accesslens.operators.normalize import kept, parse_records, to_events
 from accesslens.schema import CONTROL
@@ -240,6 +240,19 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.join(opened.select("path"), "path").select(day, "region").distinct().join(cost)
 
 
+def _sql_function(name: str) -> Query:
+    """A library query called from SQL, over a catalog table of the lake."""
+
+    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, table = shared_folder(spark, "lake"), f"lake_{uuid.uuid4().hex}"
+        lake.write_lake(lake.lake_rows(events_from(spark, sf_dir)), path)
+        lake_source.register_lake(spark, table, path)
+        sql.register_functions(spark, table, f"{table}_")
+        return spark.sql(f"SELECT * FROM {table}_{name}(DATE '{AS_OF}')")
+
+    return call
+
+
 def _lake_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog table that finds the partitions of a later export."""
     events, path, table = events_from(spark, sf_dir), shared_folder(spark, "lake"), f"lake_{uuid.uuid4().hex}"
@@ -508,6 +521,10 @@ OPERATION_QUERIES: dict[str, Query] = {
     "ledger_counts": lambda spark, sf_dir: _loaded(spark, sf_dir).counts.read(spark),
     "ledger_catch_up": _ledger_catch_up,
     "lake_refreshed": _lake_refreshed,
+    "sql_failed_auth": _sql_function("failed_auth"),
+    "sql_daily_summary": _sql_function("daily_summary"),
+    "sql_role_assumptions": _sql_function("role_assumptions"),
+    "sql_account_assignments": _sql_function("sso_account_assignments"),
     "lookup_in_user_copy": _by_user,
     "scanned_files": _scanned,
     "sketch_distinct_counts": lambda spark, sf_dir: sketched.distinct_counts(_loaded(spark, sf_dir).activity.read(spark), AS_OF),

@@ -396,6 +396,10 @@ OPERATION_ORACLES: dict[str, str] = {
     "ledger_counts": f"""{EV} SELECT event_date, coalesce(aws_region, 'unknown') AS region, count(*) AS events FROM ev GROUP BY 1, 2""",
     "ledger_catch_up": f"{EV} SELECT event_date, count(*) AS events, count(*) AS counted FROM ev GROUP BY event_date",
     "lake_refreshed": f"""{EV} SELECT event_date, coalesce(aws_region, 'unknown') AS region, count(*) AS events FROM ev GROUP BY 1, 2""",
+    "sql_failed_auth": QUERY_ORACLES["q02_failed_auth_sql"],
+    "sql_daily_summary": QUERY_ORACLES["q08_daily_summary_sql"],
+    "sql_role_assumptions": QUERY_ORACLES["q07_role_assumptions_sql"],
+    "sql_account_assignments": QUERY_ORACLES["q11_sso_account_assignments_sql"],
     "lookup_in_user_copy": f"""{EV} SELECT {EVENT_COLUMNS} FROM ev WHERE user_name = 'user5' AND day >= '2024-01-10'
         AND day <= '2024-01-20' ORDER BY event_date, event_id LIMIT 100""",
     "scanned_files": f"""{EV} SELECT DISTINCT event_date, coalesce(aws_region, 'unknown') AS region, true AS all_bytes
