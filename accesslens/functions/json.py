@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from accesslens.schema import VARIANTS
+
 
 def once(value: Column) -> Column:
     """Evaluate an expensive expression once per row.
@@ -46,6 +48,9 @@ def json_fields(
     ``fields`` maps new column name to JSON key.  Objects, arrays, null and
     missing keys give NULL, and of a repeated key the last value counts.  ``guard`` skips the parse for rows it rejects.
     """
+    if holds_variant(df, source):
+        parsed = F.col(VARIANTS[source])
+        return df.withColumns({name: _scalar_of(parsed, f"$.{key}") for name, key in fields.items()})
     keys = list(dict.fromkeys(fields.values()))
     held = {key: f"_json_{key}" for key in keys}
     parsed = F.from_json(F.col(source), T.StructType([T.StructField(key, T.StringType()) for key in keys]))
@@ -59,6 +64,18 @@ def json_fields(
     )
 
 
+def holds_variant(df: DataFrame, source: str = "request_parameters") -> bool:
+    """Whether a table has a JSON text's parsed value next to it.  Its fields
+    are then columns of the file, best taken before rows are chosen; a text
+    that is no JSON, or repeats a key, has none."""
+    return VARIANTS[source] in df.columns
+
+
+def _scalar_of(variant: Column, path: str) -> Column:
+    value = F.try_variant_get(variant, path, "string")
+    return F.when(~F.substring(value, 1, 1).isin("{", "[") | is_text(variant, path), value)
+
+
 def _scalar(value: Column, source: str, key: str) -> Column:
     # The parse returns nested values as text.  A text that merely starts
     # like one is rare; only then look at the value's real type.

@@ -13,8 +13,8 @@ from accesslens.functions.json import is_object, key_present, once
 from accesslens.functions.keys import key_values, restrict_to
 from accesslens.functions.text import regexp_or_null
 from accesslens.operators.derived import COUNTS, Aggregate
-from accesslens.schema import EVENT_COLUMNS, EVENT_KEY, EVENTS, LAKE_PARTITIONS
-from accesslens.session import staging
+from accesslens.schema import EVENT_COLUMNS, EVENT_KEY, EVENTS, LAKE_PARTITIONS, VARIANTS
+from accesslens.session import settings, staging
 from accesslens.sources.lake import lake_dates, read_lake
 from accesslens.sources.store import LOOK_UP_OPTIONS, EventStore
 
@@ -35,8 +35,13 @@ def _identity() -> Column:
     )
 
 
-def lake_rows(events: DataFrame) -> DataFrame:
-    """Analytics rows: event columns, lifted JSON fields, flags, partitions.
+#: Settings under which the fields that most rows of a file have become columns.
+SHREDDED = {"spark.sql.variant.writeShredding.enabled": "true", "spark.sql.variant.inferShreddingSchema": "true"}
+
+
+def lake_rows(events: DataFrame, variants: bool = False) -> DataFrame:
+    """Analytics rows: event columns, lifted JSON fields, flags, partitions;
+    with ``variants`` also the parsed request and response.
 
     Each JSON text is parsed once.  ``user_identity`` is stored so that the
     queries that group by it do not read the JSON text at all.
@@ -58,6 +63,7 @@ def lake_rows(events: DataFrame) -> DataFrame:
             _lifted("_response", "$.credentials.expiration").alias("credentials_expiration"),
             _identity().alias("user_identity"),
             failed().alias("is_error"),
+            *([F.col(f"_{name}").alias(name) for name in VARIANTS.values()] if variants else []),
             F.substring("event_date", 1, 4).try_cast("int").alias("year"),
             F.substring("event_date", 6, 2).try_cast("int").alias("month"),
             F.substring("event_date", 9, 2).try_cast("int").alias("day"),
@@ -82,16 +88,17 @@ def write_lake(rows: DataFrame, path: str, by_region: bool = True, replace_dates
     partitions = partition_columns(by_region)
     if not by_region:
         rows = rows.drop("region")
-    (
-        rows.hint("rebalance", *partitions)
-        .sortWithinPartitions(*partitions, "event_name", "event_time")
-        .write.partitionBy(*partitions)
-        .option("compression", "snappy")
-        .options(**LOOK_UP_OPTIONS)
-        .option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite" if replace_dates else "append")
-        .parquet(path)
-    )
+    with settings(rows.sparkSession, SHREDDED):
+        (
+            rows.hint("rebalance", *partitions)
+            .sortWithinPartitions(*partitions, "event_name", "event_time")
+            .write.partitionBy(*partitions)
+            .option("compression", "snappy")
+            .options(**LOOK_UP_OPTIONS)
+            .option("partitionOverwriteMode", "dynamic")
+            .mode("overwrite" if replace_dates else "append")
+            .parquet(path)
+        )
 
 
 def region_counts(events: DataFrame) -> DataFrame:

@@ -18,15 +18,17 @@ from accesslens.fixed import (
     SSO_ADMIN_EVENTS,
 )
 from accesslens.functions.events import earliest, failed, latest, most_recent, percentage, since_days
-from accesslens.functions.json import json_fields
+from accesslens.functions.json import holds_variant, json_fields
 from accesslens.functions.text import last_chars_or_empty, regexp_or_null
 
 
 def _latest(
     df: DataFrame, as_of: dt.date | None, days: int, names: list[str], limit: int, fields: dict[str, str]
 ) -> DataFrame:
-    """Newest events of these names; JSON is parsed for the rows that stay."""
+    """Newest events of these names; JSON texts are parsed for the rows that stay."""
     rows = since_days(df, as_of, days).where((F.col("event_type") == "sso") & F.col("event_name").isin(names))
+    if holds_variant(df):
+        return most_recent(json_fields(rows, fields), limit)
     return json_fields(most_recent(rows, limit), fields)
 
 

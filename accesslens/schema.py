@@ -31,6 +31,15 @@ LAKE = T.StructType(
     + [T.StructField("region", T.StringType())]
 )
 
+#: Requests and responses as parsed values, by the text column they come from;
+#: a lake may keep them too, each of their common fields in a column of its own.
+VARIANTS = {"request_parameters": "request", "response_elements": "response"}
+LAKE_WITH_VARIANTS = T.StructType(
+    LAKE.fields[: -len(LAKE_PARTITIONS)]
+    + [T.StructField(name, T.VariantType()) for name in VARIANTS.values()]
+    + LAKE.fields[-len(LAKE_PARTITIONS) :]
+)
+
 #: One row per collected source; times are UTC wall-clock.
 CONTROL = T.StructType([
     T.StructField("checkpoint_key", T.StringType()),

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.schema import LAKE, LAKE_PARTITIONS
+from accesslens.schema import LAKE, LAKE_PARTITIONS, LAKE_WITH_VARIANTS
 from accesslens.sources.store import data_files, read_table
 
 
-def read_lake(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, LAKE)
+def read_lake(spark: SparkSession, path: str, variants: bool = False) -> DataFrame:
+    """The lake at ``path``; with ``variants``, one that was written with
+    parsed requests and responses, whose JSON queries then read single fields."""
+    return read_table(spark, path, LAKE_WITH_VARIANTS if variants else LAKE)
 
 
 def register_lake(spark: SparkSession, table: str, path: str) -> None:

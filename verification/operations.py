@@ -253,6 +253,17 @@ def _sql_function(name: str) -> Query:
     return call
 
 
+def _shredded(name: str) -> Query:
+    """A JSON query over a lake that keeps parsed requests."""
+
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = shared_folder(spark, "lake")
+        lake.write_lake(lake.lake_rows(events_from(spark, sf_dir), variants=True), path)
+        return run(name, lake_source.read_lake(spark, path, variants=True), AS_OF, "sql")
+
+    return read
+
+
 def _lake_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog table that finds the partitions of a later export."""
     events, path, table = events_from(spark, sf_dir), shared_folder(spark, "lake"), f"lake_{uuid.uuid4().hex}"
@@ -521,6 +532,10 @@ OPERATION_QUERIES: dict[str, Query] = {
     "ledger_counts": lambda spark, sf_dir: _loaded(spark, sf_dir).counts.read(spark),
     "ledger_catch_up": _ledger_catch_up,
     "lake_refreshed": _lake_refreshed,
+    "shredded_permission_sets": _shredded("sso_permission_sets"),
+    "shredded_account_assignments": _shredded("sso_account_assignments"),
+    "shredded_admin_policies": _shredded("sso_admin_policies"),
+    "shredded_applications": _shredded("sso_applications"),
     "sql_failed_auth": _sql_function("failed_auth"),
     "sql_daily_summary": _sql_function("daily_summary"),
     "sql_role_assumptions": _sql_function("role_assumptions"),

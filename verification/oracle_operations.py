@@ -396,6 +396,10 @@ OPERATION_ORACLES: dict[str, str] = {
     "ledger_counts": f"""{EV} SELECT event_date, coalesce(aws_region, 'unknown') AS region, count(*) AS events FROM ev GROUP BY 1, 2""",
     "ledger_catch_up": f"{EV} SELECT event_date, count(*) AS events, count(*) AS counted FROM ev GROUP BY event_date",
     "lake_refreshed": f"""{EV} SELECT event_date, coalesce(aws_region, 'unknown') AS region, count(*) AS events FROM ev GROUP BY 1, 2""",
+    "shredded_permission_sets": QUERY_ORACLES["q10_sso_permission_sets_sql"],
+    "shredded_account_assignments": QUERY_ORACLES["q11_sso_account_assignments_sql"],
+    "shredded_admin_policies": QUERY_ORACLES["q12_sso_admin_policies_full"],
+    "shredded_applications": QUERY_ORACLES["q13_sso_applications_sql"],
     "sql_failed_auth": QUERY_ORACLES["q02_failed_auth_sql"],
     "sql_daily_summary": QUERY_ORACLES["q08_daily_summary_sql"],
     "sql_role_assumptions": QUERY_ORACLES["q07_role_assumptions_sql"],
