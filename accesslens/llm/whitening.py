@@ -22,8 +22,8 @@ of several lengths, those of the most frequent length do (of the longer one, if
 tied).  Repeated rows, and rows with null ids, are projected each; copies count
 once in the fit list.  A spectrum of lower rank than ``COMPONENTS`` has fewer
 components; an empty table, or one distinct vector alone, has none and gives no
-rows.  Other columns are ignored.  ``deviation`` is a long: where a sum of
-squares could exceed it, the run stops with an error rather than wrap around.
+rows.  Other columns are ignored.  ``deviation`` is a long: a sum of squares
+that exceeds it is null rather than wrapped around, or rounded.
 """
 
 from __future__ import annotations
@@ -165,13 +165,15 @@ class Whitening:
         rest = np.array([(s - self.n * int(c)) / self.n for s, c in zip(self.sums, centre, strict=True)])
         return ((x - centre) - rest) @ self.vectors / np.sqrt(self.values)
 
-    def deviations(self, x: np.ndarray) -> np.ndarray:
-        """Sums over the dimensions of ``(n * x - S) ** 2``, exact."""
+    def deviations(self, x: np.ndarray) -> pa.Array:
+        """Sums over the dimensions of ``(n * x - S) ** 2``, exact; null beyond
+        a long."""
         largest = max((abs(self.n * int(e) - s) for edge in (x.min(axis=0), x.max(axis=0)) for e, s in zip(edge, self.sums, strict=True)), default=0)
-        if largest**2 * x.shape[1] >= 1 << 63 or max(map(abs, self.sums)) >= 1 << 63:
-            raise OverflowError("a deviation does not fit into a long")
-        apart = self.n * x - np.array(self.sums, np.int64)
-        return (apart * apart).sum(axis=1)
+        if largest**2 * x.shape[1] < 1 << 63 and max(map(abs, self.sums)) < 1 << 62:
+            apart = self.n * x - np.array(self.sums, np.int64)
+            return pa.array((apart * apart).sum(axis=1))
+        sums = ((self.n * x.astype(object) - np.array(self.sums, object)) ** 2).sum(axis=1)
+        return pa.array([d if d < 1 << 63 else None for d in sums.tolist()], pa.int64())
 
 
 def integers(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -274,7 +276,7 @@ def whiten(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
             whitened, deviation, size = model.project(x), model.deviations(x), len(x)
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(size), k)))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), size)), pa.array(np.full(size * k, model.n)), pa.array(np.repeat(deviation, k)),
+                [ids, pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), size)), pa.array(np.full(size * k, model.n)), deviation.take(pa.array(np.repeat(np.arange(size), k))),
                  pa.array(whitened.ravel()), pa.array(np.tile(model.values / model.trace, size)), pa.array(np.full(size * k, error))],
                 [c.split()[0] for c in RESULT.split(", ")],
             )

@@ -126,6 +126,11 @@ def test_whitening_cases(spark):
     assert out.groupby("component").explained.first().sum() == pytest.approx(1)
     assert whitening.whiten(vectors(spark, [])).count() == 0
     assert whitening.whiten(vectors(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])).count() == 0
+    wide = [(0, [2.0**34, 0.0]), (1, [-(2.0**34), 1.0]), (2, [0.0, 7.0])]
+    x, _, deviation, *_ = expected_whitening([v for _, v in wide])
+    exact = [sum((3 * int(a) - int(s)) ** 2 for a, s in zip(row, x.sum(axis=0), strict=True)) for row in x]
+    found = {r.vec_id: r.deviation for r in whitening.whiten(vectors(spark, wide)).collect()}
+    assert max(exact) >= 1 << 63 and [found[i] for i in range(3)] == [d if d < 1 << 63 else None for d in exact]
     flat = whitening.whiten(vectors(spark, [(i, [float(i), 2.0 * i, 3.0]) for i in range(9)])).toPandas()
     assert set(flat.component) == {1} and flat.explained.max() == pytest.approx(1)
 
