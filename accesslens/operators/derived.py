@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from accesslens.fixed import UNKNOWN
 from accesslens.functions.events import failed, known_user, with_identity
-from accesslens.functions.keys import restrict_to
+from accesslens.functions.keys import key_values, restrict_to
 from accesslens.session import child_folders, is_complete, mark_complete, remove_folder
 from accesslens.schema import EVENTS
 from accesslens.sources.store import BucketedStore, read_table
@@ -164,7 +164,9 @@ class Aggregate:
         self._count_anew(spark, table.select("event_date").distinct(), table)
 
     def _count_anew(self, spark: SparkSession, dates: DataFrame, table: DataFrame) -> None:
-        self._write(self.kind.measure(restrict_to(table, "event_date", dates)), "overwrite")
+        values = key_values(dates, "event_date")
+        if values != []:
+            self._write(self.kind.measure(restrict_to(table, "event_date", values)), "overwrite")
 
     def _write(self, rows: DataFrame, mode: str) -> None:
         # A date's rows are few: one file a date and write.
