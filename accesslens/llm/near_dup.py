@@ -304,6 +304,7 @@ def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     stays = F.col("class").isNull() | F.col("doc_id").isNull() | (F.coalesce("first", F.lit(False)) & (F.col("doc_id") == F.col("smallest")))
     told = chosen.groupBy(F.col("doc_id").alias(ID), F.col("print").alias(PRINT)).agg(F.max(stays).alias("stays"), (F.count(F.lit(1)) > 1).alias("repeated"))
     told = staged(told.where("repeated OR NOT stays"), "decisions")
+    told = F.broadcast(told) if told.count() <= BROADCAST_ROWS else told  # else the texts are shuffled
     keyed = docs.withColumns({ID: F.col(id_col).cast("long"), PRINT: F.xxhash64(text_col)})
     same = (keyed[ID].eqNullSafe(told[ID])) & (keyed[PRINT] == told[PRINT])
     alone = keyed.join(told, same, "left_anti")
