@@ -35,10 +35,6 @@ from accesslens.sources.store import BucketedStore, read_table
 #: relative standard error of 1.04 / sqrt(2 ** 12), 1.6 %; up to an eighth of
 #: the registers, the distinct values themselves are held and it is exact.
 SKETCH_BITS = 12
-#: Values that a frequent-items sketch tracks.  Counts are exact while there are
-#: no more; beyond, a count is too high by at most the events divided by
-#: three eighths of the map, the power of two above 4/3 of it.
-TRACKED = 10_000
 
 DATE = T.StructField("event_date", T.StringType())
 DATES = T.StructType([DATE])
@@ -81,19 +77,12 @@ ACTIVITY = Kind(
     ),
 )
 
-#: The type of a frequent-items sketch of texts.
-ITEMS = T.StructType([
-    T.StructField("sketch", T.BinaryType()), T.StructField("maxItemsTracked", T.IntegerType()),
-    T.StructField("itemDataType", T.StringType()), T.StructField("itemDataTypeDDL", T.StringType()),
-])
-
-#: Who acted most, a sketch per date.
+#: Who acted how often, exact: a sketch of the busiest names nobody once its
+#: items are many and even.
 BUSIEST = Kind(
-    _fields(events=T.LongType(), users=ITEMS),
-    lambda rows: with_identity(rows.where(known_user())).groupBy("event_date").agg(
-        F.count("*").alias("events"), F.expr(f"approx_top_k_accumulate(user_identity, {TRACKED})").alias("users")
-    ),
-    lambda rows: rows.groupBy("event_date").agg(F.sum("events").alias("events"), F.expr(f"approx_top_k_combine(users, {TRACKED})").alias("users")),
+    _fields(user_identity=T.StringType(), events=T.LongType()),
+    lambda rows: with_identity(rows.where(known_user())).groupBy("event_date", "user_identity").agg(F.count("*").alias("events")),
+    lambda rows: rows.groupBy("event_date", "user_identity").agg(F.sum("events").alias("events")),
 )
 
 
@@ -169,10 +158,10 @@ class Aggregate:
             self._write(self.kind.measure(restrict_to(table, "event_date", values)), "overwrite")
 
     def _write(self, rows: DataFrame, mode: str) -> None:
-        # A date's rows are few: one file a date and write.
+        # A date's rows are few: one file a date and write, more where they are not.
         (
             rows.select(self.kind.schema.fieldNames())
-            .repartition("event_date")
+            .hint("rebalance", "event_date")
             .write.partitionBy("event_date")
             .option("partitionOverwriteMode", "dynamic")
             .mode(mode)

@@ -144,8 +144,8 @@ class Tables:
 
     @property
     def busiest(self) -> derived.Aggregate:
-        """Sketches of who acted most per date."""
-        return derived.Aggregate(f"{self.events.rstrip('/')}-busiest", derived.BUSIEST)
+        """Events per date and user; a store from before them needs one ``rebuild``."""
+        return derived.Aggregate(f"{self.events.rstrip('/')}-identities", derived.BUSIEST)
 
     @property
     def kept(self) -> list[derived.Aggregate]:

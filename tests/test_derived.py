@@ -160,6 +160,17 @@ def test_busiest_users_of_few(spark, events, tables):
     assert sketched.active_users(tables.busiest.read(spark), AS_OF).collect() == want
 
 
+def test_busiest_users_of_very_many(spark, make_events, tables):
+    """20,000 users act twice, one of them three times: all are ranked, exactly."""
+    one = make_events(day(20, 0)).drop("event_id", "user_name")
+    number = F.col("id").cast("string")
+    rows = one.crossJoin(spark.range(40_001)).select("*", number.alias("event_id"), F.format_string("u%05d", F.col("id") % 20_000).alias("user_name")).drop("id")
+    upsert.write_upsert(spark, rows.where("event_id < 30000"), tables.events, [tables.busiest])
+    upsert.write_upsert(spark, rows.where("event_id >= 30000"), tables.events, [tables.busiest])
+    found = [tuple(row) for row in sketched.active_users(tables.busiest.read(spark), AS_OF, 30, 3).collect()]
+    assert found == [("u00000", 3), ("u00001", 2), ("u00002", 2)]
+
+
 def test_sketches_of_a_stream_and_of_loads_add_up(spark, events, tmp_path):
     early, late = (events.where(f"event_date {sign} '2024-01-16'") for sign in ("<", ">="))
     late.write.parquet(str(tmp_path / "in"))
