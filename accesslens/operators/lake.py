@@ -146,8 +146,11 @@ def missing_dates(events: DataFrame, exported: DataFrame) -> DataFrame:
 
 
 def missing_events(events: DataFrame, lake: DataFrame) -> DataFrame:
-    """Stored events that the lake does not hold, also for exported dates."""
-    return events.join(lake.select(EVENT_KEY), EVENT_KEY, "left_anti")
+    """Stored events that the lake does not hold, also for exported dates.
+
+    Both sides are sorted: from files' sizes Spark would take the keys for far
+    smaller than they are, and send all of the lake's to every task."""
+    return events.join(lake.select(EVENT_KEY).hint("merge"), EVENT_KEY, "left_anti")
 
 
 def recent_dates(spark: SparkSession, as_of: dt.date, days_back: int = 1) -> DataFrame:

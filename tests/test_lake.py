@@ -161,3 +161,13 @@ def test_recent_dates_are_exported_again(spark, events, tmp_path):
     again = lake.export(spark, events, path, dates=lake.recent_dates(spark, AS_OF, 2)).first()
     assert again["total_events_exported"] == events.where("event_date >= '2024-01-29'").count()
     assert read_lake(spark, path).count() == events.count()
+
+
+def test_missing_events_never_broadcasts_the_lake(spark, make_events, tmp_path):
+    """Key texts worked out from a narrow file look small to Spark, whatever their number."""
+    spark.range(20_000).write.parquet(str(tmp_path / "ids"))
+    ids = spark.read.parquet(str(tmp_path / "ids")).withColumn("event_id", F.col("id").cast("string")).drop("id")
+    events = make_events({}).drop("event_id").crossJoin(ids)
+    missing = lake.missing_events(events, lake.lake_rows(events.where("event_id >= 3")))
+    assert "LeftAnti" in plan(missing) and "BroadcastHashJoin" not in plan(missing)
+    assert sorted(row.event_id for row in missing.collect()) == ["0", "1", "2"]
