@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from accesslens.fixed import UNKNOWN
 from accesslens.functions.events import failed
-from accesslens.functions.json import is_object, key_present, once
+from accesslens.functions.json import is_object, key_present, open_once
 from accesslens.functions.keys import key_values, restrict_to
 from accesslens.functions.text import regexp_or_null
-from accesslens.operators.derived import COUNTS, Aggregate
+from accesslens.operators.derived import COUNTS, DATES, Aggregate
 from accesslens.schema import EVENT_COLUMNS, EVENT_KEY, EVENTS, LAKE_PARTITIONS, VARIANTS
 from accesslens.session import settings, staging
 from accesslens.sources.lake import lake_dates, read_lake
@@ -50,8 +50,7 @@ def lake_rows(events: DataFrame, variants: bool = False) -> DataFrame:
     assumed = F.to_json(F.try_variant_get("_response", "$.assumedRoleUser", "variant"))
     return (
         events.select(EVENT_COLUMNS)
-        .select("*", once(F.try_parse_json("request_parameters")).alias("_request"))
-        .select("*", once(F.try_parse_json("response_elements")).alias("_response"))
+        .select("*", open_once(F.struct(*[F.try_parse_json(text) for text in VARIANTS]), "_request", "_response"))
         .select(
             *EVENT_COLUMNS,
             _lifted("_request", "$.roleArn").alias("role_arn"),
@@ -76,11 +75,18 @@ def partition_columns(by_region: bool = True) -> list[str]:
     return LAKE_PARTITIONS if by_region else LAKE_PARTITIONS[:3]
 
 
-def write_lake(rows: DataFrame, path: str, by_region: bool = True, replace_dates: bool = False) -> None:
+def dealt_rows(events: DataFrame, by_region: bool = True) -> DataFrame:
+    """Lake rows of events that are dealt out before their texts are parsed:
+    less is shuffled, and the parsing is spread however the events came."""
+    return lake_rows(events.hint("rebalance", "event_date", *(["aws_region"] if by_region else [])))
+
+
+def write_lake(rows: DataFrame, path: str, by_region: bool = True, replace_dates: bool = False, dealt: bool = False) -> None:
     """Write lake rows as Snappy Parquet under year/month/day[/region].
 
     ``rebalance`` lets adaptive execution size the files: small partitions
-    share tasks, and a region-day far above the rest is split over many.
+    share tasks, and a region-day far above the rest is split over many;
+    ``dealt`` rows went through it before (``dealt_rows``).
     Rows are sorted by event name and time inside a partition, so that
     row-group statistics can skip on both.  With ``replace_dates`` the written
     partitions replace older ones, which makes a retried export idempotent.
@@ -90,7 +96,7 @@ def write_lake(rows: DataFrame, path: str, by_region: bool = True, replace_dates
         rows = rows.drop("region")
     with settings(rows.sparkSession, SHREDDED):
         (
-            rows.hint("rebalance", *partitions)
+            (rows if dealt else rows.hint("rebalance", *partitions))
             .sortWithinPartitions(*partitions, "event_name", "event_time")
             .write.partitionBy(*partitions)
             .option("compression", "snappy")
@@ -199,7 +205,7 @@ def _append_counted(spark: SparkSession, rows: DataFrame, exported: Aggregate, p
     total = rows.count()
     if total:
         note = exported.prepare(rows, rows.limit(0))
-        write_lake(lake_rows(rows), path, by_region)
+        write_lake(dealt_rows(rows, by_region), path, by_region, dealt=True)
         exported.settle(spark, note, read_lake(spark, path))
     return total
 
@@ -235,8 +241,9 @@ def export(
         _begin_export(spark, counts, path)
         # Counted from the stored keys: exact also when tasks are repeated.
         exported = rows.count()
-        note = counts.prepare(rows.limit(0), restrict_to(dates, "event_date", chosen))
-        write_lake(lake_rows(rows), path, by_region, replace_dates=True)
+        listed = spark.createDataFrame([(date,) for date in chosen], DATES) if isinstance(chosen, list) else chosen
+        note = counts.prepare(rows.limit(0), listed)
+        write_lake(dealt_rows(rows, by_region), path, by_region, replace_dates=True, dealt=True)
         counts.settle(spark, note, read_lake(spark, path))
     elif mode == "events":
         _begin_export(spark, counts, path)

@@ -171,3 +171,10 @@ def test_missing_events_never_broadcasts_the_lake(spark, make_events, tmp_path):
     missing = lake.missing_events(events, lake.lake_rows(events.where("event_id >= 3")))
     assert "LeftAnti" in plan(missing) and "BroadcastHashJoin" not in plan(missing)
     assert sorted(row.event_id for row in missing.collect()) == ["0", "1", "2"]
+
+
+def test_events_are_dealt_out_before_they_are_parsed(spark, make_events):
+    rows = lake.dealt_rows(make_events({}, {"event_id": "e2", "aws_region": None}))
+    nodes = [line for line in plan(rows).splitlines() if "Generate" in line or "Exchange" in line]
+    assert "Generate" in nodes[0] and "Exchange" in nodes[-1]
+    assert sorted(row.region for row in rows.collect()) == ["unknown", "us-east-1"]
