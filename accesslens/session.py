@@ -78,6 +78,15 @@ def replace_folder(spark: SparkSession, source: str, target: str) -> None:
             raise RuntimeError(f"could not move {source} to {target}")
 
 
+def set_modified(spark: SparkSession, folder: str, seconds: int) -> None:
+    """Date the files in ``folder``; storage that keeps its own times is an error."""
+    files, target = _file_system(spark, folder)
+    for item in files.listStatus(target):
+        files.setTimes(item.getPath(), seconds * 1000, -1)
+        if files.getFileStatus(item.getPath()).getModificationTime() != seconds * 1000:
+            raise RuntimeError(f"the storage of {folder} does not take times of files")
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Session settings for what is run inside."""

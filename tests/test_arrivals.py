@@ -74,3 +74,18 @@ def test_alerts_survive_restarts_and_state_shrinks(spark, make_events, tmp_path)
     assert sent.count() == sent.select("event_id", "alert_type").distinct().count() == 9
     assert held == [5, 7, 1, 2]
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_deliveries_are_written_in_one_pass_and_come_in_order(spark, sf_dir, tmp_path):
+    from verification.operations import _deliveries, events_from
+
+    _deliveries(spark, sf_dir, str(tmp_path / "in"))
+    times = {}
+    for name in ("fast", "slow"):
+        files = {n: list((tmp_path / "in" / f"source={name}" / f"file={n}").glob("*.parquet")) for n in range(13)}
+        assert all(len(found) == 1 for found in files.values())
+        times[name] = [files[n][0].stat().st_mtime for n in range(13)]
+        assert times[name] == sorted(set(times[name]))
+    assert times["fast"] == times["slow"]
+    due = events_from(spark, sf_dir).where("NOT (event_type = 'sso' AND CAST(event_id AS long) % 40 = 7 AND event_date > '2024-01-30')")
+    assert abs(spark.read.parquet(str(tmp_path / "in")).count() - due.count()) <= due.count() // 20

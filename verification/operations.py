@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from accesslens import run
 from accesslens.functions.time import from_iso
@@ -16,7 +17,7 @@ from accesslens.plans import sketched, sql
 from accesslens.operators.filters import filter_events, flag_noise
 from accesslens.operators.normalize import kept, parse_records, to_events
 from accesslens.schema import CONTROL
-from accesslens.session import shared_folder
+from accesslens.session import child_folders, set_modified, shared_folder
 from accesslens.sources import lake as lake_source
 from accesslens.sources import raw, routes, store
 from accesslens.streaming import arrivals, ingest, windows
@@ -421,13 +422,17 @@ def _deliveries(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, Data
     day, slow = F.day(F.col("event_date").cast("date")), F.col("event_type") == "sso"
     block = F.floor((day - 1) / 3) + F.when(slow & (day > 1), 1).otherwise(0)
     numbered = events.withColumn("file", block + F.when(F.col("event_id").cast("long") % 40 == 7, 2).otherwise(0))
-    numbered.write.parquet(f"{folder}/all")
-    numbered, streams = spark.read.parquet(f"{folder}/all"), {}
-    for name, own in (("fast", ~slow), ("slow", slow)):
+    numbered = numbered.withColumn("source", F.when(slow, "slow").when(~slow, "fast")).where("source IS NOT NULL AND file BETWEEN 0 AND 12")
+    # Every file is written by a task of its own, all in one pass.
+    numbered.repartition("source", "file").write.partitionBy("source", "file").parquet(folder)
+    streams, schema = {}, T.StructType([*events.schema.fields, T.StructField("file", T.LongType())])
+    for name in ("fast", "slow"):
         for n in range(13):  # one after another: a stream reads files by their age
-            part = numbered.where(own & (F.col("file") == n)).drop("file")
-            part.coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
-        streams[name] = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
+            part = f"{folder}/source={name}/file={n}"
+            if f"file={n}" not in child_folders(spark, f"{folder}/source={name}"):
+                numbered.select(events.columns).limit(0).coalesce(1).write.parquet(part)
+            set_modified(spark, part, 1_700_000_000 + n)
+        streams[name] = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/source={name}")
     return streams
 
 
@@ -435,7 +440,7 @@ def _stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed hours by source, then the totals of what arrived, was kept and
     was too late under five minutes."""
     folder = shared_folder(spark, "late")
-    stream = arrivals.hourly_totals(arrivals.merged_sources(_deliveries(spark, sf_dir, folder)))
+    stream = arrivals.hourly_totals(arrivals.merged_sources(_deliveries(spark, sf_dir, f"{folder}/in")))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
