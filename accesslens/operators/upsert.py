@@ -28,7 +28,8 @@ def _print(name: str) -> Column:
 
 
 def _one_per_key(rows: DataFrame, *order: Column) -> DataFrame:
-    """One row per event key; copies beyond the first go before the shuffle.
+    """One row per event key, with its ``_print``; copies beyond the first go
+    before the shuffle.
 
     The filter on the row number limits every group map-side, so a key with
     very many copies does not fill one task.
@@ -37,7 +38,7 @@ def _one_per_key(rows: DataFrame, *order: Column) -> DataFrame:
     # retried task picks the same row.
     window = W.partitionBy("event_id", "event_date").orderBy(*order, "_print")
     ranked = rows.withColumn("_print", _print("_print")).withColumn("_n", F.row_number().over(window))
-    return ranked.where("_n = 1").drop("_n", "_print")
+    return ranked.where("_n = 1").drop("_n")
 
 
 def latest(batch: DataFrame, load_order: str = "event_time") -> DataFrame:
@@ -150,14 +151,28 @@ def _compared(store: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(old, EVENT_KEY, "left").withColumn("outcome", outcome).select(*EVENT_COLUMNS, "outcome")
 
 
+def _outcomes(spark: SparkSession, store: DataFrame, new: DataFrame, folder: str) -> DataFrame:
+    """Batch rows and what becomes of them.  Rows of dates that the store has
+    are compared, once, into ``folder``; those of other dates are new as they
+    are, and are neither joined nor written again."""
+    held = key_values(restrict_to(store.select("event_date"), "event_date", new), "event_date")
+    fresh = new.select(*EVENT_COLUMNS, F.lit("new").alias("outcome"))
+    if held == []:
+        return fresh
+    _compared(store, restrict_to(new, "event_date", held)).write.parquet(folder)
+    if isinstance(held, list):
+        fresh = fresh.where(~F.coalesce(F.col("event_date").isin(held), F.lit(False)))
+    else:
+        fresh = fresh.join(held, "event_date", "left_anti")
+    return spark.read.parquet(folder).unionByName(fresh)
+
+
 def _write_upsert(
     spark: SparkSession, batch: DataFrame, store: EventStore, folder: str, kept: Sequence[Aggregate]
 ) -> dict[str, int]:
-    # The batch is worked out once.
-    latest(batch).withColumn("_new", _print("_new")).write.parquet(f"{folder}/batch")
-    _compared(store.read(spark), spark.read.parquet(f"{folder}/batch")).write.parquet(f"{folder}/compared")
-
-    staged = spark.read.parquet(f"{folder}/compared")
+    # The batch is worked out once, prints and all.
+    _one_per_key(batch, F.desc("event_time")).select(*EVENT_COLUMNS, F.col("_print").alias("_new")).write.parquet(f"{folder}/batch")
+    staged = _outcomes(spark, store.read(spark), spark.read.parquet(f"{folder}/batch"), f"{folder}/compared")
     counts = {row["outcome"]: row["count"] for row in staged.groupBy("outcome").count().collect()}
     new, changed = staged.where("outcome = 'new'").select(EVENT_COLUMNS), staged.where("outcome = 'changed'")
     notes = [aggregate.prepare(new, changed) for aggregate in kept]

@@ -104,3 +104,14 @@ def test_a_changed_event_is_written_once(spark, make_events, tmp_path, monkeypat
     monkeypatch.setattr(EventStore, "write", lambda self, rows, folder=None: (writes.append(rows.count()), write(self, rows, folder)))
     upsert.write_upsert(spark, batch(make_events, 1, error_code="x"), path)
     assert writes == [10]
+
+
+def test_only_dates_that_the_store_has_are_compared(spark, make_events, tmp_path, monkeypatch):
+    path, seen, compared = str(tmp_path / "events"), [], upsert._compared
+    monkeypatch.setattr(upsert, "_compared", lambda store, new: (seen.extend(r.event_date for r in new.collect()), compared(store, new))[1])
+    first = batch(make_events, 6).where("event_date <> '2024-01-22'")
+    assert upsert.write_upsert(spark, first, path) == {"new": 4, "same": 0, "changed": 0} and seen == []
+    second = batch(make_events, 7).unionByName(make_events({"event_id": "0", "event_date": "2024-01-20", "event_time": "2024-01-31", "error_code": "x"}))
+    assert upsert.write_upsert(spark, second, path) == {"new": 3, "same": 3, "changed": 1}
+    assert sorted(seen) == ["2024-01-20"] * 3 + ["2024-01-21"] * 2
+    assert len(rows_of(read_events(spark, path))) == 7 and ("2024-01-20", "0", "x") in rows_of(read_events(spark, path))
