@@ -474,7 +474,7 @@ def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _deliver(spark: SparkSession, sf_dir: str, folder: str) -> None:
     """Raw records as delivered files; broken text cannot be inside one."""
     records = raw_from(spark, sf_dir).where(F.col("shape") != 14)
-    records.select(F.array(F.parse_json("raw")).alias("Records")).write.json(folder)
+    records.select(F.concat(F.lit('{"Records":['), F.coalesce("raw", F.lit("null")), F.lit("]}"))).write.text(folder)
 
 
 def _raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
