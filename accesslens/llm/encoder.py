@@ -87,10 +87,18 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        known.update((piece, older[piece]) for piece in pieces if piece not in known and piece in older)
-        missing = [piece for piece in pieces if piece not in known]
-        known.update(zip(missing, self._ids_of(missing), strict=True))
-        return [known[piece] for piece in pieces]
+        blobs = list(map(known.get, pieces))
+        absent = [at for at, blob in enumerate(blobs) if blob is None]
+        missing = []
+        for at in absent:
+            blob = older.get(pieces[at])
+            if blob is None:
+                missing.append(at)
+            else:
+                blobs[at] = known[pieces[at]] = blob
+        for at, blob in zip(missing, self._ids_of([pieces[at] for at in missing]), strict=True):
+            blobs[at] = known[pieces[at]] = blob
+        return blobs
 
     def encode(self, text: Text) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of ids of each text."""

@@ -227,8 +227,13 @@ def count_ids(ids: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            each = (unpacked(blob, n) for blob, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            part = np.bincount(np.concatenate([np.zeros(0, np.uint32), *each]).astype(np.int64))
+            blobs, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            joined = b"".join(blobs)
+            if len(joined) == 2 * sum(counts):  # then every value is of 16 bits
+                ids = np.frombuffer(joined, "<u2")
+            else:
+                ids = np.concatenate([np.zeros(0, np.uint32), *map(unpacked, blobs, counts)])
+            part = np.bincount(ids)
             if len(part) > len(total):
                 part, total = total, part.copy()
             total[: len(part)] += part
